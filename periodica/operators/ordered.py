@@ -74,13 +74,13 @@ def _bucket(df: DataFrame, name: str, edges: list[float], out: str) -> DataFrame
 
 
 def add_slice(df: DataFrame, order: str, cuts: Cuts, tiebreak: str | None = None, out: str = SLICE) -> DataFrame:
-    sliced = _bucket(df.withColumn("_x", as_number(df, order)), "_x", cuts.edges, "_o")
-    number = F.col("_o").cast("long")
+    sliced = _bucket(df.withColumn("_sl_x", as_number(df, order)), "_sl_x", cuts.edges, "_sl_o")
+    number = F.col("_sl_o").cast("long")
     if cuts.inner and tiebreak:
-        sliced = _bucket(sliced.withColumn("_t", as_number(df, tiebreak)), "_t", cuts.inner, "_i")
-        inside = F.when(F.col("_x").isin(cuts.heavy), F.col("_i").cast("long")).otherwise(F.lit(0))
+        sliced = _bucket(sliced.withColumn("_sl_t", as_number(df, tiebreak)), "_sl_t", cuts.inner, "_sl_i")
+        inside = F.when(F.col("_sl_x").isin(cuts.heavy), F.col("_sl_i").cast("long")).otherwise(F.lit(0))
         number = number * (len(cuts.inner) + 2) + inside
-    return sliced.withColumn(out, number).drop("_x", "_o", "_t", "_i")
+    return sliced.withColumn(out, number).drop("_sl_x", "_sl_o", "_sl_t", "_sl_i")
 
 
 def _names(keys) -> list[str]:
@@ -105,14 +105,14 @@ def slice_for_keys(
     n = slices or shuffle_width(df.sparkSession)
     if not keys:
         return add_slice(df, order, cuts or find_cuts(df, order, tiebreak, n), tiebreak)
-    marked = df.withColumn("_k", F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
-    frequent = marked.freqItems(["_k"], max(1e-4, 1.0 / n)).first()[0] or []
+    marked = df.withColumn("_sl_k", F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
+    frequent = marked.freqItems(["_sl_k"], max(1e-4, 1.0 / n)).first()[0] or []
     if not frequent:
         return df.withColumn(SLICE, F.lit(0).cast("long"))
     cuts = cuts or find_cuts(df, order, tiebreak, n)
     sliced = add_slice(marked, order, cuts, tiebreak)
-    number = F.when(F.col("_k").isin(list(frequent)), F.col(SLICE)).otherwise(F.lit(0).cast("long"))
-    return sliced.withColumn(SLICE, number).drop("_k")
+    number = F.when(F.col("_sl_k").isin(list(frequent)), F.col(SLICE)).otherwise(F.lit(0).cast("long"))
+    return sliced.withColumn(SLICE, number).drop("_sl_k")
 
 
 def carry_rows(sliced: DataFrame, k: int, order: str, tiebreak: str | None = None, keys=()) -> DataFrame:

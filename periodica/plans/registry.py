@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from string import Template
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +12,13 @@ from periodica.plans.tables import VIEW_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+VIEW = re.compile(r"\$([a-z_]+)")
 
 
 def expand(text: str) -> str:
     """Replace ``$view`` by the view's own SELECT, inside out."""
-    while "$" in text:
-        text = Template(text).substitute(VIEW_SQL)
+    while VIEW.search(text):
+        text = VIEW.sub(lambda m: VIEW_SQL[m.group(1)], text)
     return text
 
 
