@@ -25,6 +25,16 @@ def entity_features(df: DataFrame, keys: list[str], aggs: dict[str, str]) -> Dat
     return grouped.fillna(0.0, list(aggs))
 
 
+def training_rows(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """Cache a feature table and read it in no more tasks than its size calls for.
+
+    A learner passes over its rows many times; with one row per entity the table is often far
+    smaller than the data it was made from. Larger tables keep all their partitions.
+    """
+    cached = df.persist()
+    return cached.coalesce(max(1, math.ceil(cached.count() / rows_per_task)))
+
+
 def split_rows(df: DataFrame, keys: list[str], share: float = 0.7, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by a hash of the key: the same rows on every attempt and layout."""
     draw = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(10_000))
@@ -71,7 +81,7 @@ def fit_forest(train: DataFrame, features: list[str], label: str, trees: int = 1
 def fit_svm(train: DataFrame, features: list[str], label: str) -> PipelineModel:
     return Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="features"),
-        LinearSVC(labelCol=label, maxIter=50),
+        LinearSVC(labelCol=label, maxIter=50, tol=1e-3),
     ]).fit(train)
 
 
@@ -182,15 +192,15 @@ def gap_statistic(scaled: DataFrame, key: str, width: int, most: int = 10, refer
     The fits of one k do not depend on each other and are submitted together; the data they
     share is cached, and every fit is an ordinary distributed job.
     """
-    data = scaled.select("features").persist()
-    uniform = [uniform_rows(scaled, key, width, seed).persist() for seed in range(references)]
-    frames = [data, *uniform]
+    frames = [scaled.select("features"), *[uniform_rows(scaled, key, width, seed) for seed in range(references)]]
     try:
+        data = [training_rows(f) for f in frames]
+
         def cost(job: tuple[DataFrame, int]) -> float:
             frame, k = job
             return total_square(frame, width) if k == 1 else fit_kmeans(frame, k).summary.trainingCost
 
-        jobs = [(f, k) for k in range(1, most + 1) for f in frames]
+        jobs = [(f, k) for k in range(1, most + 1) for f in data]
         with ThreadPoolExecutor(max_workers=len(frames)) as pool:
             costs = list(pool.map(cost, jobs))
     finally:

@@ -72,8 +72,14 @@ class DayTables:
         self._rows(df, table).write.mode("append").insertInto(self.name(table))
 
     def _replace_days(self, df: DataFrame, table: str) -> None:
-        self._rows(df, table).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(
-            self.name(table))
+        # insertInto takes the mode from the session only.
+        setting = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "dynamic")
+        try:
+            self._rows(df, table).write.mode("overwrite").insertInto(self.name(table))
+        finally:
+            self.spark.conf.set(setting, before)
 
     def _drop_days(self, table: str, low: date, high: date, keep: set[date] = frozenset()) -> None:
         held = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()
