@@ -28,6 +28,7 @@ def wide_names_to_rows(df: DataFrame, entity: str, skip: list[str] = (), sep: st
     """Columns named ``entity...measure`` become one row per entity and one column per measure.
 
     A wide table has few rows and many columns; the column names are known without reading it.
+    A measure an entity lacks is 0.
     """
     named = [c for c in df.columns if c not in skip]
     measures = sorted({c.split(sep)[-1].replace("-", "_") for c in named})
@@ -39,7 +40,7 @@ def wide_names_to_rows(df: DataFrame, entity: str, skip: list[str] = (), sep: st
         for c in named
     ]
     long = df.select(*skip, F.inline(F.array(*cells)))
-    return long.groupBy(*skip, entity).pivot("_m", measures).agg(F.first("_v"))
+    return long.groupBy(*skip, entity).pivot("_m", measures).agg(F.first("_v")).fillna(0.0, measures)
 
 
 def prefixed_names_to_rows(df: DataFrame, entities: list[str], entity: str, keep: list[str] = ()) -> DataFrame:

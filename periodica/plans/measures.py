@@ -141,14 +141,14 @@ def box_summary(spark, sf):
 
 @query("resample_global", spine_sql(
     "$accounts", "block_timestamp", "1 HOUR", "date_trunc('hour', block_timestamp)", "s.b",
-    "count(*) AS n, round(sum(amount), 2) AS total, round(avg(amount), 6) AS mean, count(DISTINCT address) AS users",
+    "count(*) AS n, round(sum(amount), 2) AS total, round(avg(amount), 10) AS mean, count(DISTINCT address) AS users",
     "coalesce(n, 0) AS n, coalesce(total, 0) AS total, mean, coalesce(users, 0) AS users",
     where="update_type = 'error'"))
 def resample_global(spark, sf):
     rows = t.accounts(spark, sf).where("update_type = 'error'")
     out = resample.resample(rows, "block_timestamp", "H", {
         "n": ("count", "event_id"), "total": ("sum", "amount"), "mean": ("mean", "amount"), "users": ("nunique", "address")})
-    return groups.rounded(groups.rounded(out, 2, "total"), 6, "mean")
+    return groups.rounded(groups.rounded(out, 2, "total"), 10, "mean")
 
 
 def _calendar(name: str, period: str, step: str, start: str, label: str):

@@ -64,13 +64,13 @@ def pct_change(spark, sf):
 
 
 @query("hashrate", """
-SELECT event_id, round(rolling_mean, 6) AS rolling_mean, round(amount / nullif(rolling_mean, 0), 6) AS hashrate FROM (
+SELECT event_id, round(rolling_mean, 6) AS rolling_mean, round(amount / nullif(rolling_mean, 0), 10) AS hashrate FROM (
   SELECT event_id, amount, avg(block_time) OVER w AS rolling_mean, count(block_time) OVER w AS n FROM $accounts
   WINDOW w AS (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE n = 5""")
 def hashrate(spark, sf):
     rows = t.accounts(spark, sf).select("event_id", "amount", "block_time")
     out = miners.hash_rate(rows, 5, "event_id", difficulty="amount")
-    return groups.rounded(out.select("event_id", "rolling_mean", "hashrate"), 6, "rolling_mean", "hashrate")
+    return groups.rounded(groups.rounded(out.select("event_id", "rolling_mean", "hashrate"), 6, "rolling_mean"), 10, "hashrate")
 
 
 # ---------------------------------------------------------------- set operations and reshaping
