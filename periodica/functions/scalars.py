@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,20 +21,16 @@ def normalise_label(c: Column) -> Column:
 
 
 def split_bracketed(c: Column, sep: str = ",", keep: bool = False) -> Column:
-    """Array of the values in a bracketed list text.
+    """Array of the values in a bracketed list text. The separator holds no brackets.
 
     ``keep`` also puts the unsplit text first when there is more than one value.
     """
-    values = F.transform(F.split(c, _literal_regex(sep)), lambda v: F.regexp_replace(v, r"[\[\]]", ""))
+    values = F.split(F.translate(c, "[]", ""), re.escape(sep))
     if not keep:
         return values
     return F.when(F.size(values) > 1, F.concat(F.array(c), values)).otherwise(values)
 
 
-def _literal_regex(sep: str) -> str:
-    return "\\Q" + sep + "\\E"
-
-
 def hex_to_int(c: Column) -> Column:
     """Hex text, with or without 0x, as a number; missing text gives 0."""
     digits = F.regexp_replace(F.lower(F.trim(c)), "^0x", "")

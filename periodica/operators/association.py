@@ -31,6 +31,12 @@ def relationship(r: Column, p: Column, alpha: float = ALPHA) -> Column:
     )
 
 
+def _correlation(y: Column, x: Column) -> Column:
+    """Pearson's r; null, and no division error, when one side is constant."""
+    spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.regr_sxy(y, x), spread)))
+
+
 def linear_relationships(df: DataFrame, target: str, features: list[str], alpha: float = ALPHA) -> DataFrame:
     """Least squares of every feature on the target: all pairs in one aggregate over one scan."""
     others = [f for f in features if f != target]
@@ -40,7 +46,7 @@ def linear_relationships(df: DataFrame, target: str, features: list[str], alpha:
         y = F.col(f"`{f}`").cast("double")
         measures += [
             F.regr_slope(y, x).alias(f"_s{i}"), F.regr_intercept(y, x).alias(f"_i{i}"),
-            F.corr(y, x).alias(f"_r{i}"), F.regr_count(y, x).alias(f"_n{i}"),
+            _correlation(y, x).alias(f"_r{i}"), F.regr_count(y, x).alias(f"_n{i}"),
         ]
     rows = [
         F.struct(
@@ -93,7 +99,7 @@ def mann_whitney(df: DataFrame, target: str, features: list[str], alpha: float =
     n, n1 = F.col("_n"), F.col("_n1")
     n2 = n - n1
     u = F.col("_ra") - n1 * (n1 + 1) / 2
-    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     z = F.greatest((F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
     return (
         sums.select(
@@ -111,13 +117,13 @@ def kruskal(df: DataFrame, outcomes: list[str], treatments: list[str], counted:
     'No' means not significant, 'na' fewer than two levels. Ranks do not depend on the
     treatment, so they are found once per outcome and serve all treatments.
     """
+    measured = [o for o in outcomes if o not in counted]
     tables = []
-    for o in outcomes:
-        if o in counted:
-            tables += [_h_of(_level_counts(df, o, t), o) for t in treatments if t != o]
-        else:
-            tables.append(_h_of(_levels(df, o, [t for t in treatments if t != o]), o))
-    stats = reduce(DataFrame.unionByName, tables)
+    if measured:
+        tables.append(_measured_levels(df, measured, treatments))
+    if counted:
+        tables.append(_counted_levels(df, list(counted), treatments))
+    stats = _h_statistics(reduce(DataFrame.unionByName, tables))
     enough = F.col("_levels") > 1
     p = chi2_p(F.col("stat"), (F.col("_levels") - 1).cast("double"))
     return (
@@ -128,41 +134,56 @@ def kruskal(df: DataFrame, outcomes: list[str], treatments: list[str], counted:
     )
 
 
-def _levels(df: DataFrame, outcome: str, treatments: list[str]) -> DataFrame:
-    """(treatment, level, value, rank, ties) rows of one outcome."""
-    rows = df.select(F.col(outcome).cast("double").alias("_v"), *[F.col(t).cast("string").alias(t) for t in treatments])
-    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    cuts = find_cuts(rows, "_v")
-    ranks = mid_ranks(rows.groupBy("_v").agg(F.count(F.lit(1)).alias("_t")), "_v", "_t", cuts=cuts)
-    ranked = rows.join(ranks.select(F.col("_v").alias("_w"), "rank", "_t"), F.col("_v") == F.col("_w"))
-    cells = [F.struct(F.lit(t).alias("variable_2"), F.col(t).alias("_level")) for t in treatments]
-    return ranked.select("rank", "_t", F.inline(F.array(*cells)))
+def _by_treatment(treatments: list[str]) -> Column:
+    return F.inline(F.array(*[
+        F.struct(F.lit(t).alias("variable_2"), F.col(f"_level_{t}").alias("_level")) for t in treatments]))
+
 
+def _measured_levels(df: DataFrame, outcomes: list[str], treatments: list[str]) -> DataFrame:
+    """(outcome, treatment, level) with rank sum, size and tie term; ranks are joined once per row and outcome."""
+    cells = [F.struct(F.lit(o).alias("variable_1"), F.col(o).cast("double").alias("_v")) for o in outcomes]
+    rows = df.select(
+        *[F.col(t).cast("string").alias(f"_level_{t}") for t in treatments], F.inline(F.array(*cells))
+    ).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    values = rows.select("variable_1", "_v")
+    counts = values.groupBy("variable_1", "_v").agg(F.count(F.lit(1)).alias("_t"))
+    ranks = mid_ranks(counts, "_v", "_t", keys="variable_1", cuts=find_cuts(values, "_v"))
+    known = ranks.select(F.col("variable_1").alias("_o"), F.col("_v").alias("_w"), "rank", "_t")
+    ranked = rows.join(known, (F.col("variable_1") == F.col("_o")) & (F.col("_v") == F.col("_w")))
+    return _per_level(ranked.select("variable_1", "rank", "_t", _by_treatment(treatments)))
 
-def _level_counts(df: DataFrame, outcome: str, treatment: str) -> DataFrame:
-    """One value per level: its number of distinct outcome values."""
-    values = df.groupBy(F.col(treatment).cast("string").alias("_level")).agg(
-        F.count_distinct(outcome).cast("double").alias("_v"))
-    ranks = mid_ranks(values.groupBy("_v").agg(F.count(F.lit(1)).alias("_t")), "_v", "_t")
-    return values.join(ranks.withColumnRenamed("_v", "_w"), F.col("_v") == F.col("_w")).select(
-        "rank", "_t", F.lit(treatment).alias("variable_2"), "_level")
 
+def _counted_levels(df: DataFrame, outcomes: list[str], treatments: list[str]) -> DataFrame:
+    """The same where each level has one value, its number of distinct outcome values."""
+    cells = [F.struct(F.lit(o).alias("variable_1"), F.col(o).cast("string").alias("_e")) for o in outcomes]
+    rows = df.select(
+        *[F.col(t).cast("string").alias(f"_level_{t}") for t in treatments], F.inline(F.array(*cells)))
+    seen = rows.select("variable_1", "_e", _by_treatment(treatments)).distinct()
+    values = seen.groupBy("variable_1", "variable_2", "_level").agg(F.count("_e").cast("double").alias("_v"))
+    keys = ["variable_1", "variable_2"]
+    ranks = mid_ranks(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_t")), "_v", "_t", keys=keys)
+    return _per_level(values.join(ranks, [*keys, "_v"]).select(*keys, "_level", "rank", "_t"))
 
-def _h_of(levels: DataFrame, outcome: str) -> DataFrame:
+
+def _per_level(ranked: DataFrame) -> DataFrame:
     t = F.col("_t").cast("double")
-    per_level = levels.where(F.col("_level").isNotNull()).groupBy("variable_2", "_level").agg(
+    return ranked.where(F.col("_level").isNotNull() & (F.col("variable_1") != F.col("variable_2"))).groupBy(
+        "variable_1", "variable_2", "_level"
+    ).agg(
         F.sum("rank").alias("_r"), F.count(F.lit(1)).cast("double").alias("_n"),
         F.sum(t * t - 1).alias("_ties"),  # summed over the t equal rows: t^3 - t
     )
-    sums = per_level.groupBy("variable_2").agg(
+
+
+def _h_statistics(levels: DataFrame) -> DataFrame:
+    sums = levels.groupBy("variable_1", "variable_2").agg(
         F.sum(F.col("_r") * F.col("_r") / F.col("_n")).alias("_q"), F.sum("_n").alias("_n"),
         F.sum("_ties").alias("_ties"), F.count(F.lit(1)).alias("_levels"),
     )
     n = F.col("_n")
     h = 12.0 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)
-    correction = 1 - F.col("_ties") / (n * n * n - n)
-    return sums.select(
-        F.lit(outcome).alias("variable_1"), "variable_2", F.try_divide(h, correction).alias("stat"), "_levels")
+    correction = 1 - F.try_divide(F.col("_ties"), n * n * n - n)
+    return sums.select("variable_1", "variable_2", F.try_divide(h, correction).alias("stat"), "_levels")
 
 
 def mutual_information(df: DataFrame, target: str, features: list[str], bins: int = 10) -> DataFrame:

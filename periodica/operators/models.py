@@ -201,7 +201,7 @@ def gap_statistic(scaled: DataFrame, key: str, width: int, most: int = 10, refer
             return total_square(frame, width) if k == 1 else fit_kmeans(frame, k).summary.trainingCost
 
         jobs = [(f, k) for k in range(1, most + 1) for f in data]
-        with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        with ThreadPoolExecutor(max_workers=2 * len(frames)) as pool:
             costs = list(pool.map(cost, jobs))
     finally:
         for f in frames:

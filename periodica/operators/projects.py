@@ -23,7 +23,7 @@ def flow_links(df: DataFrame, source: str, target: str, value: str, percentile:
     total = df.agg(F.sum(value).cast("double")).scalar()
     links = sums.select(
         F.col(source).alias("source"), F.col(target).alias("target"),
-        F.greatest(F.floor(F.col("_v") / total * 1000), F.lit(1)).cast("long").alias("value"),
+        F.greatest(F.floor(F.try_divide(F.col("_v"), total) * 1000), F.lit(1)).cast("long").alias("value"),
     )
     floor = links.agg(F.percentile("value", percentile)).scalar()
     return links.where(F.col("value") >= floor)
