@@ -6,6 +6,7 @@ reach the tail-probability functions.
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from periodica.functions.tails import chi2_p, normal_p, student_p
 from periodica.operators.ordered import find_cuts, mid_ranks
+from periodica.sources.artifacts import CHECKPOINT_DAYS, ArtifactStore
 
 # Limits of |r| and the significance level.
 STRONG, MODERATE, WEAK = 0.65, 0.4, 0.25
@@ -34,7 +36,8 @@ def relationship(r: Column, p: Column, alpha: float = ALPHA) -> Column:
 def _correlation(y: Column, x: Column) -> Column:
     """Pearson's r; null, and no division error, when one side is constant."""
     spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.regr_sxy(y, x), spread)))
+    r = F.try_divide(F.regr_sxy(y, x), spread)
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def linear_relationships(df: DataFrame, target: str, features: list[str], alpha: float = ALPHA) -> DataFrame:
@@ -233,6 +236,18 @@ def significant_features(relationships: DataFrame) -> DataFrame:
     return relationships.where(hit)
 
 
+def save_significant(store: ArtifactStore, relationships: DataFrame, key: str, now: datetime) -> None:
+    """Keep the significant features of a target as a checkpoint: one row per feature."""
+    rows = significant_features(relationships).select(
+        F.col("variable_2").alias("item"), F.col("relationship").alias("payload"))
+    store.save(rows, key, None, None, now, CHECKPOINT_DAYS)
+
+
+def load_significant(store: ArtifactStore, key: str, now: datetime) -> list[str]:
+    """Names of the saved features; at most one per column of the tested table."""
+    return sorted(r["item"] for r in store.latest(now, key).select("item").distinct().collect())
+
+
 def matching_columns(columns: list[str], features: list[str]) -> list[str]:
     """Columns whose name holds the name of a significant feature."""
     return [c for c in columns if any(f in c for f in features)]

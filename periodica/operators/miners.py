@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from periodica.functions.scalars import split_bracketed
+from periodica.operators.filters import members
 from periodica.operators.joins import left_join_spread
 from periodica.operators.ordered import rolling_mean
+from periodica.sources.artifacts import ArtifactStore
+from periodica.sources.tables import load_hull
 
 # Fixed value: blocks mined per day on the whole chain.
 BLOCKS_PER_DAY = 8640
@@ -65,6 +68,24 @@ def tier2(df: DataFrame, first_tier: DataFrame, start: date, end: date, received
         F.col("to_addr").cast("string").alias("address"))
 
 
+def save_churn_lists(store: ArtifactStore, churned: DataFrame, retained: DataFrame, key: str, start: date, end: date,
+                     now: datetime) -> None:
+    """Keep the churned and retained addresses of a reference span: one row per address."""
+    rows = churned.select(F.col("address").alias("item"), F.lit("churned").alias("payload")).unionByName(
+        retained.select(F.col("address").alias("item"), F.lit("retained").alias("payload")))
+    store.save(rows, key, start, end, now)
+
+
+def listed_rows(store: ArtifactStore, pattern: str, now: datetime, df: DataFrame, column: str,
+                ts_col: str = "block_timestamp") -> DataFrame | None:
+    """Rows of the span of all matching lists whose address is on one of them."""
+    ranged = load_hull(store, pattern, now, df, ts_col)
+    if ranged is None:
+        return None
+    names = store.live(now).where(F.col("key").like(pattern)).select("item").distinct()
+    return members(ranged, column, names, "item")
+
+
 def hash_rate(df: DataFrame, n: int, order: str, tiebreak: str | None = None, time: str = "block_time",
               difficulty: str = "difficulty") -> DataFrame:
     """Difficulty over the mean time of the last n blocks; blocks without n predecessors are left out."""

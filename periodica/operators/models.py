@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from periodica.operators.resample import aggregate
+from periodica.sources.artifacts import CHECKPOINT_DAYS, ArtifactStore
 
 SEED = 42
 
@@ -234,3 +236,12 @@ def name_clusters(assigned: DataFrame, member: str, named, name: str) -> DataFra
     number: Column = F.col("prediction")
     label = F.when(number == own, name).otherwise(F.concat(F.lit("cluster_"), number.cast("string")))
     return assigned.select(member, label.alias("cluster"))
+
+
+def save_clusters(store: ArtifactStore, named: DataFrame, member: str, key: str, now: datetime) -> None:
+    """Keep the cluster of every member as a checkpoint."""
+    store.save(named.select(F.col(member).alias("item"), F.col("cluster").alias("payload")), key, None, None, now, CHECKPOINT_DAYS)
+
+
+def load_clusters(store: ArtifactStore, key: str, now: datetime, member: str) -> DataFrame:
+    return store.latest(now, key).select(F.col("item").alias(member), F.col("payload").alias("cluster"))

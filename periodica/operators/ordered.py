@@ -21,6 +21,7 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 from periodica.session import shuffle_width
 
 SLICE = "_slice"
+WHOLE = -1  # slice number of the keys that are not sliced
 INF = float("inf")
 
 
@@ -98,8 +99,8 @@ def slice_for_keys(
 ) -> DataFrame:
     """Add the slice number: everywhere without keys, and only for frequent keys with them.
 
-    ``freqItems`` never misses a key above the support; a key it names without need is
-    merely sliced for nothing.
+    Other keys get -1, are left whole and take no part in carrying. ``freqItems`` never
+    misses a key above the support; a key it names without need is merely sliced for nothing.
     """
     keys = _names(keys)
     n = slices or shuffle_width(df.sparkSession)
@@ -108,10 +109,10 @@ def slice_for_keys(
     marked = df.withColumn("_sl_k", F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
     frequent = marked.freqItems(["_sl_k"], max(1e-4, 1.0 / n)).first()[0] or []
     if not frequent:
-        return df.withColumn(SLICE, F.lit(0).cast("long"))
+        return df.withColumn(SLICE, F.lit(WHOLE).cast("long"))
     cuts = cuts or find_cuts(df, order, tiebreak, n)
     sliced = add_slice(marked, order, cuts, tiebreak)
-    number = F.when(F.col("_sl_k").isin(list(frequent)), F.col(SLICE)).otherwise(F.lit(0).cast("long"))
+    number = F.when(F.col("_sl_k").isin(list(frequent)), F.col(SLICE)).otherwise(F.lit(WHOLE).cast("long"))
     return sliced.withColumn(SLICE, number).drop("_sl_k")
 
 
@@ -120,7 +121,8 @@ def carry_rows(sliced: DataFrame, k: int, order: str, tiebreak: str | None = Non
     keys = _names(keys)
     per_slice = Window.partitionBy(*keys, SLICE)
     tails = (
-        sliced.withColumn("_r", F.row_number().over(per_slice.orderBy(*_ordering(order, tiebreak, True))))
+        sliced.where(F.col(SLICE) > WHOLE)
+        .withColumn("_r", F.row_number().over(per_slice.orderBy(*_ordering(order, tiebreak, True))))
         .where(F.col("_r") <= k)
     )
     # At most k rows of each slice: a bounded list per key.
@@ -181,7 +183,7 @@ def previous_known(
     outs = outs or {c: f"{c}_prev" for c in columns}
     sliced = slice_for_keys(df, order, tiebreak, keys, slices)
     place = F.struct(*[F.col(f"`{c}`") for c in (order, tiebreak) if c])
-    known = sliced.groupBy(*keys, SLICE).agg(
+    known = sliced.where(F.col(SLICE) > WHOLE).groupBy(*keys, SLICE).agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(f"_k_{c}") for c in columns]
     )
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from periodica.operators import forecast as fc
 from periodica.operators import miners, models
 from periodica.operators.filters import label_by_list
+from periodica.operators.resample import cluster_series
 from periodica.plans import tables as t
 from periodica.plans.registry import query
 from periodica.plans.relations import SPAN
+from periodica.session import shared_folder
+from periodica.sources.artifacts import ArtifactStore
 
 ACCOUNT_FEATURES = {"amount": "mean", "block_time": "mean", "account_type": "mean"}
 MINER_FEATURES = {
@@ -146,8 +151,14 @@ def forecast_by_key(spark, sf):
     return fc.forecast(t.business(spark, sf), "start_actual", "rate", "sum", 30, keys="company")
 
 
-@query("cluster_sizes")
-def cluster_sizes(spark, sf):
+@query("cluster_artifact")
+def cluster_artifact(spark, sf):
+    """Clusters of the accounts, saved, read back and used for the sum of each cluster per day."""
     assigned = models.assign_clusters(_members(spark, sf), 4)
     named = models.name_clusters(assigned, "address", 1, "own_cluster")
-    return named.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    store, now = ArtifactStore(spark, shared_folder(spark, "clusters")), datetime(2024, 2, 1)
+    models.save_clusters(store, named, "address", "clusters:accounts", now)
+    clusters = models.load_clusters(store, "clusters:accounts", now, "address")
+    names = sorted(r["cluster"] for r in clusters.select("cluster").distinct().collect())  # one per cluster
+    rows = t.accounts(spark, sf).withColumn("address", t.text("address"))
+    return cluster_series(rows, clusters, "address", "block_timestamp", "D", ["amount"], names)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from periodica.operators import association, groups, miners, ordered, projects, risk
 from periodica.plans import tables as t
 from periodica.plans.registry import query
+from periodica.session import shared_folder
+from periodica.sources.artifacts import ArtifactStore
 
 
 def _t_cut(free: str) -> str:
@@ -86,6 +88,20 @@ def significant_features(spark, sf):
     return association.significant_features(table).select("variable_1", "variable_2", "relationship")
 
 
+@query("significant_columns", "SELECT coin || '_' || variable_2 AS name, variable_2 AS feature FROM (" + _pairs_sql("$daily", "watch", _DAILY_FEATURES)
+       + "), (SELECT DISTINCT crypto AS coin FROM $daily) WHERE relationship <> 'none' AND relationship <> 'Not significant'")
+def significant_columns(spark, sf):
+    """Saved features of one target, matched by name to the columns of a table with one column per coin and measure."""
+    rows = t.daily(spark, sf)
+    store, now = ArtifactStore(spark, shared_folder(spark, "features")), datetime(2024, 2, 1)
+    key = "adoption_features:developer-watch"
+    association.save_significant(store, association.linear_relationships(rows, "watch", _DAILY_FEATURES), key, now)
+    features = association.load_significant(store, key, now)
+    wide = rows.groupBy("timestamp").pivot("crypto").agg(*[F.first(c).alias(c) for c in ["watch", *_DAILY_FEATURES]])
+    found = [(c, f) for f in features for c in association.matching_columns(wide.columns, [f])]
+    return spark.createDataFrame(found, "name string, feature string")
+
+
 def _u_sql(view: str, target: str, features: list[str]) -> str:
     parts = []
     for f in features:

@@ -7,11 +7,11 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from periodica.operators import groups
+from periodica.operators import groups, miners
 from periodica.plans import tables as t
 from periodica.plans.registry import query
 from periodica.session import shared_folder
-from periodica.sources import csvfiles
+from periodica.sources import csvfiles, scan
 from periodica.sources.artifacts import CHECKPOINT_DAYS, ArtifactStore
 from periodica.sources.tables import DayTables, RangeDatasets, load_hull, load_missing
 
@@ -210,3 +210,28 @@ def incremental_range_load(spark, sf):
     day = F.to_date("block_timestamp")
     held = rows.where(day.between("2024-01-10", "2024-01-14") | day.between("2024-01-18", "2024-01-21"))
     return load_missing(held, rows, "block_timestamp", date(2024, 1, 4), date(2024, 1, 27))
+
+
+@query("churn_dict_load", """
+SELECT transaction_hash, block_timestamp, from_addr, value FROM $warehouse
+WHERE CAST(block_timestamp AS DATE) BETWEEN DATE '1996-01-01' AND DATE '2000-06-30' AND from_addr IN (
+  SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal < 1000 OR s_acctbal > 7000)""")
+def churn_dict_load(spark, sf):
+    store = ArtifactStore(spark, shared_folder(spark, "churn"))
+    suppliers = t.table(spark, sf, "supplier").withColumn("address", t.text("s_suppkey"))
+    churned, retained = suppliers.where("s_acctbal < 1000"), suppliers.where("s_acctbal > 7000")
+    miners.save_churn_lists(store, churned, retained.limit(0), "tier1_churned_dict:a", date(1996, 1, 1), date(1998, 1, 1), NOW)
+    miners.save_churn_lists(store, churned, retained, "tier1_churned_dict:b", date(1997, 1, 1), date(2000, 6, 30), NOW)
+    rows = t.warehouse(spark, sf).select("transaction_hash", "block_timestamp", "from_addr", "value")
+    return miners.listed_rows(store, "tier1_churned_dict:%", NOW, rows, "from_addr")
+
+
+@query("held_or_load", _ACCOUNT_SQL + """
+WHERE block_timestamp BETWEEN TIMESTAMP '2024-01-04' AND TIMESTAMP '2024-01-09'
+UNION ALL """ + _ACCOUNT_SQL + """ WHERE block_timestamp BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-28'""")
+def held_or_load(spark, sf):
+    source = _accounts(spark, sf)
+    held = scan.scan_days(source, "2024-01-03", "2024-01-12")
+    within = scan.held_or_scan(held, source, "2024-01-04", "2024-01-09")
+    beyond = scan.held_or_scan(held, source, "2024-01-10", "2024-01-28")
+    return within.unionByName(beyond)

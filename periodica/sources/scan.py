@@ -69,6 +69,19 @@ def scan_moments(df: DataFrame, start, end, ts_col: str = "block_timestamp", col
     return _finish(kept, cols, ts_col, ordered, table)
 
 
+def held_or_scan(held: DataFrame | None, source: DataFrame, start, end, ts_col: str = "block_timestamp",
+                 cols: list[str] | None = None) -> DataFrame:
+    """The range out of a held table when that covers it, else out of the source.
+
+    The test reads one row, the ends of the held table; nothing is loaded by it.
+    """
+    if held is not None:
+        low, high = held.agg(F.min(ts_col), F.max(ts_col)).first()
+        if low is not None and low <= _moment(start) and high >= _moment(end):
+            return scan_moments(held, start, end, ts_col, cols)
+    return scan_moments(source, start, end, ts_col, cols)
+
+
 def flatten(df: DataFrame) -> DataFrame:
     """Nested fields as columns with dotted names."""
 

@@ -186,3 +186,9 @@ def test_empty_inputs(spark):
     assert resample.resample(df, "ts", "D", {"s": ("sum", "v")}).count() == 0
     assert groups.box_summary(df, "v", "g").count() == 0
     assert groups.histogram(df.where("v > 0").unionByName(spark.createDataFrame([(None, 1.0, "a")], df.schema)), ["v"], 5).count() == 1
+
+
+def test_card_texts(spark):
+    df = spark.createDataFrame([(1234567.891,)], "v double")
+    got = df.select(*[cards.card_text(k, F.col("v")).alias(k) for k in ("money", "percent", "days", "project")]).first()
+    assert tuple(got) == ("$1,234,567.89", "1234567.891%", "1234567.89 days", "1234567 projects")
