@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.tails import chi2_p, normal_p, student_p
-from periodica.operators.ordered import find_cuts, mid_ranks
+from periodica.operators.ordered import SLICE, Cuts, add_slice, find_cuts, mid_ranks
 from periodica.sources.artifacts import CHECKPOINT_DAYS, ArtifactStore
 
 # Limits of |r| and the significance level.
@@ -85,19 +85,23 @@ def mann_whitney(df: DataFrame, target: str, features: list[str], alpha: float =
     'No' means the two samples differ.
     """
     others = [f for f in features if f != target]
-    cells = []
-    for f in others:
-        for name, mine in ((target, 1), (f, 0)):
-            cells.append(F.struct(
-                F.lit(f).alias("variable_2"), F.col(f"`{name}`").cast("double").alias("_v"), F.lit(mine).alias("_a")))
+    cells = [
+        F.struct(F.lit(c).alias("_c"), F.col(f"`{c}`").cast("double").alias("_v")) for c in dict.fromkeys([target, *others])
+    ]
     long = df.select(F.inline(F.array(*cells))).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    cuts = find_cuts(long, "_v")
-    counts = long.groupBy("variable_2", "_v").agg(F.sum("_a").alias("_na"), F.count(F.lit(1)).alias("_t"))
-    ranked = mid_ranks(counts, "_v", "_t", keys="variable_2", cuts=cuts)
+    counts = long.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # The target is counted once and its counts are given to every pair.
+    mine = F.col("_c") == target
+    pairs = counts.select(
+        F.explode(F.when(mine, F.array(*[F.lit(f) for f in others])).otherwise(F.array("_c"))).alias("variable_2"),
+        "_v", F.when(mine, F.col("_n")).otherwise(0).alias("_na"), "_n",
+    )
+    ranked = _rank_pairs(pairs, find_cuts(long, "_v"))
     t = F.col("_t").cast("double")
     sums = ranked.groupBy("variable_2").agg(
         F.sum(F.col("_na") * F.col("rank")).alias("_ra"), F.sum("_na").cast("double").alias("_n1"),
-        F.sum(t).alias("_n"), F.sum(t * t * t - t).alias("_ties"),
+        F.sum("_n").cast("double").alias("_n"),
+        F.sum(F.col("_n") * (t * t - 1)).alias("_ties"),  # summed over the t equal rows: t^3 - t
     )
     n, n1 = F.col("_n"), F.col("_n1")
     n2 = n - n1
@@ -112,6 +116,26 @@ def mann_whitney(df: DataFrame, target: str, features: list[str], alpha: float =
     )
 
 
+def _rank_pairs(pairs: DataFrame, cuts: Cuts) -> DataFrame:
+    """Mean rank of each value within its pair; a value may occur once per sample.
+
+    Slices follow the value, so equal values of both samples meet in one slice and are
+    counted together by a window there instead of another aggregation.
+    """
+    sliced = add_slice(pairs, "_v", cuts)
+    sums = sliced.groupBy("variable_2", SLICE).agg(F.sum("_n").alias("_s"))
+    before = Window.partitionBy("variable_2").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(
+        F.col("variable_2").alias("_b"), F.col(SLICE).alias("_bs"),
+        F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("variable_2", SLICE).orderBy("_v")
+    joined = sliced.join(base, (F.col("variable_2") == F.col("_b")) & (F.col(SLICE) == F.col("_bs")))
+    reached = F.sum("_n").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.sum("_n").over(Window.partitionBy("variable_2", SLICE, "_v"))
+    return joined.withColumns({"_upto": reached, "_t": same}).withColumn(
+        "rank", F.col("_base") + F.col("_upto") - F.col("_t") + (F.col("_t") + 1) / 2.0)
+
+
 def kruskal(df: DataFrame, outcomes: list[str], treatments: list[str], counted: list[str] = (),
             alpha: float = 0.05) -> DataFrame:
     """Kruskal-Wallis H of each outcome over the levels of each treatment, tie corrected.

@@ -38,18 +38,19 @@ def coin_aggregates(coins: list[str], measures: list[str] = COIN_SUMS) -> dict[s
 
 
 def share_of_total(df: DataFrame, key: str, counted: str, digits: int = 1) -> DataFrame:
-    """Counted rows per key and their percentage; the total is a scalar subquery, not a global window."""
-    total = df.agg(F.count(counted)).scalar()
+    """Counted rows per key and their percentage.
+
+    The total is a scalar subquery over the counts, which reuses their shuffle; a window
+    over all keys would bring them into one task.
+    """
     counts = df.groupBy(key).agg(F.count(counted).alias("block_count"))
-    return counts.withColumn("percentage", F.round(100 * F.col("block_count") / total, digits))
+    total = counts.agg(F.sum("block_count")).scalar()
+    return counts.withColumn("percentage", F.round(F.try_divide(100 * F.col("block_count"), total), digits))
 
 
 def share_by_day(df: DataFrame, ts: str) -> DataFrame:
-    total = df.agg(F.count(ts)).scalar()
-    return (
-        df.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(F.count(ts).alias("rows"))
-        .withColumn("percentage", 100 * F.col("rows") / total)
-    )
+    counts = df.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(F.count(ts).alias("rows"))
+    return counts.withColumn("percentage", 100 * F.col("rows") / counts.agg(F.sum("rows")).scalar())
 
 
 def per_day(df: DataFrame, ts: str, skip: list[str] = ()) -> DataFrame:
@@ -106,20 +107,19 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 25) -> DataFrame:
 def box_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     """Minimum, exact quartiles and maximum by group, with the axis limits over all groups."""
     boxes = exact_quantiles(df, value, [0.25, 0.5, 0.75], keys=by)
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    low, high = boxes.agg(F.min("min")).scalar(), boxes.agg(F.max("max")).scalar()
     return boxes.select(
         by, "min", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"), "max",
-        (ends.select("lo").scalar() * 0.9).alias("axis_low"), (ends.select("hi").scalar() * 1.1).alias("axis_high"),
+        (low * 0.9).alias("axis_low"), (high * 1.1).alias("axis_high"),
     )
 
 
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """Every value of every column, and 'all' once per column, for a selection list."""
-    pairs = [
-        F.struct(F.lit(c).alias("menu"), v.alias("value"))
-        for c in columns for v in (F.lit("all"), F.col(c).cast("string"))
-    ]
-    return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull()).distinct()
+    pairs = [F.struct(F.lit(c).alias("menu"), F.col(c).cast("string").alias("value")) for c in columns]
+    values = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull()).distinct()
+    every = df.sparkSession.createDataFrame([(c, "all") for c in columns], "menu string, value string")
+    return values.unionByName(every)
 
 
 def distinct_rows(df: DataFrame, columns: list[str]) -> DataFrame:

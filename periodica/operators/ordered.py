@@ -21,6 +21,10 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 from periodica.session import shuffle_width
 
 SLICE = "_slice"
+# A slice is meant to hold this many rows. There are at least as many slices as shuffle
+# partitions and at most eight times as many.
+ROWS_PER_SLICE = 2_000_000
+MOST_SLICES = 16_384
 WHOLE = -1  # slice number of the keys that are not sliced
 INF = float("inf")
 
@@ -48,20 +52,34 @@ class Cuts:
     inner: list[float] = field(default_factory=list)
 
 
+def _marks(numbers: DataFrame, column: str, slices: int | None) -> list[float]:
+    """Quantiles of a column, and by the count from the same pass as many slices as the rows call for."""
+    width = shuffle_width(numbers.sparkSession)
+    parts = slices or min(MOST_SLICES, 8 * width)
+    if parts < 2:
+        return []
+    probs = F.expr("array(" + ", ".join(f"{i / parts!r}D" for i in range(1, parts)) + ")")
+    row = numbers.where(F.col(column).isNotNull() & ~F.isnan(column)).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(column, probs, F.lit(4 * parts)).alias("q")
+    ).first()
+    if not row["n"]:
+        return []
+    wanted = min(parts, max(width, math.ceil(row["n"] / ROWS_PER_SLICE)))
+    n = slices or wanted
+    return [row["q"][round(i * parts / n) - 1] for i in range(1, n)]
+
+
 def find_cuts(df: DataFrame, order: str, tiebreak: str | None = None, slices: int | None = None) -> Cuts:
     """One scan for quantiles; a second one, over heavy values only, when there are any."""
-    n = slices or shuffle_width(df.sparkSession)
-    probs = [i / n for i in range(1, n)]
-    error = 1.0 / (4 * n)
     numbers = df.select(
         as_number(df, order).alias("_x"), *([as_number(df, tiebreak).alias("_t")] if tiebreak else [])
     )
-    marks = numbers.where(~F.isnan("_x")).approxQuantile("_x", probs, error)
+    marks = _marks(numbers, "_x", slices)
     heavy = sorted(v for v, seen in Counter(marks).items() if seen > 1)
     edges = sorted(set(marks) | {math.nextafter(v, INF) for v in heavy})
     inner: list[float] = []
     if heavy and tiebreak:
-        inner = sorted(set(numbers.where(F.col("_x").isin(heavy)).approxQuantile("_t", probs, error)))
+        inner = sorted(set(_marks(numbers.where(F.col("_x").isin(heavy)), "_t", slices)))
     return Cuts(edges, heavy, inner)
 
 
@@ -103,14 +121,14 @@ def slice_for_keys(
     misses a key above the support; a key it names without need is merely sliced for nothing.
     """
     keys = _names(keys)
-    n = slices or shuffle_width(df.sparkSession)
     if not keys:
-        return add_slice(df, order, cuts or find_cuts(df, order, tiebreak, n), tiebreak)
+        return add_slice(df, order, cuts or find_cuts(df, order, tiebreak, slices), tiebreak)
+    share = 1.0 / (slices or 4 * shuffle_width(df.sparkSession))
     marked = df.withColumn("_sl_k", F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
-    frequent = marked.freqItems(["_sl_k"], max(1e-4, 1.0 / n)).first()[0] or []
+    frequent = marked.freqItems(["_sl_k"], max(1e-4, share)).first()[0] or []
     if not frequent:
         return df.withColumn(SLICE, F.lit(WHOLE).cast("long"))
-    cuts = cuts or find_cuts(df, order, tiebreak, n)
+    cuts = cuts or find_cuts(df, order, tiebreak, slices)
     sliced = add_slice(marked, order, cuts, tiebreak)
     number = F.when(F.col("_sl_k").isin(list(frequent)), F.col(SLICE)).otherwise(F.lit(WHOLE).cast("long"))
     return sliced.withColumn(SLICE, number).drop("_sl_k")

@@ -19,11 +19,11 @@ def flow_links(df: DataFrame, source: str, target: str, value: str, percentile:
     The thousandths are at most 1000 different numbers, so the percentile needs no ordering
     of the links.
     """
-    sums = df.groupBy(source, target).agg(F.sum(value).cast("double").alias("_v"))
-    total = df.agg(F.sum(value).cast("double")).scalar()
+    sums = df.groupBy(source, target).agg(F.sum(value).alias("_v"))
+    total = sums.agg(F.sum("_v").cast("double")).scalar()
     links = sums.select(
         F.col(source).alias("source"), F.col(target).alias("target"),
-        F.greatest(F.floor(F.try_divide(F.col("_v"), total) * 1000), F.lit(1)).cast("long").alias("value"),
+        F.greatest(F.floor(F.try_divide(F.col("_v").cast("double"), total) * 1000), F.lit(1)).cast("long").alias("value"),
     )
     floor = links.agg(F.percentile("value", percentile)).scalar()
     return links.where(F.col("value") >= floor)

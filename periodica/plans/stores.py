@@ -119,7 +119,7 @@ def parquet_range_dataset(spark, sf):
     store = RangeDatasets(spark, shared_folder(spark, "ranges"))
     rows = _accounts(spark, sf)
     store.save(rows, "warehouse:models", date(2024, 1, 2), date(2024, 1, 28), NOW, "block_timestamp")
-    store.save(rows.limit(0), "warehouse:models", date(2024, 1, 2), date(2024, 1, 28), NOW, "block_timestamp")
+    store.save(rows.where("amount > 100"), "warehouse:models", date(2024, 1, 2), date(2024, 1, 28), NOW, "block_timestamp")
     return store.load("warehouse:models", date(2024, 1, 5), date(2024, 1, 20), NOW, "block_timestamp")
 
 
@@ -220,7 +220,7 @@ def churn_dict_load(spark, sf):
     store = ArtifactStore(spark, shared_folder(spark, "churn"))
     suppliers = t.table(spark, sf, "supplier").withColumn("address", t.text("s_suppkey"))
     churned, retained = suppliers.where("s_acctbal < 1000"), suppliers.where("s_acctbal > 7000")
-    miners.save_churn_lists(store, churned, retained.limit(0), "tier1_churned_dict:a", date(1996, 1, 1), date(1998, 1, 1), NOW)
+    miners.save_churn_lists(store, churned, retained.where("s_acctbal > 9000"), "tier1_churned_dict:a", date(1996, 1, 1), date(1998, 1, 1), NOW)
     miners.save_churn_lists(store, churned, retained, "tier1_churned_dict:b", date(1997, 1, 1), date(2000, 6, 30), NOW)
     rows = t.warehouse(spark, sf).select("transaction_hash", "block_timestamp", "from_addr", "value")
     return miners.listed_rows(store, "tier1_churned_dict:%", NOW, rows, "from_addr")

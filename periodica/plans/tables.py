@@ -91,7 +91,7 @@ def warehouse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pools(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").where(F.col("c_custkey") % 10 == 0).select(
+    return table(spark, sf, "customer").where(F.col("c_mktsegment") == "MACHINERY").select(
         text("c_custkey").alias("address"), F.col("c_name").alias("poolname"))
 
 
@@ -178,7 +178,7 @@ VIEW_SQL = {
       CAST(l_suppkey AS VARCHAR) AS from_addr, CAST(l_partkey AS VARCHAR) AS to_addr, l_extendedprice AS value
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "pools": """(SELECT CAST(c_custkey AS VARCHAR) AS address, c_name AS poolname FROM customer
-      WHERE c_custkey % 10 = 0)""",
+      WHERE c_mktsegment = 'MACHINERY')""",
     "business": """(SELECT o_orderkey AS event, o_orderpriority AS type, o_totalprice AS rate,
       o_orderdate AS start_actual, o_orderstatus AS status, c_custkey AS patron, c_acctbal AS remuneration,
       c_mktsegment AS company, n_name AS patron_parish
