@@ -9,6 +9,22 @@ from periodica.functions.scalars import normalise_label
 from periodica.session import shuffle_width
 
 
+def frequent_keys(df: DataFrame, key: str, share: float) -> list:
+    """Keys that hold at least a share of the rows; there are at most 1 / share of them.
+
+    ``freqItems`` names candidates in one pass without a shuffle, and never misses one. The
+    second pass counts them, since a rare key may be named too and must not be salted: its
+    rows on the other side would be copied for nothing.
+    """
+    named = [k for k in df.select(key).freqItems([key], share).first()[0] or [] if k is not None]
+    if not named:
+        return []
+    candidate = F.when(F.col(key).isin(named), F.col(key))
+    sizes = {r[0]: r[1] for r in df.groupBy(candidate.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = share * sum(sizes.values())
+    return [k for k in named if sizes.get(k, 0) >= least]
+
+
 def left_join_spread(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                      spread: Column | None = None, salts: int | None = None) -> DataFrame:
     """Left join whose right side may repeat a key very often.
@@ -16,16 +32,14 @@ def left_join_spread(left: DataFrame, right: DataFrame, left_key: str, right_key
     Spark splits a skewed left side by itself, but not the right side of a left join.
     Frequent right keys are therefore divided over salts and their left rows are copied
     once per salt. Such a key does occur on the right, so a copy that met no row is
-    dropped and nothing else changes. ``freqItems`` finds the keys in one pass without a
-    shuffle and names at most one per salt-sized share.
+    dropped and nothing else changes.
 
     ``spread`` numbers the right rows and must give the same number again when a task is
     repeated. The default hashes the row; a side that comes straight from a scan can use
     ``monotonically_increasing_id``, which also divides equal copies of one row.
     """
     n = salts or shuffle_width(left.sparkSession)
-    named = right.select(right_key).freqItems([right_key], max(1e-4, 1.0 / n)).first()[0] or []
-    frequent = [k for k in named if k is not None]
+    frequent = frequent_keys(right, right_key, max(1e-4, 1.0 / n))
     if not frequent:
         return left.join(right, F.col(left_key) == F.col(right_key), "left")
     if spread is None:

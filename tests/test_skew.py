@@ -112,6 +112,13 @@ def test_spread_left_join(spark):
         assert got.columns == ["lk", "l", "rk", "r"] and sorted(map(str, got.collect())) == want
 
 
+def test_only_counted_keys_are_frequent(spark):
+    data = [("hot",)] * 60 + [(f"k{i}",) for i in range(40)] + [(None,)] * 20
+    df = spark.createDataFrame(data, "k string").repartition(3)
+    assert joins.frequent_keys(df, "k", 0.2) == ["hot"]
+    assert joins.frequent_keys(df.where("k like 'k%'"), "k", 0.2) == []
+
+
 def test_dense_index(spark):
     df = spark.createDataFrame([(f"n{i}",) for i in range(500)], "name string")
     got = [r["i"] for r in ordered.dense_index(df, "name", "i", digits=1).collect()]
