@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import chat, packing, warc
+from periodica.llm import chat, decontamination, language, packing, warc
 from periodica.llm.common import table
 from periodica.session import shared_folder
 
@@ -77,3 +77,16 @@ def op7(spark, sf):
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op1_cgk_decontamination")
+def op1(spark, sf):
+    return decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op9_byte_cnn_language")
+def op9(spark, sf):
+    docs = table(spark, sf, "documents")
+    net = language.fit(docs.filter(~language.held_out()))
+    return language.predict(docs.select("doc_id", "text"), net).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
