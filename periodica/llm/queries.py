@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import chat, decontamination, language, packing, warc
+from periodica.llm import chat, decontamination, language, neardup, packing, warc
 from periodica.llm.common import table
 from periodica.session import shared_folder
 
@@ -90,3 +90,20 @@ def op9(spark, sf):
     net = language.fit(docs.filter(~language.held_out()))
     return language.predict(docs.select("doc_id", "text"), net).select(
         "doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_superminhash_near_dedup", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS m FROM n UNION SELECT l.a, r.m FROM r JOIN l ON l.b = r.a)
+SELECT n.doc_id, n.n AS n_shingles, min(m) AS component_id, n.doc_id = min(m) AS kept
+FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""")
+def op6(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents"), k=3, percent=85)
