@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import chat, decontamination, language, neardup, packing, warc
+from periodica.llm import ann, chat, decontamination, language, neardup, packing, warc
 from periodica.llm.common import table
-from periodica.session import shared_folder
+from periodica.session import materialise, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,10 @@ SELECT n.doc_id, n.n AS n_shingles, min(m) AS component_id, n.doc_id = min(m) AS
 FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""")
 def op6(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents"), k=3, percent=85)
+
+
+@query("op10_hnsw_nearest")
+def op10(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    index = materialise(ann.build_index(vectors), "index")
+    return ann.nearest(index, vectors.filter(F.col("vec_id") % 20 == 0))
