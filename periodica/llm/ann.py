@@ -203,9 +203,9 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     asked = materialise(asked.select("id", F.size("v").alias("dim"), "v"), "queries")
     blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)))
-    places = index.select("shard", "dim")
+    places = index.select(F.col("shard").alias("to"), F.col("dim").alias("size"))
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    routed = asked.join(places, "dim")  # a query goes to every shard: the stated queries against all rows
+    routed = asked.join(places, F.col("dim") == F.col("size"))  # a query goes to every shard: the stated queries against all rows
 
     def find(key: tuple, table: pa.Table, held: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
@@ -228,7 +228,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "f8")]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
-    hits = routed.groupBy("shard", "dim", "block").cogroup(spread.groupBy("shard", "dim", "block")).applyInArrow(
+    hits = routed.groupBy("to", "size", "block").cogroup(spread.groupBy("shard", "dim", "block")).applyInArrow(
         find, "query_id long, vec_id long, score double")
     from pyspark.sql import Window as W
 
