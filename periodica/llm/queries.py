@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import ann, chat, decontamination, language, neardup, packing, warc
+from periodica.llm import ann, chat, decontamination, language, neardup, packing, pii, warc
 from periodica.llm.common import table
 from periodica.session import materialise, shared_folder
 
@@ -114,3 +114,8 @@ def op10(spark, sf):
     vectors = table(spark, sf, "embeddings")
     index = materialise(ann.build_index(vectors), "index")
     return ann.nearest(index, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query("op8_bootstrapped_pii")
+def op8(spark, sf):
+    return pii.find(table(spark, sf, "documents"))
