@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import ann, chat, decontamination, language, neardup, packing, pii, warc
+from periodica.llm import ann, chat, decontamination, language, lines, neardup, packing, pii, substrings, warc
 from periodica.llm.common import table
 from periodica.session import materialise, shared_folder
 
@@ -119,3 +119,37 @@ def op10(spark, sf):
 @query("op8_bootstrapped_pii")
 def op8(spark, sf):
     return pii.find(table(spark, sf, "documents"))
+
+
+@query("op3_substring_dedup", r"""
+WITH s AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS unit FROM (
+  SELECT doc_id, string_split(regexp_replace(text, '([.!?][ \t]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL)),
+u AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY unit) AS stop,
+  trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM s WHERE part <> ''),
+c AS (SELECT *, len(string_split(norm, ' ')) >= 6 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) > 1 AS gone FROM u)
+SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+  string_agg(cast(stop - length(part) AS BIGINT) || ':' || cast(stop AS BIGINT), ',' ORDER BY unit) FILTER (WHERE gone) AS removed,
+  coalesce(string_agg(part, '' ORDER BY unit) FILTER (WHERE NOT gone), '') AS text
+FROM c GROUP BY doc_id HAVING count(*) FILTER (WHERE gone) > 0""")
+def op3(spark, sf):
+    spans = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string")))
+    return substrings.dedup(table(spark, sf, "documents")).select("doc_id", "n_removed", F.array_join(spans, ",").alias("removed"), "text")
+
+
+@query("op5_suffix_array_lines", r"""
+WITH l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM (
+  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l WHERE regexp_matches(line, '\S')),
+w AS (SELECT *, lead(line, 1) OVER p AS l1, lead(line, 2) OVER p AS l2 FROM f WINDOW p AS (PARTITION BY doc_id ORDER BY s)),
+d AS (SELECT doc_id, s, row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, s) > 1 AS later FROM w WHERE l2 IS NOT NULL),
+c AS (SELECT DISTINCT doc_id, s + k AS s FROM d, (SELECT unnest([0, 1, 2]) AS k) WHERE later),
+g AS (SELECT f.doc_id, f.i, c.s IS NOT NULL AS gone FROM f LEFT JOIN c USING (doc_id, s)),
+a AS (SELECT l.doc_id, l.i, l.line, g.gone, last_value(g.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.i) AS before,
+  first_value(g.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+  FROM l LEFT JOIN g USING (doc_id, i)),
+r AS (SELECT *, coalesce(gone, before AND after, false) AS cut FROM a)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT cut), '') AS text FROM r GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""")
+def op5(spark, sf):
+    return lines.dedup(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_removed", "text")
