@@ -1,13 +1,55 @@
-"""A corpus pipeline over the operators of periodica.llm."""
+"""A corpus pipeline over the operators of periodica.llm: documents in, packed training sequences out."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from periodica.llm import decontamination, language, lines, neardup, packing
 from periodica.llm.common import table
+from periodica.llm.queries import word_tokenizer
 from periodica.session import shared_folder
 
-STAGES: list = []
+#: A document is rejected if its language is unknown or the network gives it less than this.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter and texts that the network is unsure of go; the labels are only learned from."""
+    net = language.fit(docs.filter(~language.held_out()))
+    told = language.predict(docs.drop("lang_pred", "score"), net)
+    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs go, and documents of which nothing is left; n_chars follows the text."""
+    cut = lines.dedup(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: shingles of five words, similarity of 0.8 or more."""
+    return neardup.keep_one(docs, k=5, percent=80).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences of 2048 tokens."""
+    return packing.pack(packing.pieces(docs, word_tokenizer()))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+#: SQL cannot state the first stage; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from periodica.llm.common import mix, word_hashes
 
@@ -202,47 +203,58 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str, least: int) -> Ite
         yield some
 
 
+def _found(texts: pa.Array, items: dict, share: float) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
+    """(row, match) of all texts of a batch."""
+    for some in _groups(texts):
+        for n, tries in sorted(candidates([w for _, w in some], items).items()):
+            at, tokens = some[n]
+            for hit in matches(tokens, tries, items, share):
+                yield at, hit
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text", share: float = 0.2, least: int = 8, extra: tuple[str, ...] = ()) -> DataFrame:
+                  item_text: str = "text", share: float = 0.2, least: int = 8) -> DataFrame:
     """Rows (id, item_id, word_start, word_end, item_words, edits), one for each place where an item stands in a document.
 
     Words are the runs of letters, digits and underscores, in lower case. An item of n words is found where at most
     ``share * n`` words must be inserted, removed or exchanged. Items of fewer than ``least`` words are not looked
     for, since any text may hold them. Null and empty texts hold nothing; rows that repeat an id are searched each.
-    ``extra`` names further columns of the documents to carry along. An empty benchmark gives no rows.
+    An empty benchmark gives no rows. Other columns of the input are not read.
     """
     spark = docs.sparkSession
-    source = docs.select(*[F.col(c) for c in extra], F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    head = source.schema[:len(extra)]
-    kind = source.schema["_id"].dataType
-    found = None
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    schema = T.StructType([T.StructField(id_col, source.schema["_id"].dataType), *[
+        T.StructField(c, T.LongType()) for c in (item_col, "word_start", "word_end", "item_words", "edits")]])
+    names = schema.names
+    out = None
     for some in _passes(benchmark, item_col, item_text, least):
         held = spark.sparkContext.broadcast(item_table(some))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items = held.value
             for batch in batches:
-                rows, hits = [], []
-                for some in _groups(batch.column(len(extra) + 1)):
-                    for n, tries in sorted(candidates([w for _, w in some], items).items()):
-                        at, tokens = some[n]
-                        for hit in matches(tokens, tries, items, share):
-                            rows.append(at)
-                            hits.append((items["ids"][hit[0]], hit[1], hit[2], len(items["hashes"][hit[0]]), hit[3]))
-                kept = batch.take(pa.array(rows, pa.int64()))
-                columns = [kept.column(i) for i in range(len(extra) + 1)]
-                columns += [pa.array([h[i] for h in hits], pa.int64()) for i in range(5)]
-                yield pa.RecordBatch.from_arrays(columns, names=out_names)
-
-        from pyspark.sql import types as T
-
-        schema = T.StructType([*head, T.StructField(id_col, kind)] + [
-            T.StructField(c, T.LongType()) for c in (item_col, "word_start", "word_end", "item_words", "edits")])
-        out_names = schema.names
+                rows = [(at, items["ids"][n], start, end, len(items["hashes"][n]), edits)
+                        for at, (n, start, end, edits) in _found(batch.column(1), items, share)]
+                columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=names)
+
         part = source.mapInArrow(scan, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.limit(0).select(
-            *[F.col(c) for c in extra], F.col(id_col), *[F.lit(None).cast("long").alias(c) for c in (
-                item_col, "word_start", "word_end", "item_words", "edits")])
-    return found
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+          share: float = 0.2, least: int = 8) -> DataFrame:
+    """The documents, all columns, that hold no benchmark item (see ``contamination``); decided where they are read."""
+    at = docs.columns.index(text_col)
+    for some in _passes(benchmark, item_col, item_text, least):
+        held = docs.sparkSession.sparkContext.broadcast(item_table(some))
+
+        def sift(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _ in _found(batch.column(at), held.value, share)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(sift, docs.schema)
+    return docs

@@ -209,3 +209,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     component = F.when(F.col("class").isNull(), F.col("_id")).otherwise(F.col("component_id"))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, without near-duplicates: of each component the row with the smallest id stays.
+
+    Ties go to one text of that id, and of rows that repeat id and text one stays. A null id comes last.
+    """
+    keyed = docs.withColumn("_key", text_key(text_col)).withColumn(
+        "_name", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_key").alias("key")))
+    named = materialise(near_duplicates(keyed, k, percent, "_name", text_col), "named")
+    kept = named.filter("kept").select(F.col("_name.id").alias("_kept"), F.col("_name.key").alias("_key2"))
+    same = F.col(id_col).eqNullSafe(F.col("_kept")) & (F.col("_key") == F.col("_key2"))
+    out = keyed.drop("_name").join(kept, same, "left_semi")
+    if kept.groupBy("_kept", "_key2").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, "_key"])
+    return out.drop("_key")
