@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from periodica.llm.common import WordCache
 from periodica.session import materialise
 
 GROUP = 8_192
@@ -30,29 +29,61 @@ BRANCHES = 6
 CONTROL = "\x1c\x1d\x1e\x1f"
 
 
+#: Words whose ids a Python worker remembers, and texts that are encoded together.
+WORDS, TEXTS = 600_000, 256
+SEPARATOR = "|"
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str):
-    """Text to little-endian unsigned 32-bit ids.
+    """A function from texts to their ids, as little-endian unsigned 32-bit integers.
 
     White space ends every token of this kind of vocabulary (words are split there and the space is dropped), so
-    the ids of a text are the ids of its words one after another and words can be remembered. The separators
-    U+001C to U+001F are white space to Python alone: such texts go to the tokenizer whole.
+    the ids of a text are the ids of its words one after another and words can be remembered. New words are encoded
+    in one call, with a separator that is one token of its own between them; words that hold it, and texts with the
+    separators U+001C to U+001F, which are white space to Python alone, go to the tokenizer by themselves.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-
-    def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    words = WordCache(whole)
-
-    def ids(text: str) -> bytes:
-        if any(c in text for c in CONTROL):
-            return whole(text)
-        return b"".join(map(words.__getitem__, text.split()))
-
-    return ids
+    known: dict[str, bytes] = {}
+
+    def whole(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    mark = whole(SEPARATOR)
+
+    def learn(words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if SEPARATOR not in w] if len(mark) == 1 else []
+        found = {w: whole(w).tobytes() for w in set(words).difference(plain)}
+        if plain:
+            ids = whole(f" {SEPARATOR} ".join(plain))
+            cuts = np.flatnonzero(ids == mark[0])
+            data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            start = 0
+            for word, end in zip(plain, ends, strict=True):
+                found[word] = data[start:end]
+                start = end + 4
+        return found
+
+    def encode(texts: list[str]) -> list[bytes]:
+        split, missing = [], set()
+        for text in texts:
+            if any(c in text for c in CONTROL):
+                split.append(([text], [whole(text).tobytes()]))
+                continue
+            words = text.split()
+            parts = list(map(known.get, words))
+            if None in parts:
+                missing.update(w for w, p in zip(words, parts, strict=True) if p is None)
+            split.append((words, parts))
+        new = learn(list(missing))
+        if len(known) < WORDS:
+            known.update(new)
+        return [b"".join([new[w] if p is None else p for w, p in zip(words, parts, strict=True)] if None in parts else parts)
+                for words, parts in split]
+
+    return encode
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048,
@@ -71,13 +102,16 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encode = encoder(tokenizer)
         for batch in batches:
             rows: list[list] = [[] for _ in fields]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at:at + 4 * size]
-                    values = [doc, piece, at // 4, len(part) // 4, zlib.crc32(part)]
-                    for column, value in zip(rows, values + [np.frombuffer(part, "<u4").astype("i4")] * keep_ids, strict=True):
-                        column.append(value)
+            for first in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(first, TEXTS)
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                for doc, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[at:at + 4 * size]
+                        values = [doc, piece, at // 4, len(part) // 4, zlib.crc32(part)]
+                        for column, value in zip(rows, values + [np.frombuffer(part, "<u4").astype("i4")] * keep_ids, strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(rows, fields, strict=True)], schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
