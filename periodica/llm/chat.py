@@ -39,11 +39,12 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     the sum of its nodes' scores; ties go to the smaller leaf. A parent that is not there makes its child a root;
     nodes on a cycle have no root and give no path. A path is named by its leaf.
     """
-    known = nodes.select(F.col("node").alias("parent")).distinct()
+    known = nodes.select(F.col("node").alias("parent")).filter(F.col("parent").isNotNull()).distinct()
     rooted = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    jumps = materialise(
-        rooted.join(known.withColumn("there", F.lit(True)), "parent", "left")
-        .select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).alias("hops"), "score"), "jumps")
+    roots = rooted.filter(F.col("parent").isNull())  # kept out of the join, where they would all meet in one task
+    placed = rooted.filter(F.col("parent").isNotNull()).join(known.withColumn("there", F.lit(True)), "parent", "left")
+    jumps = materialise(placed.withColumn("parent", F.when(F.col("there"), F.col("parent"))).drop("there").unionByName(roots).select(
+        "tree", "node", F.col("parent").alias("up"), F.lit(1).alias("hops"), "score"), "jumps")
     total = jumps.count()
     levels = [jumps]
     while (waiting := levels[-1].filter(F.col("up").isNotNull())).limit(1).count() and 2 ** (len(levels) - 1) <= total:
