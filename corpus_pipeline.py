@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.llm import decontamination, language, lines, neardup, packing
-from periodica.llm.common import table
+from periodica.llm.common import ship, table
 from periodica.llm.queries import word_tokenizer
 from periodica.session import shared_folder
 
 #: A document is rejected if its language is unknown or the network gives it less than this.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         folder = shared_folder(spark, name)

@@ -72,8 +72,11 @@ def probabilities(net: Network, tables: list[list[np.ndarray]], x: np.ndarray) -
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], rounds: int = 6, per_text: int = 3, seed: int = 7) -> Network:
-    """Adam on the cross entropy of single windows, up to ``per_text`` windows of each text; classes weigh the same."""
+def train(texts: list[str], labels: list[str], rounds: int = 6, per_text: int = 3, steps: int = 600, seed: int = 7) -> Network:
+    """Adam on the cross entropy of single windows, up to ``per_text`` windows of each text; classes weigh the same.
+
+    Runs ``rounds`` times over the windows, or more often until ``steps`` batches are done.
+    """
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     xs, ys = [], []
@@ -90,7 +93,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 6, per_text: int =
     params += [rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(names))), np.zeros(len(names))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    for _ in range(rounds):
+    for _ in range(max(rounds, -(-64 * steps // len(y)))):
         order = rng.permutation(len(y))
         for at in range(0, len(order), 64):
             rows = order[at:at + 64]
