@@ -76,13 +76,13 @@ def save_churn_lists(store: ArtifactStore, churned: DataFrame, retained: DataFra
     store.save(rows, key, start, end, now)
 
 
-def listed_rows(store: ArtifactStore, pattern: str, now: datetime, df: DataFrame, column: str,
+def listed_rows(store: ArtifactStore, prefix: str, now: datetime, df: DataFrame, column: str,
                 ts_col: str = "block_timestamp") -> DataFrame | None:
-    """Rows of the span of all matching lists whose address is on one of them."""
-    ranged = load_hull(store, pattern, now, df, ts_col)
+    """Rows of the span of all lists whose key has the prefix whose address is on one of them."""
+    ranged = load_hull(store, now, df, ts_col, prefix=prefix)
     if ranged is None:
         return None
-    names = store.live(now).where(F.col("key").like(pattern)).select("item").distinct()
+    names = store.latest(now, prefix=prefix).select("item").distinct()
     return members(ranged, column, names, "item")
 
 

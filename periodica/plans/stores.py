@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from periodica.operators import groups, miners
 from periodica.plans import tables as t
 from periodica.plans.registry import query
-from periodica.session import shared_folder
+from periodica.session import materialise, shared_folder
 from periodica.sources import csvfiles, scan
 from periodica.sources.artifacts import CHECKPOINT_DAYS, ArtifactStore
 from periodica.sources.tables import DayTables, RangeDatasets, load_hull, load_missing
@@ -32,6 +32,13 @@ def _tables(spark, sf) -> DayTables:
     return DayTables(spark, f"periodica_{uuid.uuid4().hex[:12]}")
 
 
+def _result(store: DayTables, table: str):
+    """The table's rows, written apart, so that neither table nor database stays in the catalog."""
+    rows = materialise(store.read(table), table)
+    store.drop_database()
+    return rows
+
+
 def _accounts(spark, sf):
     return t.accounts(spark, sf).select(*ACCOUNT_TYPES)
 
@@ -59,7 +66,7 @@ def table_from_dict(spark, sf):
     store.create("account_activity", ACTIVITY_TYPES)
     store.create("account_activity", ACTIVITY_TYPES)  # a second time changes nothing
     store.append(_activity(spark, sf), "account_activity")
-    return store.read("account_activity")
+    return _result(store, "account_activity")
 
 
 @query("sink_append", """
@@ -72,7 +79,7 @@ def sink_append(spark, sf):
     store.append(rows, "accounts")
     again = rows.where("update_type = 'purchase'").select(*reversed(rows.columns))
     store.append(again, "accounts")
-    return store.read("accounts")
+    return _result(store, "accounts")
 
 
 _ACCOUNT_SQL = "SELECT event_id, address, block_timestamp, amount, update_type FROM $accounts"
@@ -85,7 +92,7 @@ def delete_range(spark, sf):
     store.create("accounts", ACCOUNT_TYPES)
     store.append(_accounts(spark, sf), "accounts")
     store.delete_days("accounts", date(2024, 1, 10), date(2024, 1, 14))
-    return store.read("accounts")
+    return _result(store, "accounts")
 
 
 @query("delete_value_range", _ACCOUNT_SQL + " WHERE amount NOT BETWEEN 200 AND 300")
@@ -94,23 +101,27 @@ def delete_value_range(spark, sf):
     store.create("accounts", ACCOUNT_TYPES)
     store.append(_accounts(spark, sf), "accounts")
     store.delete_range("accounts", "amount", 200.0, 300.0)
-    return store.read("accounts")
+    return _result(store, "accounts")
 
 
 @query("upsert_range", _ACCOUNT_SQL + """
 WHERE CAST(block_timestamp AS DATE) NOT BETWEEN DATE '2024-01-12' AND DATE '2024-01-20'
 UNION ALL SELECT event_id, address, block_timestamp, amount * 2, update_type FROM $accounts
 WHERE CAST(block_timestamp AS DATE) BETWEEN DATE '2024-01-12' AND DATE '2024-01-20'
-  AND CAST(block_timestamp AS DATE) <> DATE '2024-01-15'""")
+  AND CAST(block_timestamp AS DATE) <> DATE '2024-01-15'
+UNION ALL SELECT event_id, address, NULL, amount, update_type FROM $accounts WHERE address % 50 = 7
+UNION ALL SELECT event_id, address, NULL, amount * 2, update_type FROM $accounts WHERE address % 50 = 8""")
 def upsert_range(spark, sf):
     store = _tables(spark, sf)
     store.create("accounts", ACCOUNT_TYPES)
     rows = _accounts(spark, sf)
-    store.append(rows, "accounts")
+    untimed = rows.withColumn("block_timestamp", F.lit(None).cast("timestamp_ntz"))
+    store.append(rows.unionByName(untimed.where(F.col("address") % 50 == 7)), "accounts")
     day = F.to_date("block_timestamp")
-    batch = rows.where(day.between("2024-01-12", "2024-01-20") & (day != "2024-01-15"))
+    batch = rows.where(day.between("2024-01-12", "2024-01-20") & (day != "2024-01-15")).unionByName(
+        untimed.where(F.col("address") % 50 == 8))
     store.upsert(batch.withColumn("amount", F.col("amount") * 2), "accounts")
-    return store.read("accounts")
+    return _result(store, "accounts")
 
 
 @query("parquet_range_dataset", _ACCOUNT_SQL + """
@@ -169,13 +180,13 @@ def _totals(rows, counted: str):
 
 
 def _store(spark, sf) -> ArtifactStore:
-    """Three savings of per-account counts; the middle one has expired, the last one replaces the first in part."""
+    """Saves of per-account counts: the first under a key is replaced, the second expires, the last one counts."""
     store = ArtifactStore(spark, shared_folder(spark, "artifacts"))
     rows = t.accounts(spark, sf)
     first, last = date(2024, 1, 1), date(2024, 1, 30)
     store.save(_totals(rows, "event_id"), "counts:all", first, last, datetime(2024, 1, 30), CHECKPOINT_DAYS)
     clicks = rows.where("update_type = 'click'")
-    store.save(_totals(clicks, "event_id"), "counts:all", first, last, datetime(2024, 1, 31, 12), 0)
+    store.save(_totals(clicks, "event_id"), "counts:all", first, last, datetime(2024, 1, 30, 12), 0)
     bought = rows.where("update_type = 'purchase'")
     store.save(_totals(bought, "event_id"), "counts:all", first, last, datetime(2024, 1, 31))
     store.save(_totals(bought, "event_id"), "counts:part", date(2024, 1, 8), date(2024, 1, 12), datetime(2024, 1, 31))
@@ -184,12 +195,28 @@ def _store(spark, sf) -> ArtifactStore:
 
 
 @query("artifact_store", """
-SELECT 'counts:all' AS key, CAST(user_id AS VARCHAR) AS item, CAST(CASE WHEN count(*) FILTER (event_type = 'purchase') > 0
-  THEN count(*) FILTER (event_type = 'purchase') ELSE count(*) END AS VARCHAR) AS payload FROM events GROUP BY user_id""")
+SELECT 'counts:all' AS key, CAST(user_id AS VARCHAR) AS item, CAST(count(*) AS VARCHAR) AS payload
+FROM events WHERE event_type = 'purchase' GROUP BY user_id""")
 def artifact_store(spark, sf):
     return _store(spark, sf).latest(NOW, "counts:all").select("key", "item", "payload")
 
 
+@query("artifact_resave", """
+SELECT 'counts:other' AS key, CAST(user_id AS VARCHAR) AS item, CAST(count(*) AS VARCHAR) AS payload
+FROM events WHERE user_id % 10 = 3 GROUP BY user_id""")
+def artifact_resave(spark, sf):
+    """A second save with fewer items, and one without any, beside a key that differs in one sign."""
+    store = ArtifactStore(spark, shared_folder(spark, "artifacts"))
+    rows = t.accounts(spark, sf)
+    for key in ("counts:other", "counts_other", "counts:gone"):
+        store.save(_totals(rows, "event_id"), key, None, None, datetime(2024, 1, 30), CHECKPOINT_DAYS)
+    few = _totals(rows.where(F.col("address") % 10 == 3), "event_id")
+    store.save(few, "counts:other", None, None, datetime(2024, 1, 31), CHECKPOINT_DAYS)
+    store.save(few.limit(0), "counts:gone", None, None, datetime(2024, 1, 31), CHECKPOINT_DAYS)
+    kept = store.purge(NOW, shared_folder(spark, "purged"))
+    return kept.latest(NOW, "counts:other").unionByName(kept.latest(NOW, "counts:gone")).select("key", "item", "payload")
+
+
 @query("artifact_range_lookup", """
 SELECT 'counts:part' AS key, DATE '2024-01-05' AS start, DATE '2024-01-10' AS "end"
 FROM (SELECT count(*) AS n FROM events WHERE event_type = 'purchase') WHERE n > 0""")
@@ -200,7 +227,7 @@ def artifact_range_lookup(spark, sf):
 @query("artifact_union_load", _ACCOUNT_SQL + """
 WHERE CAST(block_timestamp AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'""")
 def artifact_union_load(spark, sf):
-    return load_hull(_store(spark, sf), "counts:part", NOW, _accounts(spark, sf), "block_timestamp")
+    return load_hull(_store(spark, sf), NOW, _accounts(spark, sf), "block_timestamp", key="counts:part")
 
 
 @query("incremental_range_load", _ACCOUNT_SQL + """
@@ -208,7 +235,9 @@ WHERE CAST(block_timestamp AS DATE) BETWEEN DATE '2024-01-04' AND DATE '2024-01-
 def incremental_range_load(spark, sf):
     rows = _accounts(spark, sf)
     day = F.to_date("block_timestamp")
-    held = rows.where(day.between("2024-01-10", "2024-01-14") | day.between("2024-01-18", "2024-01-21"))
+    # held from the middle of a day on, and days outside the asked range
+    held = rows.where(F.col("block_timestamp").between(F.lit("2024-01-10 07:00:00").cast("timestamp_ntz"), F.lit(
+        "2024-01-14 15:30:00").cast("timestamp_ntz")) | day.between("2024-01-18", "2024-01-21") | (day <= "2024-01-02"))
     return load_missing(held, rows, "block_timestamp", date(2024, 1, 4), date(2024, 1, 27))
 
 
@@ -223,7 +252,7 @@ def churn_dict_load(spark, sf):
     miners.save_churn_lists(store, churned, retained.where("s_acctbal > 9000"), "tier1_churned_dict:a", date(1996, 1, 1), date(1998, 1, 1), NOW)
     miners.save_churn_lists(store, churned, retained, "tier1_churned_dict:b", date(1997, 1, 1), date(2000, 6, 30), NOW)
     rows = t.warehouse(spark, sf).select("transaction_hash", "block_timestamp", "from_addr", "value")
-    return miners.listed_rows(store, "tier1_churned_dict:%", NOW, rows, "from_addr")
+    return miners.listed_rows(store, "tier1_churned_dict:", NOW, rows, "from_addr")
 
 
 @query("held_or_load", _ACCOUNT_SQL + """

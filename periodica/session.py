@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app: str = "periodica", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
@@ -27,14 +31,18 @@ def build_session(app: str = "periodica", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one the cluster shares.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may fall
-    back to the machine's own temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in a local session
+    without settings, one folder is made for the application and removed when the program ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = os.path.join(tempfile.gettempdir(), "periodica-work")
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL:
+            _LOCAL[application] = tempfile.mkdtemp(prefix="periodica-")
+            atexit.register(shutil.rmtree, _LOCAL[application], ignore_errors=True)
+        root = _LOCAL[application]
     return f"{root.rstrip('/')}/periodica-{uuid.uuid4().hex}/{name}"
 
 
@@ -46,5 +54,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever file system the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,14 +118,16 @@ class DayTables:
     def upsert(self, df: DataFrame, table: str) -> None:
         """Replace the days from the first to the last day of the batch by the batch.
 
-        Days inside that span without a row in the batch are emptied too.
+        Days inside that span without a row in the batch are emptied first, so a run that breaks off
+        leaves days to be written again and none that are out of date. Rows of the batch without a
+        time are appended; stored ones lie in no span and stay.
         """
         ts = self.ts_col(table)
         days = {r[0] for r in df.select(F.to_date(ts)).distinct().collect()} - {None}  # one row per day at most
-        if not days:
-            return
-        self._replace_days(df, table)
-        self._drop_days(table, min(days), max(days), keep=days)
+        if days:
+            self._drop_days(table, min(days), max(days), keep=days)
+            self._replace_days(df.where(F.col(ts).isNotNull()), table)
+        self.append(df.where(F.col(ts).isNull()), table)
 
 
 class RangeDatasets:
@@ -139,7 +142,8 @@ class RangeDatasets:
         same = self.index.ranges(now, key).where((F.col("start") == F.lit(start)) & (F.col("end") == F.lit(end)))
         if same.take(1):
             return False
-        path = f"{self.folder}/data/{key.replace(':', '_')}_{start}_{end}"
+        name = hashlib.sha1(f"{start} {end} {key}".encode()).hexdigest()
+        path = f"{self.folder}/data/{name}"
         day = F.to_date(ts_col)
         df.withColumn(DAY, day).hint("rebalance", DAY).write.mode("overwrite").partitionBy(DAY).option(
             "compression", "gzip").parquet(path)
@@ -178,22 +182,32 @@ def missing_ranges(held: DataFrame, ts_col: str, start: date, end: date) -> list
 
 
 def load_missing(held: DataFrame, source: DataFrame, ts_col: str, start: date, end: date) -> DataFrame:
-    """Held rows and the rows of the missing days, each distinct row once.
+    """Held rows and the rows of the missing days, from start to end, each distinct row once.
 
-    Only the missing ranges are read from the source, as filters of one scan.
+    Only the missing ranges are read from the source, as filters of one scan. The first and the last
+    day of a held stretch may be held in part and are read again.
     """
+    held = scan_days(held, start, end, ts_col)
     runs = missing_ranges(held, ts_col, start, end)
-    if not runs:
-        return held.dropDuplicates()
-    wanted = None
-    for low, high in runs:
+    edges = [(d, d) for d in _edge_days(runs, start, end)]
+    wanted = F.lit(False)
+    for low, high in runs + edges:
         piece = (F.col(ts_col) >= F.lit(datetime(low.year, low.month, low.day)).cast("timestamp_ntz")) & (
             F.col(ts_col) < F.lit(datetime(high.year, high.month, high.day) + timedelta(days=1)).cast("timestamp_ntz"))
-        wanted = piece if wanted is None else wanted | piece
+        wanted = wanted | piece
     return held.unionByName(source.where(wanted)).dropDuplicates()
 
 
-def load_hull(store: ArtifactStore, pattern: str, now: datetime, source: DataFrame, ts_col: str) -> DataFrame | None:
-    """The source rows of the span that covers all stored ranges of the matching keys."""
-    span = store.hull(now, pattern)
+def _edge_days(runs: list[tuple[date, date]], start: date, end: date) -> list[date]:
+    """First and last day of every stretch between the missing runs."""
+    one = timedelta(days=1)
+    lows = [start, *[high + one for _, high in runs]]
+    highs = [*[low - one for low, _ in runs], end]
+    return sorted({d for low, high in zip(lows, highs) if low <= high for d in (low, high)})
+
+
+def load_hull(store: ArtifactStore, now: datetime, source: DataFrame, ts_col: str, key: str | None = None,
+              prefix: str | None = None) -> DataFrame | None:
+    """The source rows of the span that covers all stored ranges of a key, or of the keys with a prefix."""
+    span = store.hull(now, key, prefix)
     return None if span is None else scan_days(source, *span, ts_col)

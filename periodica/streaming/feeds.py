@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
+
+from periodica.session import path_exists
 
 # The columns that identify a row of each streamed table.
 DEDUP_COLUMNS = {"block": ["block_number"], "transaction": ["transaction_hash"]}
-BATCH = "batch_id"
+STREAM, BATCH = "stream_id", "batch_id"
 
 
 def change_rows(envelopes: DataFrame, schema: StructType | str) -> DataFrame:
@@ -55,22 +56,24 @@ def first_per_key(rows: DataFrame, keys: list[str], ts: str, delay: str) -> Data
 class LastRowSink:
     """Keeps the last row per key of a stream.
 
-    Every micro-batch is reduced to one row per key and written to its own folder, named by
-    the batch number, so a repeated batch replaces itself. Reading merges the batches;
-    ``compact`` merges them for good. The cost of a batch does not grow with the table.
+    Every micro-batch is reduced to one row per key and written to its own folder, named by the
+    streaming query and the batch number, so a repeated batch replaces itself and no other query's.
+    Reading merges the batches; ``compact`` merges them for good. The cost of a batch does not grow
+    with the table. Of equal rows by ``order`` that of the later batch number stays.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str]):
         self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), list(keys), list(order)
 
     def _last(self, df: DataFrame, order: list[str]) -> DataFrame:
-        columns = [c for c in df.columns if c != BATCH]
+        columns = [c for c in df.columns if c not in (STREAM, BATCH)]
         place = F.struct(*[F.col(c) for c in order])
         newest = F.max_by(F.struct(*[F.col(c) for c in columns]), place).alias("_row")
         return df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in self.keys]).agg(newest).select("_row.*")
 
-    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        self._last(batch, self.order).write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch_id}")
+    def write_batch(self, batch: DataFrame, batch_id: int, stream: str | None = None) -> None:
+        stream = stream or self.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+        self._last(batch, self.order).write.mode("overwrite").parquet(f"{self.path}/{STREAM}={stream}/{BATCH}={batch_id}")
 
     def start(self, rows: DataFrame, checkpoint: str) -> StreamingQuery:
         return (
@@ -80,16 +83,15 @@ class LastRowSink:
 
     def read(self) -> DataFrame | None:
         """Last row per key; equal times are decided by the batch."""
-        try:
-            batches = self.spark.read.parquet(self.path)
-        except AnalysisException:
+        if not path_exists(self.spark, self.path):
             return None
-        return self._last(batches, [*self.order, BATCH])
+        batches = self.spark.read.parquet(self.path)
+        return self._last(batches, [*self.order, BATCH, STREAM])
 
     def compact(self, target: str) -> "LastRowSink":
         """Write the merged rows as batch -1 of a new sink at ``target``; later batches go there."""
         merged = LastRowSink(self.spark, target, self.keys, self.order)
-        self.read().write.mode("overwrite").parquet(f"{merged.path}/{BATCH}=-1")
+        self.read().write.mode("overwrite").parquet(f"{merged.path}/{STREAM}=compacted/{BATCH}=-1")
         return merged
 
     def retained(self, ts: str, cutoff: datetime) -> DataFrame | None:

@@ -132,23 +132,52 @@ def test_range_datasets(spark):
     assert data.load("other", date(2024, 1, 2), date(2024, 1, 3), now, "block_timestamp") is None
 
 
+def test_range_dataset_keys_are_exact(spark):
+    data, now, span = RangeDatasets(spark, shared_folder(spark, "ranges")), datetime(2024, 2, 1), (date(2024, 1, 1), date(2024, 1, 4))
+    for key, first in (("a_b", 10), ("a:b", 20), ("a%b", 30)):
+        assert data.save(_days(spark, [2], first=first), key, *span, now, "block_timestamp")
+    for key, first in (("a_b", 10), ("a:b", 20), ("a%b", 30)):
+        assert [r["k"] for r in data.load(key, *span, now, "block_timestamp").collect()] == [first]
+    assert data.load("a%", *span, now, "block_timestamp") is None
+
+
+def test_upsert_keeps_rows_without_a_time(spark, store):
+    store.append(_days(spark, [None, 2, 3]), "t")
+    store.upsert(_days(spark, [None, 2], 9.0, first=8), "t")
+    assert sorted(r["k"] for r in store.read("t").collect()) == [0, 2, 8, 9]
+    store.upsert(_days(spark, [None], 9.0, first=20), "t")
+    assert store.read("t").count() == 5
+
+
+def test_a_partly_held_day_is_completed(spark):
+    hours = [(i, datetime(2024, 1, 3 + i // 24, i % 24), 1.0) for i in range(72)]
+    source = spark.createDataFrame(hours, schema_of(TYPES))
+    held = source.where("k between 6 and 11 or k = 40")
+    got = load_missing(held, source, "block_timestamp", date(2024, 1, 3), date(2024, 1, 4))
+    assert sorted(r["k"] for r in got.collect()) == list(range(48))
+
+
 def test_missing_days(spark):
     held = _days(spark, [3, 4, 7])
     runs = missing_ranges(held, "block_timestamp", date(2024, 1, 2), date(2024, 1, 8))
     assert runs == [(date(2024, 1, 2), date(2024, 1, 2)), (date(2024, 1, 5), date(2024, 1, 6)), (date(2024, 1, 8), date(2024, 1, 8))]
     source = _days(spark, range(1, 11), first=50)
+    held = source.where("day(block_timestamp) in (3, 4, 7)")
     got = load_missing(held, source, "block_timestamp", date(2024, 1, 2), date(2024, 1, 8))
     assert sorted(r["block_timestamp"].day for r in got.collect()) == [2, 3, 4, 5, 6, 7, 8]
 
 
 def test_artifacts_expire(spark):
     store = ArtifactStore(spark, shared_folder(spark, "artifacts"))
-    assert store.all().count() == 0 and store.hull(datetime(2024, 1, 1), "%") is None
+    assert store.all().count() == 0 and store.hull(datetime(2024, 1, 1)) is None
     one = spark.createDataFrame([("i", "old")], "item string, payload string")
     store.save(one, "k", date(2024, 1, 1), date(2024, 1, 5), datetime(2024, 1, 1))
     store.save(one.withColumn("payload", F.lit("new")), "k", date(2024, 1, 1), date(2024, 1, 5), datetime(2024, 1, 2))
     assert store.latest(datetime(2024, 1, 3), "k").first()["payload"] == "new"
     assert store.latest(datetime(2024, 1, 6), "k").count() == 0
+    store.save(one.limit(0), "empty", None, None, datetime(2024, 1, 2))
+    store.save(one, "empty", None, None, datetime(2024, 1, 1))
+    assert store.latest(datetime(2024, 1, 3), "empty").count() == 0
     assert store.hull(datetime(2024, 1, 3), "k") == (date(2024, 1, 1), date(2024, 1, 5))
 
 
@@ -158,12 +187,12 @@ def test_last_row_sink_is_repeatable(spark):
     first = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, 1, "c")], "k int, at int, v string")
     second = spark.createDataFrame([(1, 6, "late"), (2, 1, "tie"), (3, 1, None)], "k int, at int, v string")
     for batch, number in ((first, 0), (second, 1), (second, 1)):
-        sink.write_batch(batch, number)
+        sink.write_batch(batch, number, "one")
     want = [(1, 7, "b"), (2, 1, "tie"), (3, 1, None)]
     assert sorted(tuple(r) for r in sink.read().collect()) == want
     merged = sink.compact(shared_folder(spark, "merged"))
     assert sorted(tuple(r) for r in merged.read().collect()) == want
-    merged.write_batch(spark.createDataFrame([(3, 2, "z")], "k int, at int, v string"), 2)
+    merged.write_batch(spark.createDataFrame([(3, 2, "z")], "k int, at int, v string"), 0, "two")
     assert sorted(tuple(r) for r in merged.read().collect()) == [*want[:2], (3, 2, "z")]
 
 
