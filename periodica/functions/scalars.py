@@ -32,9 +32,13 @@ def split_bracketed(c: Column, sep: str = ",", keep: bool = False) -> Column:
 
 
 def hex_to_int(c: Column) -> Column:
-    """Hex text, with or without 0x, as a number; missing text gives 0."""
+    """Hex text, with or without 0x, as a decimal(20,0), up to 2 ** 64 - 1.
+
+    Missing text gives 0; text that is not hex, or stands for a larger number, gives null.
+    """
     digits = F.regexp_replace(F.lower(F.trim(c)), "^0x", "")
-    return F.coalesce(F.conv(digits, 16, 10).cast("decimal(20,0)").cast("long"), F.lit(0).cast("long"))
+    number = F.when(digits.rlike("^0*[0-9a-f]{1,16}$"), F.conv(digits, 16, 10).cast("decimal(20,0)"))
+    return F.when(c.isNull(), F.lit(0).cast("decimal(20,0)")).otherwise(number)
 
 
 def epoch_to_date(c: Column) -> Column:

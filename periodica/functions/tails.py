@@ -18,6 +18,10 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# Degrees of freedom from which the limits for large numbers are used.
+NORMAL_FROM = 1e5
+
+
 def beta_tail(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
     if x <= 0.0:
@@ -33,7 +37,7 @@ def beta_tail(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     total = d
-    for m in range(1, 2000):
+    for m in range(1, 10_000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
@@ -44,8 +48,8 @@ def beta_tail(a: float, b: float, x: float) -> float:
             step = c * d
             total *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return front * total / a
+            return front * total / a
+    raise ArithmeticError(f"incomplete beta of {a}, {b} at {x} does not converge")
 
 
 def student_two_sided(t: float, df: float) -> float:
@@ -53,6 +57,8 @@ def student_two_sided(t: float, df: float) -> float:
         return math.nan
     if math.isinf(t):
         return 0.0
+    if df > NORMAL_FROM:  # the normal limit with its first corrections; the error is of order 1 / df ** 2
+        return normal_two_sided(t * (1.0 - 0.25 / df) / math.sqrt(1.0 + t * t / (2.0 * df)))
     return beta_tail(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -66,6 +72,9 @@ def chi2_upper(x: float, df: float) -> float:
         return math.nan
     if x <= 0:
         return 1.0
+    if df > NORMAL_FROM:  # the cube root is nearly normal (Wilson and Hilferty)
+        z = ((x / df) ** (1.0 / 3.0) - (1.0 - 2.0 / (9.0 * df))) / math.sqrt(2.0 / (9.0 * df))
+        return 0.5 * math.erfc(z / math.sqrt(2.0))
     a, h = df / 2.0, x / 2.0
     front = math.exp(a * math.log(h) - h - math.lgamma(a))
     if h < a + 1.0:
@@ -79,15 +88,15 @@ def chi2_upper(x: float, df: float) -> float:
     b = h + 1.0 - a
     c, d = 1e300, 1.0 / b
     total = d
-    for i in range(1, 5000):
+    for i in range(1, 100_000):
         an = -i * (i - a)
         b += 2.0
         d = 1.0 / (an * d + b)
         c = b + an / c
         total *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return front * total
+            return front * total
+    raise ArithmeticError(f"chi-square tail of {x} with {df} degrees of freedom does not converge")
 
 
 @F.pandas_udf(DoubleType())

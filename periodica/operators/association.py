@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.tails import chi2_p, normal_p, student_p
-from periodica.operators.ordered import SLICE, Cuts, add_slice, find_cuts, mid_ranks
+from periodica.operators.ordered import SLICE, Cuts, add_slice, find_cuts, running_totals
+from periodica.operators.groups import finite
 from periodica.sources.artifacts import CHECKPOINT_DAYS, ArtifactStore
 
 # Limits of |r| and the significance level.
@@ -141,8 +142,8 @@ def kruskal(df: DataFrame, outcomes: list[str], treatments: list[str], counted:
     """Kruskal-Wallis H of each outcome over the levels of each treatment, tie corrected.
 
     Outcomes in ``counted`` are first reduced to their number of distinct values per level.
-    'No' means not significant, 'na' fewer than two levels. Ranks do not depend on the
-    treatment, so they are found once per outcome and serve all treatments.
+    'No' means not significant, 'na' fewer than two levels. Rows without a level of a treatment
+    take no part in its test.
     """
     measured = [o for o in outcomes if o not in counted]
     tables = []
@@ -167,17 +168,17 @@ def _by_treatment(treatments: list[str]) -> Column:
 
 
 def _measured_levels(df: DataFrame, outcomes: list[str], treatments: list[str]) -> DataFrame:
-    """(outcome, treatment, level) with rank sum, size and tie term; ranks are joined once per row and outcome."""
+    """(outcome, treatment, level) with centred rank sum, size and tie term.
+
+    Equal rows are counted first; only those counts are copied for each treatment. Rows without a
+    level leave a treatment before its ranks are found.
+    """
+    levels = [f"_level_{t}" for t in treatments]
     cells = [F.struct(F.lit(o).alias("variable_1"), F.col(o).cast("double").alias("_v")) for o in outcomes]
-    rows = df.select(
-        *[F.col(t).cast("string").alias(f"_level_{t}") for t in treatments], F.inline(F.array(*cells))
-    ).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    values = rows.select("variable_1", "_v")
-    counts = values.groupBy("variable_1", "_v").agg(F.count(F.lit(1)).alias("_t"))
-    ranks = mid_ranks(counts, "_v", "_t", keys="variable_1", cuts=find_cuts(values, "_v"))
-    known = ranks.select(F.col("variable_1").alias("_o"), F.col("_v").alias("_w"), "rank", "_t")
-    ranked = rows.join(known, (F.col("variable_1") == F.col("_o")) & (F.col("_v") == F.col("_w")))
-    return _per_level(ranked.select("variable_1", "rank", "_t", _by_treatment(treatments)))
+    rows = df.select(*[F.col(t).cast("string").alias(f"_level_{t}") for t in treatments], F.inline(F.array(*cells)))
+    known = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    cells = known.groupBy("variable_1", "_v", *levels).agg(F.count(F.lit(1)).alias("_c"))
+    return _per_level(cells.select("variable_1", "_v", "_c", _by_treatment(treatments)))
 
 
 def _counted_levels(df: DataFrame, outcomes: list[str], treatments: list[str]) -> DataFrame:
@@ -185,20 +186,26 @@ def _counted_levels(df: DataFrame, outcomes: list[str], treatments: list[str]) -
     cells = [F.struct(F.lit(o).alias("variable_1"), F.col(o).cast("string").alias("_e")) for o in outcomes]
     rows = df.select(
         *[F.col(t).cast("string").alias(f"_level_{t}") for t in treatments], F.inline(F.array(*cells)))
-    seen = rows.select("variable_1", "_e", _by_treatment(treatments)).distinct()
+    seen = rows.select("variable_1", "_e", _by_treatment(treatments)).where(F.col("_level").isNotNull()).distinct()
     values = seen.groupBy("variable_1", "variable_2", "_level").agg(F.count("_e").cast("double").alias("_v"))
-    keys = ["variable_1", "variable_2"]
-    ranks = mid_ranks(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_t")), "_v", "_t", keys=keys)
-    return _per_level(values.join(ranks, [*keys, "_v"]).select(*keys, "_level", "rank", "_t"))
+    return _per_level(values.withColumn("_c", F.lit(1)))
 
 
-def _per_level(ranked: DataFrame) -> DataFrame:
-    t = F.col("_t").cast("double")
-    return ranked.where(F.col("_level").isNotNull() & (F.col("variable_1") != F.col("variable_2"))).groupBy(
-        "variable_1", "variable_2", "_level"
-    ).agg(
-        F.sum("rank").alias("_r"), F.count(F.lit(1)).cast("double").alias("_n"),
-        F.sum(t * t - 1).alias("_ties"),  # summed over the t equal rows: t^3 - t
+def _per_level(cells: DataFrame) -> DataFrame:
+    """Ranks of the values of each pair, summed by level around their mean (n + 1) / 2, so that nothing cancels."""
+    keys = ["variable_1", "variable_2"]
+    counts = cells.where(F.col("_level").isNotNull() & (F.col("variable_1") != F.col("variable_2"))).groupBy(
+        *keys, "_level", "_v").agg(F.sum("_c").alias("_c"))
+    values = counts.groupBy(*keys, "_v").agg(F.sum("_c").alias("_t"))
+    placed = running_totals(values, {"_before": "_t"}, "_v", keys=keys, totals=True)
+    centred = F.col("_before") + (F.col("_t") - F.col("_before_total")) / 2.0
+    ranks = placed.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.col("_v").alias("_w"), "_t", centred.alias("_centred"))
+    ranked = counts.join(ranks, (F.col("variable_1") == F.col("_rvariable_1")) & (F.col("variable_2") == F.col("_rvariable_2")) & (
+        F.col("_v") == F.col("_w")))
+    t, c = F.col("_t").cast("double"), F.col("_c").cast("double")
+    return ranked.groupBy(*keys, "_level").agg(
+        F.sum(c * F.col("_centred")).alias("_r"), F.sum(c).alias("_n"),
+        F.sum(c * (t * t - 1)).alias("_ties"),  # summed over the t equal rows: t^3 - t
     )
 
 
@@ -208,7 +215,7 @@ def _h_statistics(levels: DataFrame) -> DataFrame:
         F.sum("_ties").alias("_ties"), F.count(F.lit(1)).alias("_levels"),
     )
     n = F.col("_n")
-    h = 12.0 / (n * (n + 1)) * F.col("_q") - 3 * (n + 1)
+    h = 12.0 / (n * (n + 1)) * F.col("_q")
     correction = 1 - F.try_divide(F.col("_ties"), n * n * n - n)
     return sums.select("variable_1", "variable_2", F.try_divide(h, correction).alias("stat"), "_levels")
 
@@ -216,13 +223,14 @@ def _h_statistics(levels: DataFrame) -> DataFrame:
 def mutual_information(df: DataFrame, target: str, features: list[str], bins: int = 10) -> DataFrame:
     """Mutual information, in nats, of equal-width bins of the target and each feature, with a strength.
 
-    Only the bins-by-bins table of counts is ever ordered or totalled.
+    Rows whose value is null, NaN or infinite take no part in a pair. Only the bins-by-bins table of
+    counts is ever ordered or totalled.
     """
     others = [f for f in features if f != target]
     both = [target, *others]
     ends = df.agg(
-        *[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(both)],
-        *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(both)],
+        *[F.min(finite(c)).alias(f"lo_{i}") for i, c in enumerate(both)],
+        *[F.max(finite(c)).alias(f"hi_{i}") for i, c in enumerate(both)],
     ).first()
 
     def bin_of(i: int, c: str) -> Column:
@@ -230,7 +238,7 @@ def mutual_information(df: DataFrame, target: str, features: list[str], bins: in
         if lo is None:
             return F.lit(None).cast("int")
         width = (hi - lo) / bins or 1.0
-        return F.least(F.floor((F.col(c).cast("double") - lo) / width), F.lit(bins - 1)).cast("int")
+        return F.least(F.floor((finite(c) - lo) / width), F.lit(bins - 1)).cast("int")
 
     cells = [
         F.struct(F.lit(f).alias("variable_2"), bin_of(0, target).alias("_x"), bin_of(i + 1, f).alias("_y"))

@@ -82,12 +82,19 @@ def activity_rate(df: DataFrame, ts: str, period: str, counted: str, out: str, d
     return change_in_percent(resample(df, ts, period, {out: ("count", counted)}), ts, out, delta)
 
 
+def finite(name: str) -> Column:
+    """The column as a double; null for NaN and infinite values."""
+    c = F.col(f"`{name}`").cast("double")
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+
+
 def histogram(df: DataFrame, columns: list[str], bins: int = 25) -> DataFrame:
     """Equal-width counts per column: (feature, bin, low, n). The last bin includes its upper end.
 
+    Null, NaN and infinite values are left out; a column with no other values has no rows.
     One pass finds all ranges (a row of two numbers per column), one pass counts.
     """
-    ends = df.agg(*[f(c).cast("double").alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)])
+    ends = df.agg(*[f(finite(c)).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)])
     row = ends.first()
     entries = []
     for c in columns:
@@ -95,9 +102,11 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 25) -> DataFrame:
         if lo is None:
             continue
         width = (hi - lo) / bins or 1.0
-        number = F.least(F.floor((F.col(c).cast("double") - lo) / width), F.lit(bins - 1)).cast("int")
-        entries.append(F.when(F.col(c).isNotNull(), F.struct(
+        number = F.least(F.floor((finite(c) - lo) / width), F.lit(bins - 1)).cast("int")
+        entries.append(F.when(finite(c).isNotNull(), F.struct(
             F.lit(c).alias("feature"), number.alias("bin"), (F.lit(lo) + number * width).alias("low"))))
+    if not entries:
+        return df.sparkSession.createDataFrame([], "feature string, bin int, low double, n bigint")
     return (
         df.select(F.inline(F.array_compact(F.array(*entries))))
         .groupBy("feature", "bin").agg(F.first("low").alias("low"), F.count(F.lit(1)).alias("n"))

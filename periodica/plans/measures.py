@@ -126,6 +126,16 @@ def histogram(spark, sf):
     return groups.rounded(groups.histogram(t.rentals(spark, sf), ["visit_duration", "rental_tab"]), 6, "low")
 
 
+@query("histogram_odd_values", _bins_sql("visit_duration", 25).replace(
+    "$rentals", "(SELECT * FROM $rentals WHERE visit_duration % 7 NOT IN (3, 4))"))
+def histogram_odd_values(spark, sf):
+    """NaN, infinite and null values belong to no bin; a column of nothing else has none."""
+    kind = F.col("visit_duration") % 7
+    odd = F.when(kind == 3, F.lit(float("nan"))).when(kind == 4, F.lit(float("-inf"))).otherwise(F.col("visit_duration").cast("double"))
+    rows = t.rentals(spark, sf).withColumn("visit_duration", odd).withColumn("nothing", F.lit(None).cast("double"))
+    return groups.rounded(groups.histogram(rows, ["visit_duration", "nothing"]), 6, "low")
+
+
 @query("box_summary", """
 SELECT status, min(amount) AS min, round(quantile_cont(amount, 0.25), 6) AS q1, round(quantile_cont(amount, 0.5), 6) AS median,
   round(quantile_cont(amount, 0.75), 6) AS q3, max(amount) AS max,

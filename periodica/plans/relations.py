@@ -157,6 +157,17 @@ def kruskal(spark, sf):
     return groups.rounded(table.select("variable_1", "variable_2", "stat", "relationship"), 4, "stat")
 
 
+@query("kruskal_missing_levels", _h_sql([
+    (o, tr, "v", f"(SELECT CASE WHEN rate > 1000 * (patron % 97 + 1) THEN {tr} END AS {tr}, {o} AS v FROM $business "
+     f"WHERE rate > 1000 * (patron % 97 + 1) AND {o} IS NOT NULL)") for o in ("rate", "remuneration") for tr in ("type", "company")]))
+def kruskal_missing_levels(spark, sf):
+    """Levels are missing in a part of the rows; those take no part in the ranks."""
+    known = F.col("rate") > 1000 * (F.col("patron") % 97 + 1)
+    rows = t.business(spark, sf).withColumns({c: F.when(known, F.col(c)) for c in ("type", "company")})
+    table = association.kruskal(rows, ["rate", "remuneration"], ["type", "company"])
+    return groups.rounded(table.select("variable_1", "variable_2", "stat", "relationship"), 4, "stat")
+
+
 def _bin(c: str) -> str:
     return f"""CAST(least(floor(({c} - (SELECT min({c}) FROM $rentals)) /
   (SELECT (max({c}) - min({c})) / 10 FROM $rentals)), 9) AS INTEGER)"""
@@ -176,6 +187,24 @@ def mutual_information(spark, sf):
     return groups.rounded(table, 6, "stat")
 
 
+@query("mutual_information_odd_values", """
+WITH r AS (SELECT visit_duration, rental_tab FROM $rentals WHERE visit_duration % 7 <> 3 AND visit_duration % 7 <> 4)
+SELECT variable_1, variable_2, round(stat, 6) AS stat, CASE WHEN abs(stat) > 0.65 THEN 'strong' WHEN abs(stat) > 0.4 THEN 'moderate'
+  WHEN abs(stat) > 0.25 THEN 'weak' ELSE 'None' END AS relationship FROM (""" + _mi_sql("visit_duration", "rental_tab").replace(
+    _bin("visit_duration"), _bin("visit_duration").replace("$rentals", "r")).replace("FROM $rentals GROUP", "FROM r GROUP") + ")")
+def mutual_information_odd_values(spark, sf):
+    """A NaN, an infinity or a null in a pair leaves the other pairs as they are."""
+    table = association.mutual_information(_odd_rentals(spark, sf), "visit_duration", ["rental_tab"])
+    return groups.rounded(table, 6, "stat")
+
+
+def _odd_rentals(spark, sf):
+    rows, kind = t.rentals(spark, sf), F.col("visit_duration") % 7
+    odd = F.when(kind == 3, F.lit(float("nan"))).when(kind == 4, F.lit(float("inf"))).otherwise(F.col("visit_duration").cast("double"))
+    return rows.withColumn("visit_duration", odd).withColumn("rental_tab", F.col("rental_tab").cast("double")).withColumn(
+        "nothing", F.lit(None).cast("double"))
+
+
 # ---------------------------------------------------------------- miners
 
 SPAN = (date(1995, 1, 1), date(1995, 4, 11))  # 100 days of thresholds

@@ -265,14 +265,16 @@ def normalise_label(spark, sf):
 
 
 @query("hex_to_int", """
-SELECT event_id, CAST(event_id * 31 + user_id AS BIGINT) AS number, CAST(user_id AS BIGINT) AS plain,
-  CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS BIGINT) ELSE 0 END AS missing FROM events""")
+SELECT event_id, CAST(event_id * 31 + user_id AS DECIMAL(20, 0)) AS number, CAST(user_id AS DECIMAL(20, 0)) AS plain,
+  CAST(CASE WHEN user_id % 2 = 0 THEN user_id ELSE 0 END AS DECIMAL(20, 0)) AS missing,
+  CAST(CAST(18446744073709486080 AS HUGEINT) + event_id % 65536 AS DECIMAL(20, 0)) AS largest FROM events""")
 def hex_to_int(spark, sf):
     rows = t.table(spark, sf, "events")
     number = F.concat(F.lit("0x"), F.lower(F.hex(F.col("event_id") * 31 + F.col("user_id"))))
     return rows.select(
         "event_id", sc.hex_to_int(number).alias("number"), sc.hex_to_int(F.hex("user_id")).alias("plain"),
-        sc.hex_to_int(F.when(F.col("user_id") % 2 == 0, F.hex("user_id"))).alias("missing"))
+        sc.hex_to_int(F.when(F.col("user_id") % 2 == 0, F.hex("user_id"))).alias("missing"),
+        sc.hex_to_int(F.concat(F.lit("0xffffffffffff"), F.lpad(F.hex(F.col("event_id") % 65536), 4, "0"))).alias("largest"))
 
 
 @query("epoch_to_date", """
