@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from periodica.functions.scalars import normalise_label
 from periodica.session import shuffle_width
 
+# Rows of a frequent key that one task should join.
+ROWS_PER_SALT = 2_000_000
 
-def frequent_keys(df: DataFrame, key: str, share: float) -> list:
-    """Keys that hold at least a share of the rows; there are at most 1 / share of them.
 
-    ``freqItems`` names candidates in one pass without a shuffle, and never misses one. The
-    second pass counts them, since a rare key may be named too and must not be salted: its
-    rows on the other side would be copied for nothing.
+def frequent_counts(df: DataFrame, key: str, share: float) -> dict:
+    """Keys that hold at least a share of the rows, with their counts; there are at most 1 / share of them.
+
+    One aggregate with a partial step counts all keys; only the frequent ones reach the driver.
     """
-    named = [k for k in df.select(key).freqItems([key], share).first()[0] or [] if k is not None]
-    if not named:
-        return []
-    candidate = F.when(F.col(key).isin(named), F.col(key))
-    sizes = {r[0]: r[1] for r in df.groupBy(candidate.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    least = share * sum(sizes.values())
-    return [k for k in named if sizes.get(k, 0) >= least]
+    counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return {r[0]: r[1] for r in counts.where(F.col("k").isNotNull() & (F.col("n") >= share * total)).collect()}
+
+
+def frequent_values(df: DataFrame, key: str, share: float) -> list:
+    return list(frequent_counts(df, key, share))
 
 
 def left_join_spread(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
@@ -38,8 +39,11 @@ def left_join_spread(left: DataFrame, right: DataFrame, left_key: str, right_key
     repeated. The default hashes the row; a side that comes straight from a scan can use
     ``monotonically_increasing_id``, which also divides equal copies of one row.
     """
-    n = salts or shuffle_width(left.sparkSession)
-    frequent = frequent_keys(right, right_key, max(1e-4, 1.0 / n))
+    width = salts or shuffle_width(left.sparkSession)
+    counts = frequent_counts(right, right_key, 1.0 / width)
+    frequent = list(counts)
+    # as many salts as the largest key needs, and no fewer than there are tasks
+    n = salts or max(width, -(-max(counts.values(), default=0) // ROWS_PER_SALT))
     if not frequent:
         return left.join(right, F.col(left_key) == F.col(right_key), "left")
     if spread is None:

@@ -16,23 +16,30 @@ from dataclasses import dataclass, field
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
+from periodica.operators.joins import frequent_values
 from periodica.session import shuffle_width
 
 SLICE = "_slice"
-# A slice is meant to hold this many rows. There are at least as many slices as shuffle
-# partitions and at most eight times as many.
+# A slice is meant to hold this many rows; there are at least as many slices as shuffle partitions.
 ROWS_PER_SLICE = 2_000_000
-MOST_SLICES = 16_384
+# Borders that one quantile sketch gives. More are found in a second step, within each of the first ones.
+BORDERS = 4_096
 WHOLE = -1  # slice number of the keys that are not sliced
 INF = float("inf")
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number that grows with the column; slices need no more than that."""
+def as_number(df: DataFrame, name: str, skip: int = 0) -> Column:
+    """A number that never falls while the column grows; slices need no more than that.
+
+    A text is represented by six of its bytes, from place ``skip`` on: those after what all texts share.
+    """
     kind = df.schema[name].dataType
     c = F.col(f"`{name}`")
+    if isinstance(kind, StringType):
+        six = F.hex(F.substring(c.cast("binary"), skip + 1, 6))
+        return F.when(c.isNotNull(), F.conv(F.rpad(six, 12, "0"), 16, 10).cast("double"))
     if isinstance(kind, DateType):
         return F.unix_date(c).cast("double")
     if isinstance(kind, (TimestampNTZType, TimestampType)):
@@ -50,37 +57,63 @@ class Cuts:
     edges: list[float] = field(default_factory=list)
     heavy: list[float] = field(default_factory=list)
     inner: list[float] = field(default_factory=list)
+    skip: int = 0  # leading bytes that all texts of the order column share, if it holds texts
+    low: int = 0  # the same of the tie-break
 
 
 def _marks(numbers: DataFrame, column: str, slices: int | None) -> list[float]:
-    """Quantiles of a column, and by the count from the same pass as many slices as the rows call for."""
+    """Quantiles of a column, as many as its rows call for; there is no largest number of them."""
     width = shuffle_width(numbers.sparkSession)
-    parts = slices or min(MOST_SLICES, 8 * width)
-    if parts < 2:
-        return []
+    rows = numbers.where(F.col(column).isNotNull() & ~F.isnan(column))
+    n = slices or max(width, math.ceil(rows.count() / ROWS_PER_SLICE))
+    if n <= BORDERS:
+        return _quantiles(rows, column, n)
+    coarse = _quantiles(rows, column, BORDERS)
+    parts = math.ceil(n / BORDERS)
+    grouped = _bucket(rows, column, sorted(set(coarse)), "_part").groupBy("_part").agg(_sketch(column, parts).alias("q"))
+    fine = [v for r in grouped.collect() for v in r["q"] or []]  # the borders themselves, sorted below
+    return sorted(coarse + fine)
+
+
+def _sketch(column: str, parts: int) -> Column:
     probs = F.expr("array(" + ", ".join(f"{i / parts!r}D" for i in range(1, parts)) + ")")
-    row = numbers.where(F.col(column).isNotNull() & ~F.isnan(column)).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(column, probs, F.lit(4 * parts)).alias("q")
-    ).first()
-    if not row["n"]:
-        return []
-    wanted = min(parts, max(width, math.ceil(row["n"] / ROWS_PER_SLICE)))
-    n = slices or wanted
-    return [row["q"][round(i * parts / n) - 1] for i in range(1, n)]
+    return F.percentile_approx(column, probs, F.lit(max(100, 4 * parts)))
+
+
+def _quantiles(rows: DataFrame, column: str, parts: int) -> list[float]:
+    return list(rows.agg(_sketch(column, parts).alias("q")).first()["q"] or []) if parts > 1 else []
+
+
+def _shared_bytes(df: DataFrame, name: str) -> int:
+    """Leading bytes that the smallest and the largest text have in common; all texts in between share them."""
+    if not isinstance(df.schema[name].dataType, StringType):
+        return 0
+    low, high = df.agg(F.min(f"`{name}`"), F.max(f"`{name}`")).first()
+    if low is None or low == high:
+        return 0
+    a, b = low.encode(), high.encode()
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 def find_cuts(df: DataFrame, order: str, tiebreak: str | None = None, slices: int | None = None) -> Cuts:
-    """One scan for quantiles; a second one, over heavy values only, when there are any."""
+    """One pass for the count and one for quantiles; further ones, over heavy values only, when there are any.
+
+    Equal values can only be divided by a tie-break. Texts with equal representing bytes need not be
+    equal, so a heavy one stays in one slice: order by a shorter or a numeric column where that matters.
+    """
+    skip = _shared_bytes(df, order)
+    ties = tiebreak if tiebreak and not isinstance(df.schema[order].dataType, StringType) else None
+    low = _shared_bytes(df, ties) if ties else 0
     numbers = df.select(
-        as_number(df, order).alias("_x"), *([as_number(df, tiebreak).alias("_t")] if tiebreak else [])
+        as_number(df, order, skip).alias("_x"), *([as_number(df, ties, low).alias("_t")] if ties else [])
     )
     marks = _marks(numbers, "_x", slices)
     heavy = sorted(v for v, seen in Counter(marks).items() if seen > 1)
     edges = sorted(set(marks) | {math.nextafter(v, INF) for v in heavy})
     inner: list[float] = []
-    if heavy and tiebreak:
+    if heavy and ties:
         inner = sorted(set(_marks(numbers.where(F.col("_x").isin(heavy)), "_t", slices)))
-    return Cuts(edges, heavy, inner)
+    return Cuts(edges, heavy, inner, skip, low)
 
 
 def _bucket(df: DataFrame, name: str, edges: list[float], out: str) -> DataFrame:
@@ -93,10 +126,10 @@ def _bucket(df: DataFrame, name: str, edges: list[float], out: str) -> DataFrame
 
 
 def add_slice(df: DataFrame, order: str, cuts: Cuts, tiebreak: str | None = None, out: str = SLICE) -> DataFrame:
-    sliced = _bucket(df.withColumn("_sl_x", as_number(df, order)), "_sl_x", cuts.edges, "_sl_o")
+    sliced = _bucket(df.withColumn("_sl_x", as_number(df, order, cuts.skip)), "_sl_x", cuts.edges, "_sl_o")
     number = F.col("_sl_o").cast("long")
     if cuts.inner and tiebreak:
-        sliced = _bucket(sliced.withColumn("_sl_t", as_number(df, tiebreak)), "_sl_t", cuts.inner, "_sl_i")
+        sliced = _bucket(sliced.withColumn("_sl_t", as_number(df, tiebreak, cuts.low)), "_sl_t", cuts.inner, "_sl_i")
         inside = F.when(F.col("_sl_x").isin(cuts.heavy), F.col("_sl_i").cast("long")).otherwise(F.lit(0))
         number = number * (len(cuts.inner) + 2) + inside
     return sliced.withColumn(out, number).drop("_sl_x", "_sl_o", "_sl_t", "_sl_i")
@@ -117,15 +150,15 @@ def slice_for_keys(
 ) -> DataFrame:
     """Add the slice number: everywhere without keys, and only for frequent keys with them.
 
-    Other keys get -1, are left whole and take no part in carrying. ``freqItems`` never
-    misses a key above the support; a key it names without need is merely sliced for nothing.
+    Other keys get -1, are left whole and take no part in carrying. Keys are counted, so a key
+    is frequent whatever the number of partitions; there are at most as many as 1 / share.
     """
     keys = _names(keys)
     if not keys:
         return add_slice(df, order, cuts or find_cuts(df, order, tiebreak, slices), tiebreak)
     share = 1.0 / (slices or 4 * shuffle_width(df.sparkSession))
     marked = df.withColumn("_sl_k", F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
-    frequent = marked.freqItems(["_sl_k"], max(1e-4, share)).first()[0] or []
+    frequent = frequent_values(marked, "_sl_k", share)
     if not frequent:
         return df.withColumn(SLICE, F.lit(WHOLE).cast("long"))
     cuts = cuts or find_cuts(df, order, tiebreak, slices)
@@ -290,19 +323,24 @@ def mid_ranks(counts: DataFrame, value: str, count: str, keys=(), cuts: Cuts | N
     return placed.withColumn(out, F.col("_before") + (F.col(count) + 1) / 2.0).drop("_before")
 
 
-def dense_index(df: DataFrame, key: str, out: str, digits: int = 3) -> DataFrame:
+def dense_index(df: DataFrame, key: str, out: str, rows_per_group: int = ROWS_PER_SLICE) -> DataFrame:
     """Number the distinct rows 0, 1, 2, ... in the order of the key's MD5 text.
 
-    The hash spreads any set of names evenly, so each group is numbered by its own task
-    and starts where the groups before it end. ``digits`` hexadecimal digits give 16 ** digits groups.
+    The hash spreads any set of names evenly, so each group of equal first digits is numbered by its own
+    task and starts where the groups before it end. The count gives the number of digits, and the numbers
+    do not depend on it.
     """
-    hashed = df.withColumn("_g", F.substring(F.md5(F.col(key).cast("string")), 1, digits))
+    width = shuffle_width(df.sparkSession)
+    wanted = max(4 * width, df.count() / rows_per_group)
+    digits = max(1, math.ceil(math.log(wanted, 16)))
+    hashed = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_g", F.substring("_h", 1, digits))
     base = hashed.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per group, of which each stands for up to rows_per_group rows
     before = Window.partitionBy(F.lit(0)).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     base = base.select(F.col("_g").alias("_bg"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_g").orderBy(F.col(key))
+    inside = Window.partitionBy("_g").orderBy("_h", F.col(key))
     return (
         hashed.join(base, F.col("_g") == F.col("_bg"))
         .withColumn(out, (F.col("_base") + F.row_number().over(inside) - 1).cast("long"))
-        .drop("_g", "_bg", "_base")
+        .drop("_g", "_h", "_bg", "_base")
     )

@@ -115,14 +115,37 @@ def test_spread_left_join(spark):
 def test_only_counted_keys_are_frequent(spark):
     data = [("hot",)] * 60 + [(f"k{i}",) for i in range(40)] + [(None,)] * 20
     df = spark.createDataFrame(data, "k string").repartition(3)
-    assert joins.frequent_keys(df, "k", 0.2) == ["hot"]
-    assert joins.frequent_keys(df.where("k like 'k%'"), "k", 0.2) == []
+    assert joins.frequent_values(df, "k", 0.2) == ["hot"]
+    assert joins.frequent_values(df.where("k like 'k%'"), "k", 0.2) == []
 
 
-def test_dense_index(spark):
+@pytest.mark.parametrize("per", [1, 10, 1000])
+def test_dense_index(spark, per):
     df = spark.createDataFrame([(f"n{i}",) for i in range(500)], "name string")
-    got = [r["i"] for r in ordered.dense_index(df, "name", "i", digits=1).collect()]
-    assert sorted(got) == list(range(500))
+    import hashlib
+    want = {n: i for i, n in enumerate(sorted((f"n{i}" for i in range(500)), key=lambda n: hashlib.md5(n.encode()).hexdigest()))}
+    assert {r["name"]: r["i"] for r in ordered.dense_index(df, "name", "i", rows_per_group=per).collect()} == want
+
+
+def test_slices_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 10)
+    monkeypatch.setattr(ordered, "BORDERS", 16)
+    for n in (1000, 4000):
+        df = spark.range(n).withColumn("x", (F.col("id") * 7919) % 100_003)
+        sliced = ordered.add_slice(df, "x", ordered.find_cuts(df, "x"))
+        sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
+        assert n / 10 * 0.7 <= len(sizes) <= n / 10 * 1.5 and max(sizes) <= 40
+
+
+@pytest.mark.parametrize("slices", [1, 5, 40])
+def test_order_by_text(spark, slices):
+    names = [f"Customer#{i:05d}" for i in range(0, 900, 3)] + ["é", "Customer#", "", "日本"] + ["same"] * 5
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, id int").repartition(4)
+    got = {r["id"]: r["before"] for r in ordered.lag_columns(df, {"before": ("id", 1)}, "name", "id", slices=slices).collect()}
+    order = sorted(range(len(names)), key=lambda i: (names[i].encode(), i))
+    assert got == {i: (order[k - 1] if k else None) for k, i in enumerate(order)}
+    totals = {r["id"]: r["n"] for r in ordered.running_totals(df.selectExpr("*", "1 as one"), {"n": "one"}, "name", "id", slices=slices).collect()}
+    assert totals == {i: k for k, i in enumerate(order)}
 
 
 def test_dimension_fallback(spark):
