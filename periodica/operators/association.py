@@ -238,7 +238,8 @@ def mutual_information(df: DataFrame, target: str, features: list[str], bins: in
         if lo is None:
             return F.lit(None).cast("int")
         width = (hi - lo) / bins or 1.0
-        return F.least(F.floor((finite(c) - lo) / width), F.lit(bins - 1)).cast("int")
+        # least() passes over nulls, so a missing value must not reach it
+        return F.when(finite(c).isNotNull(), F.least(F.floor((finite(c) - lo) / width), F.lit(bins - 1)).cast("int"))
 
     cells = [
         F.struct(F.lit(f).alias("variable_2"), bin_of(0, target).alias("_x"), bin_of(i + 1, f).alias("_y"))

@@ -55,13 +55,15 @@ def period_over_period(df: DataFrame, ts: str, period: str, start: date, end: da
 
 
 def compare(df: DataFrame, ts: str, period: str, start: date, end: date, history: int, variable: str, how: str,
-            initial: date = INITIAL) -> DataFrame:
-    """(dayset, period) with the aggregated variable.
+            initial: date = INITIAL, dedup: bool = False) -> DataFrame:
+    """(dayset, period) with the aggregated variable; ``dedup`` counts equal rows of a window once.
 
     Row counts are taken along, so short windows are dropped from the small result and the
     rows themselves are neither counted apart nor joined.
     """
     tagged = tag_periods(df, ts, period, start, end, history, initial)
+    if dedup:
+        tagged = tagged.dropDuplicates()
     grouped = tagged.groupBy("dayset", "period").agg(
         aggregate(how, variable).alias(variable), F.count(F.lit(1)).alias("_rows")
     )

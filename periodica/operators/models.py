@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack, contextmanager
 from datetime import datetime
 from functools import reduce
 
@@ -19,6 +21,8 @@ from periodica.operators.resample import aggregate
 from periodica.sources.artifacts import CHECKPOINT_DAYS, ArtifactStore
 
 SEED = 42
+# Partitions that the learners read; a constant, since samples are drawn by partition.
+LEARN_PARTS = 8
 
 
 def entity_features(df: DataFrame, keys: list[str], aggs: dict[str, str]) -> DataFrame:
@@ -27,21 +31,38 @@ def entity_features(df: DataFrame, keys: list[str], aggs: dict[str, str]) -> Dat
     return grouped.fillna(0.0, list(aggs))
 
 
-def training_rows(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
-    """Cache a feature table and read it in no more tasks than its size calls for.
+@contextmanager
+def fixed_rows(df: DataFrame, keys: list[str], parts: int = LEARN_PARTS) -> Iterator[DataFrame]:
+    """Cached rows in a layout that follows from the keys alone; released at the end.
 
-    A learner passes over its rows many times; with one row per entity the table is often far
-    smaller than the data it was made from. Larger tables keep all their partitions.
+    Spark's learners draw their samples by partition. With ``parts`` partitions by a hash of the
+    keys, sorted, the same rows give the same model whatever their files or their number. Raise
+    ``parts`` for large tables; it is part of the model's definition.
     """
-    cached = df.persist()
-    return cached.coalesce(max(1, math.ceil(cached.count() / rows_per_task)))
+    rows = df.repartition(parts, *keys).sortWithinPartitions(*keys).persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def draw(keys: list[str]) -> Column:
+    """A number from 0 to 9,999 from the key's MD5."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 10_000).cast("int")
+
 
+def split_rows(df: DataFrame, keys: list[str], label: str, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows by a hash of the key, the same ones on every attempt and layout.
 
-def split_rows(df: DataFrame, keys: list[str], share: float = 0.7, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of the key: the same rows on every attempt and layout."""
-    draw = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(10_000))
-    limit = int(share * 10_000)
-    return df.where(draw < limit), df.where(draw >= limit)
+    The row of each class with the smallest draw is always in the training part, so that no class
+    is missing there; the parts never overlap.
+    """
+    place = F.struct(draw(keys), *[F.col(k) for k in keys])
+    first = df.groupBy(F.col(label).alias("_label")).agg(F.min(place).alias("_first"))  # one row per class
+    marked = df.join(first, F.col(label).eqNullSafe(F.col("_label")), "left").withColumn(
+        "_train", (draw(keys) < int(share * 10_000)) | (place == F.col("_first")))
+    return marked.where("_train").select(*df.columns), marked.where(~F.col("_train")).select(*df.columns)
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -80,11 +101,20 @@ def fit_forest(train: DataFrame, features: list[str], label: str, trees: int = 1
     return Pipeline(stages=stages).fit(balanced_weights(train, label))
 
 
-def fit_svm(train: DataFrame, features: list[str], label: str) -> PipelineModel:
-    return Pipeline(stages=[
+def fit_svm(train: DataFrame, features: list[str], label: str, most: int = 1000, tol: float = 1e-3,
+            cost: float = 1.0) -> PipelineModel:
+    """Linear SVM, iterated until it changes by less than ``tol``; raises if ``most`` rounds are not enough.
+
+    ``cost`` weighs the rows' losses against the size of the weights, as the usual C does; without that
+    the weights of separable classes would grow without end.
+    """
+    model = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="features"),
-        LinearSVC(labelCol=label, maxIter=50, tol=1e-3),
+        LinearSVC(labelCol=label, maxIter=most, tol=tol, regParam=1.0 / (cost * max(1, train.count()))),
     ]).fit(train)
+    if model.stages[-1].summary().totalIterations >= most:
+        raise ArithmeticError(f"the SVM has not converged after {most} rounds")
+    return model
 
 
 def confusion(scored: DataFrame, label: str) -> DataFrame:
@@ -172,7 +202,7 @@ def uniform_rows(df: DataFrame, key: str, width: int, seed: int) -> DataFrame:
         (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(i)), F.lit(1 << 53)) / float(1 << 53)).alias(names[i])
         for i in range(width)
     ]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(df.select(*draws)).select("features")
+    return VectorAssembler(inputCols=names, outputCol="features").transform(df.select(key, *draws)).select(key, "features")
 
 
 def total_square(df: DataFrame, width: int) -> float:
@@ -184,30 +214,38 @@ def total_square(df: DataFrame, width: int) -> float:
     return float(row["n"] or 0) * sum(row[f"v{i}"] or 0.0 for i in range(width))
 
 
-def fit_kmeans(df: DataFrame, k: int, seed: int = SEED) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=20).fit(df)
+def fit_kmeans(df: DataFrame, k: int, seed: int = SEED, most: int = 1000) -> KMeansModel:
+    """Lloyd's rounds until the centres rest; raises if ``most`` rounds are not enough."""
+    model = KMeans(k=k, seed=seed, maxIter=most).fit(df)
+    if model.summary.numIter >= most:
+        raise ArithmeticError(f"k-means has not converged after {most} rounds")
+    return model
 
 
-def gap_statistic(scaled: DataFrame, key: str, width: int, most: int = 10, references: int = 3) -> list[tuple[int, float]]:
+def gap_statistic(scaled: DataFrame, key: str, width: int, most: int = 10, references: int = 3,
+                  kept: dict[int, KMeansModel] | None = None) -> list[tuple[int, float]]:
     """(clusters, gap) for 1..most: log of the mean cost on uniform rows minus log of the own cost.
 
-    The fits of one k do not depend on each other and are submitted together; the data they
-    share is cached, and every fit is an ordinary distributed job.
+    The fits of one k do not depend on each other and are submitted together; every fit is an
+    ordinary distributed job over rows in the fixed layout. ``kept`` receives the models of the own
+    data, so the best one need not be fitted again.
     """
-    frames = [scaled.select("features"), *[uniform_rows(scaled, key, width, seed) for seed in range(references)]]
-    try:
-        data = [training_rows(f) for f in frames]
+    frames = [scaled.select(key, "features"), *[uniform_rows(scaled, key, width, seed) for seed in range(references)]]
+    with ExitStack() as held:
+        data = [held.enter_context(fixed_rows(f, [key])) for f in frames]
 
         def cost(job: tuple[DataFrame, int]) -> float:
             frame, k = job
-            return total_square(frame, width) if k == 1 else fit_kmeans(frame, k).summary.trainingCost
+            if k == 1:
+                return total_square(frame, width)
+            model = fit_kmeans(frame, k)
+            if kept is not None and frame is data[0]:
+                kept[k] = model
+            return model.summary.trainingCost
 
         jobs = [(f, k) for k in range(1, most + 1) for f in data]
         with ThreadPoolExecutor(max_workers=2 * len(frames)) as pool:
             costs = list(pool.map(cost, jobs))
-    finally:
-        for f in frames:
-            f.unpersist()
     gaps = []
     for k in range(1, most + 1):
         own, *others = costs[(k - 1) * len(frames): k * len(frames)]
@@ -221,10 +259,14 @@ def best_k(gaps: list[tuple[int, float]]) -> int:
     return max((g for g in gaps if not math.isnan(g[1])), key=lambda g: g[1])[0]
 
 
-def assign_clusters(scaled: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+def assign_clusters(scaled: DataFrame, key: str, k: int, seed: int = SEED, model: KMeansModel | None = None) -> DataFrame:
+    """The cluster of every row, by a given model or by one fitted here."""
     if k == 1:
         return scaled.withColumn("prediction", F.lit(0))
-    return fit_kmeans(scaled, k, seed).transform(scaled)
+    if model is None:
+        with fixed_rows(scaled.select(key, "features"), [key]) as rows:
+            model = fit_kmeans(rows, k, seed)
+    return model.transform(scaled)
 
 
 def name_clusters(assigned: DataFrame, member: str, named, name: str) -> DataFrame:

@@ -209,6 +209,15 @@ def lag_columns(
     return ready.withColumns(shifted).where(~F.col("_carried")).drop("_carried", SLICE)
 
 
+def lag_all_but(df: DataFrame, target: str, k: int, order: str, tiebreak: str | None = None, keys=(),
+                slices: int | None = None) -> DataFrame:
+    """Every column but the target, the keys and the order is replaced by its value k rows earlier."""
+    kept = {target, order, tiebreak, *_names(keys)}
+    moved = [c for c in df.columns if c not in kept]
+    lagged = lag_columns(df, {f"_lag_{c}": (c, k) for c in moved}, order, tiebreak, keys, slices)
+    return lagged.select(*[F.col(f"`_lag_{c}`").alias(c) if c in moved else F.col(f"`{c}`") for c in df.columns])
+
+
 def rolling_mean(
     df: DataFrame, column: str, n: int, out: str, order: str, tiebreak: str | None = None, keys=(),
     slices: int | None = None,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from periodica.operators.ordered import dense_index, running_totals
 
@@ -37,16 +38,23 @@ def timeline(df: DataFrame, keys: list[str], item: str, start: str, end: str) ->
 
 def timeline_all(df: DataFrame, keys: list[str], milestone: str, task: str, start: str, end: str,
                  task_start: str, task_end: str) -> DataFrame:
-    """Milestones and tasks together, one row each, placed by their start. Items are numbers."""
+    """Milestones and tasks together, one row each, placed by their start.
+
+    Items are numbers or names; equal starts go by item, a milestone before a task. Items of both
+    kinds become names if either kind has names.
+    """
+    text = any(isinstance(df.schema[c].dataType, StringType) for c in (milestone, task))
     grains = [
-        df.groupBy(*keys, F.col(column).cast("long").alias("item")).agg(
+        df.groupBy(*keys, F.col(column).cast("string" if text else "long").alias("item")).agg(
             F.min(lo).alias("start"), F.max(hi).alias("end")).withColumn("type", F.lit(kind))
         for kind, column, lo, hi in (("milestone", milestone, start, end), ("task", task, task_start, task_end))
     ]
     both = grains[0].unionByName(grains[1])
     colored = both.withColumn("color", F.when(F.col("type") == "milestone", "black").otherwise("green"))
-    # Item and type in one number, so that equal starts have one order.
-    ties = colored.withColumn("_tie", F.col("item") * 2 + F.when(F.col("type") == "task", 1).otherwise(0))
+    # Item and type in one value, so that equal starts have one order.
+    second = F.when(F.col("type") == "task", 1).otherwise(0)
+    tie = F.concat("item", F.lit("\0"), second.cast("string")) if text else F.col("item") * 2 + second
+    ties = colored.withColumn("_tie", tie)
     return _with_bounds(ties, "start", "_tie", keys).drop("_tie")
 
 

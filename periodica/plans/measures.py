@@ -152,10 +152,9 @@ def box_summary(spark, sf):
 @query("resample_global", spine_sql(
     "$accounts", "block_timestamp", "1 HOUR", "date_trunc('hour', block_timestamp)", "s.b",
     "count(*) AS n, round(sum(amount), 2) AS total, round(avg(amount), 10) AS mean, count(DISTINCT address) AS users",
-    "coalesce(n, 0) AS n, coalesce(total, 0) AS total, mean, coalesce(users, 0) AS users",
-    where="update_type = 'error'"))
+    "coalesce(n, 0) AS n, coalesce(total, 0) AS total, mean, coalesce(users, 0) AS users"))
 def resample_global(spark, sf):
-    rows = t.accounts(spark, sf).where("update_type = 'error'")
+    rows = t.accounts(spark, sf)
     out = resample.resample(rows, "block_timestamp", "H", {
         "n": ("count", "event_id"), "total": ("sum", "amount"), "mean": ("mean", "amount"), "users": ("nunique", "address")})
     return groups.rounded(groups.rounded(out, 2, "total"), 10, "mean")
@@ -263,13 +262,15 @@ SELECT timestamp, CAST(sum(watch) FILTER (cluster = 'cluster_0') AS BIGINT) AS c
   CAST(sum(watch) FILTER (cluster = 'cluster_1') AS BIGINT) AS cluster_1_watch,
   round(sum(volume) FILTER (cluster = 'cluster_1'), 2) AS cluster_1_volume,
   CAST(sum(watch) FILTER (cluster = 'view') AS BIGINT) AS view_watch,
-  round(sum(volume) FILTER (cluster = 'view'), 2) AS view_volume FROM ({_LINES}) GROUP BY 1""")
+  round(sum(volume) FILTER (cluster = 'view'), 2) AS view_volume,
+  CAST(sum(watch) FILTER (cluster = 'purchase') AS BIGINT) AS purchase_watch,
+  round(sum(volume) FILTER (cluster = 'purchase'), 2) AS purchase_volume FROM ({_LINES}) GROUP BY 1""")
 def cluster_series(spark, sf):
     rows = t.daily(spark, sf)
     known = rows.select("crypto").distinct().where(F.col("crypto").isin("click", "error", "signup"))
     clusters = known.withColumn("cluster", F.when(F.col("crypto") == "signup", "cluster_1").otherwise("cluster_0"))
     out = resample.cluster_series(
-        rows, clusters, "crypto", "timestamp", "D", ["watch", "volume"], ["cluster_0", "cluster_1", "view"])
+        rows, clusters, "crypto", "timestamp", "D", ["watch", "volume"], ["cluster_0", "cluster_1", "view", "purchase"])
     return groups.rounded(out, 2, *[c for c in out.columns if c.endswith("_volume")])
 
 
@@ -430,6 +431,16 @@ def pop_aggregate(spark, sf):
     return _weeks(spark, sf)
 
 
+@query("pop_distinct", f"""
+SELECT dayset, period, CAST(sum(amount) AS BIGINT) AS amount FROM (SELECT DISTINCT * FROM (
+  {_week_rows("date_trunc('day', block_timestamp) AS moment, address % 7 AS amount", 'isodow(block_timestamp) - 1')})) GROUP BY 1, 2""")
+def pop_distinct(spark, sf):
+    """Equal rows of a window count once."""
+    rows = t.accounts(spark, sf).select(
+        F.date_trunc("day", "block_timestamp").cast("timestamp_ntz").alias("moment"), (F.col("address") % 7).alias("amount"))
+    return comparison.compare(rows, "moment", "week", *WEEK, 4, "amount", "sum", dedup=True)
+
+
 @query("period_columns", "SELECT dayset, " + ", ".join(
     f"coalesce(sum(amount) FILTER (period = '{p}'), 0) AS \"{p}\"" for p in comparison.period_labels("week", 5))
     + f" FROM {_POP} GROUP BY 1")
@@ -463,3 +474,20 @@ def pop_guarded(spark, sf):
     return comparison.guarded_comparison(
         t.business(spark, sf), "start_actual", "quarter", date(2000, 10, 2), date(2000, 12, 28), 4, "event", "count",
         initial=date(1995, 1, 1))
+
+
+@query("card_texts", """
+SELECT update_type, '$' || format('{:,.2f}', CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)) AS money,
+  CAST(round(100.0 * count(*) / (SELECT count(*) FROM events), 3) AS DOUBLE) || '%' AS percent,
+  CAST(round(CAST(count(*) AS DOUBLE) / 24, 2) AS DOUBLE) || ' days' AS days, count(DISTINCT address) || ' accounts' AS counted
+FROM $accounts GROUP BY 1""")
+def card_texts(spark, sf):
+    rows = t.accounts(spark, sf)
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    sums = rows.groupBy("update_type").agg(
+        F.sum(t.money("amount")).cast("double").alias("money"), F.count(F.lit(1)).cast("double").alias("n"),
+        F.count_distinct("address").alias("accounts"))
+    return sums.select(
+        "update_type", cards.card_text("money", F.col("money")).alias("money"),
+        cards.card_text("percent", 100 * F.col("n") / total).alias("percent"),
+        cards.card_text("days", F.col("n") / 24).alias("days"), cards.card_text("account", F.col("accounts")).alias("counted"))

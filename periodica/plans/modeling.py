@@ -1,9 +1,10 @@
-"""Churn models, clusters and forecasts. Results depend on Spark ML, so there is no SQL form."""
+"""Churn models, clusters and forecasts. Values depend on Spark ML; what SQL can know of them has queries of its own."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from periodica.operators import forecast as fc
@@ -16,7 +17,10 @@ from periodica.plans.relations import SPAN
 from periodica.session import shared_folder
 from periodica.sources.artifacts import ArtifactStore
 
+# Trees of the miner forest grow until their leaves are pure; Spark allows no more levels.
+MINER_DEPTH = 30
 ACCOUNT_FEATURES = {"amount": "mean", "block_time": "mean", "account_type": "mean"}
+# The features of the miner forest.
 MINER_FEATURES = {
     c: "mean" for c in ("value", "block_nrg_consumed", "transaction_nrg_consumed", "difficulty", "nrg_limit",
                         "block_size", "block_time", "nrg_reward")
@@ -31,13 +35,59 @@ def _account_rows(spark, sf):
     return features.withColumn("churned", (F.col("status") == "churned").cast("int"))
 
 
+_SAVED: dict[tuple[str, str], tuple[str, list[str]]] = {}
+
+
 def _account_model(spark, sf):
-    rows = models.training_rows(_account_rows(spark, sf))
-    train, test = models.split_rows(rows, ["address", "status"])
-    if train.select("churned").distinct().count() < 2:  # a very small table may have one class only
-        train = rows
-    features = models.usable_features(train, list(ACCOUNT_FEATURES))
-    return models.fit_forest(train, features, "churned"), features, train, test
+    """The forest of a table is trained once in an application, saved, and loaded by the other queries."""
+    keys = ["address", "status"]
+    train, test = models.split_rows(_account_rows(spark, sf), keys, "churned")
+    name = (spark.sparkContext.applicationId, sf)
+    if name not in _SAVED:
+        features = models.usable_features(train, list(ACCOUNT_FEATURES))
+        with models.fixed_rows(train, keys) as rows:
+            path = shared_folder(spark, "forest")
+            models.fit_forest(rows, features, "churned").save(path)
+        _SAVED[name] = path, features
+    path, features = _SAVED[name]
+    return PipelineModel.load(path), features, train, test
+
+
+_ACCOUNT_PARTS = """(SELECT *, d < 7000 OR row_number() OVER (PARTITION BY churned ORDER BY d, address, status) = 1 AS train FROM (
+  SELECT address, status, CASE WHEN status = 'churned' THEN 1 ELSE 0 END AS churned,
+    CAST('0x' || substr(md5(concat_ws('|', address, status)), 1, 8) AS BIGINT) % 10000 AS d
+  FROM $accounts_status WHERE status <> 'joined' GROUP BY 1, 2))"""
+
+
+@query("churn_split", f"""
+SELECT churned, train, count(*) AS n, min(address) AS first, max(address) AS last FROM {_ACCOUNT_PARTS} GROUP BY 1, 2""")
+def churn_split(spark, sf):
+    """Class sizes of the training and the test part."""
+    parts = models.split_rows(_account_rows(spark, sf), ["address", "status"], "churned")
+    both = parts[0].withColumn("train", F.lit(True)).unionByName(parts[1].withColumn("train", F.lit(False)))
+    return both.groupBy("churned", "train").agg(
+        F.count("*").alias("n"), F.min("address").alias("first"), F.max("address").alias("last"))
+
+
+@query("churn_support", f"SELECT churned AS class, count(*) AS support FROM {_ACCOUNT_PARTS} WHERE NOT train GROUP BY 1")
+def churn_support(spark, sf):
+    """Rows of each class that the forest is judged by; every test row has one prediction."""
+    model, _, _, test = _account_model(spark, sf)
+    return models.class_report(model.transform(test), "churned").where("support > 0").select(
+        "class", F.col("support").cast("long").alias("support"))
+
+
+@query("importance_total", f"""
+SELECT 'churned' AS outcome, count(*) AS features, CAST(1 AS DOUBLE) AS total FROM (
+  SELECT unnest(['amount', 'block_time', 'account_type']) AS f, unnest([max(a), max(b), max(c)]) AS used FROM (
+    SELECT avg(amount) <> 0 AS a, avg(block_time) <> 0 AS b, avg(account_type) <> 0 AS c FROM $accounts_status s
+    JOIN {_ACCOUNT_PARTS} p ON s.address = p.address AND s.status = p.status WHERE p.train GROUP BY s.address, s.status)) WHERE used""")
+def importance_total(spark, sf):
+    """Importances of the used features add up to one."""
+    model, features, _, _ = _account_model(spark, sf)
+    values = models.forest_stage(model).featureImportances.toArray()
+    table = spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
+    return table.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total")).withColumn("outcome", F.lit("churned"))
 
 
 @query("churn_forest")
@@ -94,24 +144,34 @@ def _miner_rows(spark, sf):
 
 
 def _miner_split(spark, sf):
-    rows = models.training_rows(_miner_rows(spark, sf))
-    train, test = models.split_rows(rows, ["from_addr"])
-    if train.select("churned").distinct().count() < 2:
-        train = rows
-    return train, test
+    return models.split_rows(_miner_rows(spark, sf), ["from_addr"], "churned")
+
+
+def _miner_forest(spark, sf):
+    train, test = _miner_split(spark, sf)
+    with models.fixed_rows(train, ["from_addr"]) as rows:
+        model = models.fit_forest(rows, list(MINER_FEATURES), "churned", trees=200, depth=MINER_DEPTH, impute=False)
+    return model.transform(test)
 
 
 @query("churn_forest_miner")
 def churn_forest_miner(spark, sf):
-    train, test = _miner_split(spark, sf)
-    model = models.fit_forest(train, list(MINER_FEATURES), "churned", trees=200, depth=5, impute=False)
-    return models.confusion(model.transform(test), "churned")
+    return models.confusion(_miner_forest(spark, sf), "churned")
+
+
+@query("churn_report_miner")
+def churn_report_miner(spark, sf):
+    """Precision, recall, F1 and support of each class, with the accuracy in percent."""
+    scored = _miner_forest(spark, sf)
+    accuracy = models.accuracy_table(scored, "churned", "churned").select("accuracy")
+    return models.class_report(scored, "churned").withColumn("accuracy", accuracy.scalar())
 
 
 @query("churn_svm")
 def churn_svm(spark, sf):
     train, test = _miner_split(spark, sf)
-    model = models.fit_svm(train, list(MINER_FEATURES), "churned")
+    with models.fixed_rows(train, ["from_addr"]) as rows:
+        model = models.fit_svm(rows, list(MINER_FEATURES), "churned")
     return models.class_report(model.transform(test), "churned")
 
 
@@ -133,10 +193,28 @@ def kmeans_gap(spark, sf):
 
 @query("cluster_names")
 def cluster_names(spark, sf):
-    assigned = models.assign_clusters(_members(spark, sf), 4)
+    assigned = models.assign_clusters(_members(spark, sf), "address", 4)
     return models.name_clusters(assigned, "address", 1, "own_cluster")
 
 
+@query("cluster_members", """
+SELECT user_id AS address, 1 AS clusters, CAST(4 AS BIGINT) AS used FROM events GROUP BY 1""")
+def cluster_members(spark, sf):
+    """Every account is in one cluster, and no cluster is empty."""
+    assigned = models.assign_clusters(_members(spark, sf), "address", 4)
+    used = assigned.agg(F.count_distinct("prediction")).scalar()
+    return assigned.groupBy("address").agg(F.count_distinct("prediction").cast("int").alias("clusters")).withColumn("used", used)
+
+
+@query("forecast_days", """
+SELECT s AS company, CAST(d AS DATE) AS ds FROM (SELECT company AS s, CAST(min(start_actual) AS DATE) AS a,
+  CAST(max(start_actual) AS DATE) + 30 AS b FROM $business GROUP BY 1), generate_series(a, b, INTERVAL 1 DAY) AS g(d)""")
+def forecast_days(spark, sf):
+    """One row for every day of a series and for the 30 days after it, with bounds around the estimate."""
+    rows = fc.forecast(t.business(spark, sf), "start_actual", "rate", "sum", 30, keys="company")
+    return rows.where("yhat_lower <= yhat and yhat <= yhat_upper").select("company", "ds")
+
+
 @query("forecast_additive")
 def forecast_additive(spark, sf):
     """Daily mean amount, and daily distinct accounts, 14 days ahead."""
@@ -154,7 +232,7 @@ def forecast_by_key(spark, sf):
 @query("cluster_artifact")
 def cluster_artifact(spark, sf):
     """Clusters of the accounts, saved, read back and used for the sum of each cluster per day."""
-    assigned = models.assign_clusters(_members(spark, sf), 4)
+    assigned = models.assign_clusters(_members(spark, sf), "address", 4)
     named = models.name_clusters(assigned, "address", 1, "own_cluster")
     store, now = ArtifactStore(spark, shared_folder(spark, "clusters")), datetime(2024, 2, 1)
     models.save_clusters(store, named, "address", "clusters:accounts", now)

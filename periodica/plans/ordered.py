@@ -10,6 +10,9 @@ from periodica.plans import tables as t
 from periodica.plans.registry import query
 
 
+COINS = ["click", "error", "purchase", "signup", "view"]
+
+
 @query("multi_lag", """
 SELECT * FROM (SELECT event_id, address, amount, lag(amount, 1) OVER w AS amount_1, lag(amount, 2) OVER w AS amount_2,
   lag(amount, 3) OVER w AS amount_3 FROM $accounts WINDOW w AS (PARTITION BY address ORDER BY block_timestamp, event_id))
@@ -34,10 +37,15 @@ SELECT * FROM (SELECT crypto, timestamp, watch, lag(fork, 2) OVER w AS fork, lag
   lag(volume, 2) OVER w AS volume FROM $daily WINDOW w AS (PARTITION BY crypto ORDER BY timestamp))
 WHERE fork IS NOT NULL""")
 def lag_features(spark, sf):
-    # One row per coin and day: an ordinary window is enough.
     rows = t.daily(spark, sf).select("crypto", "timestamp", "watch", "fork", "push", "volume")
-    w = Window.partitionBy("crypto").orderBy("timestamp")
-    return rows.withColumns({c: F.lag(c, 2).over(w) for c in ("fork", "push", "volume")}).dropna()
+    return ordered.lag_all_but(rows, "watch", 2, "timestamp", keys="crypto").dropna()
+
+
+@query("lag_by_text", """
+SELECT p_partkey, p_name, lag(p_retailprice) OVER (ORDER BY p_name, p_partkey) AS before FROM part""")
+def lag_by_text(spark, sf):
+    rows = t.table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
+    return ordered.lag_columns(rows, {"before": ("p_retailprice", 1)}, "p_name", "p_partkey").drop("p_retailprice")
 
 
 @query("first_diff", """
@@ -111,9 +119,10 @@ def unpivot(spark, sf):
 
 @query("pivot", """
 SELECT timestamp, max(volume) FILTER (crypto = 'click') AS click, max(volume) FILTER (crypto = 'purchase') AS purchase,
-  max(volume) FILTER (crypto = 'view') AS view FROM $daily GROUP BY 1""")
+  max(volume) FILTER (crypto = 'view') AS view, max(volume) FILTER (crypto = 'error') AS error,
+  max(volume) FILTER (crypto = 'signup') AS signup FROM $daily GROUP BY 1""")
 def pivot(spark, sf):
-    return reshape.pivot(t.daily(spark, sf), "timestamp", "crypto", ["click", "purchase", "view"], "volume")
+    return reshape.pivot(t.daily(spark, sf), "timestamp", "crypto", COINS, "volume")
 
 
 @query("wide_names_to_long", """
@@ -130,22 +139,29 @@ def wide_names_to_long(spark, sf):
 
 
 @query("coin_names_to_long", """
-SELECT timestamp, crypto, watch::DOUBLE AS watch, volume FROM $daily WHERE crypto IN ('click', 'view')""")
+SELECT d AS timestamp, c AS crypto, watch::DOUBLE AS watch, volume FROM (SELECT DISTINCT timestamp AS d FROM $daily)
+CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS c) LEFT JOIN $daily ON timestamp = d AND crypto = c""")
 def coin_names_to_long(spark, sf):
     rows = t.daily(spark, sf)
-    wide = rows.groupBy("timestamp").pivot("crypto", ["click", "view"]).agg(
+    wide = rows.groupBy("timestamp").pivot("crypto", COINS).agg(
         F.first("watch").alias("watch"), F.first("volume").alias("volume"))
-    return reshape.prefixed_names_to_rows(wide, ["click", "view"], "crypto", keep=["timestamp"])
+    return reshape.prefixed_names_to_rows(wide, COINS, "crypto", keep=["timestamp"])
 
 
 @query("coin_sums", """
 SELECT CAST(date_trunc('week', timestamp) + INTERVAL 6 DAY AS DATE) AS timestamp,
-  CAST(sum(watch) FILTER (crypto = 'click') AS BIGINT) AS click_watch, CAST(sum(fork) FILTER (crypto = 'click') AS BIGINT) AS click_fork,
-  CAST(sum(watch) FILTER (crypto = 'view') AS BIGINT) AS view_watch, CAST(sum(fork) FILTER (crypto = 'view') AS BIGINT) AS view_fork
-FROM $daily GROUP BY 1""")
+""" + ", ".join(f"CAST(sum({m}) FILTER (crypto = '{c}') AS BIGINT) AS {c}_{m}" for c in COINS for m in ("watch", "fork"))
+       + " FROM $daily GROUP BY 1")
 def coin_sums(spark, sf):
-    coins = ["click", "view"]
-    wide = t.daily(spark, sf).groupBy("timestamp").pivot("crypto", coins).agg(
+    wide = t.daily(spark, sf).groupBy("timestamp").pivot("crypto", COINS).agg(
         F.first("watch").alias("watch"), F.first("fork").alias("fork"))
-    aggs = groups.coin_aggregates(coins, ["watch", "fork"])
+    aggs = groups.coin_aggregates(COINS, ["watch", "fork"])
     return resample.resample(wide, "timestamp", "W", {c: (fn, c) for c, fn in aggs.items()})
+
+
+@query("added_columns", "SELECT unnest(['amount_1', 'amount_7']) AS name")
+def added_columns(spark, sf):
+    """Names of the columns that a step has added."""
+    rows = t.accounts(spark, sf).select("event_id", "block_timestamp", "amount")
+    lagged = ordered.lag_columns(rows, {f"amount_{k}": ("amount", k) for k in (1, 7)}, "block_timestamp", "event_id")
+    return spark.createDataFrame([(c,) for c in reshape.added_columns(lagged, rows)], "name string")

@@ -254,7 +254,7 @@ def flow_links(spark, sf):
 
 
 @query("flow_nodes", """
-SELECT patron, type, row_number() OVER (ORDER BY substr(md5(CAST(patron AS VARCHAR)), 1, 3), patron) - 1 AS index
+SELECT patron, type, row_number() OVER (ORDER BY md5(CAST(patron AS VARCHAR)), patron) - 1 AS index
 FROM (SELECT patron, min(company) AS type FROM $business GROUP BY 1)""")
 def flow_nodes(spark, sf):
     return projects.flow_nodes(t.business(spark, sf), "patron", "company")
@@ -280,6 +280,32 @@ def timeline_all(spark, sf):
     return groups.rounded(out, 1, "low", "high")
 
 
+_NAMED = "(SELECT *, type || ' ' || milestone AS name, status || task AS step FROM $projects)"
+
+
+def _named(spark, sf):
+    return t.projects(spark, sf).withColumn("name", F.concat_ws(" ", "type", "milestone")).withColumn("step", F.concat("status", "task"))
+
+
+@query("timeline_names", f"""
+SELECT project, item, start, end_ AS "end", round(rn - 0.4, 1) AS low, round(rn + 0.4, 1) AS high FROM (
+  SELECT project, name AS item, min(start) AS start, max(end_) AS end_,
+    row_number() OVER (PARTITION BY project ORDER BY name) AS rn FROM {_NAMED} GROUP BY 1, 2)""")
+def timeline_names(spark, sf):
+    return groups.rounded(projects.timeline(_named(spark, sf), ["project"], "name", "start", "end"), 1, "low", "high")
+
+
+@query("timeline_all_names", f"""
+WITH b AS (SELECT project, name AS item, min(start) AS start, max(end_) AS end_, 'milestone' AS type FROM {_NAMED} GROUP BY 1, 2
+  UNION ALL SELECT project, step, min(start), max(end_), 'task' FROM {_NAMED} GROUP BY 1, 2)
+SELECT project, item, start, end_ AS "end", type, CASE WHEN type = 'milestone' THEN 'black' ELSE 'green' END AS color,
+  round(rn - 0.4, 1) AS low, round(rn + 0.4, 1) AS high FROM (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY start, item, type) AS rn FROM b)""")
+def timeline_all_names(spark, sf):
+    out = projects.timeline_all(_named(spark, sf), ["project"], "name", "step", "start", "end", "start", "end")
+    return groups.rounded(out, 1, "low", "high")
+
+
 # ---------------------------------------------------------------- risk
 
 

@@ -215,6 +215,20 @@ def etl_params_join(spark, sf):
     return jn.platform_parameters(*_parameters(spark, sf), "ASIA")
 
 
+@query("etl_params_changed", """
+SELECT name AS platform, bool_or(p_partkey % 50 = 3) AS changed FROM (SELECT p_partkey, r_name AS name
+FROM part JOIN region ON p_partkey % 5 = r_regionkey) GROUP BY 1""")
+def etl_params_changed(spark, sf):
+    """Whether the parameters of a platform differ from those loaded before; one row per platform."""
+    parameters, etls = _parameters(spark, sf)
+    later = parameters.withColumn("handle", F.when(F.col("handle") % 50 == 3, -1).otherwise(F.col("handle")))
+    rows = []
+    for name in [r["etl"] for r in etls.select("etl").collect()]:  # the platforms are a handful
+        held, now = (jn.platform_parameters(p, etls, name) for p in (parameters, later))
+        rows.append((name, jn.differs(held, now)))
+    return spark.createDataFrame(rows, "platform string, changed boolean")
+
+
 @query("etl_items", """
 SELECT DISTINCT lower(translate(p_name || '-' || p_brand, ' -', '__')) AS item
 FROM part JOIN region ON p_partkey % 5 = r_regionkey WHERE r_name = 'EUROPE'""")

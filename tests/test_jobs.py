@@ -23,7 +23,7 @@ def separable(spark):
 
 
 def test_forest_separates(spark, separable):
-    train, test = models.split_rows(separable, ["id"])
+    train, test = models.split_rows(separable, ["id"], "churned")
     assert train.count() + test.count() == 300 and 150 < train.count() < 260
     model = models.fit_forest(train, ["x", "w"], "churned", trees=8)
     assert models.accuracy_table(model.transform(test), "churned", "churned").first()["accuracy"] == 100.0
@@ -36,8 +36,29 @@ def test_forest_separates(spark, separable):
     assert share.first()[0] == 50.0 and labelled.where("likely_action = 'churn'").count() == 150
 
 
+def test_no_class_is_missing_in_training(spark):
+    df = spark.createDataFrame([(i, int(i == 17)) for i in range(50)], "id int, churned int")
+    train, test = models.split_rows(df, ["id"], "churned", share=0.01)
+    assert {r["churned"] for r in train.collect()} == {0, 1} and train.count() + test.count() == 50
+    assert train.join(test, "id").count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_the_layout_does_not_change_a_model(spark, separable, parts):
+    noisy = separable.withColumn("churned", F.when(F.col("id") % 7 == 0, 1 - F.col("churned")).otherwise(F.col("churned")))
+    found = []
+    for df in (noisy.coalesce(1), noisy.repartition(parts, "x")):
+        with models.fixed_rows(df, ["id"]) as rows:
+            forest = models.fit_forest(rows, ["x", "w"], "churned", trees=5)
+        scaled = models.standardised(df, ["x", "w"])
+        with models.fixed_rows(scaled.select("id", "features"), ["id"]) as rows:
+            cost = models.fit_kmeans(rows, 4).summary.trainingCost
+        found.append((models.forest_stage(forest).featureImportances.toArray().tolist(), round(cost, 6)))
+    assert found[0] == found[1]
+
+
 def test_svm_report(separable):
-    train, test = models.split_rows(separable, ["id"])
+    train, test = models.split_rows(separable, ["id"], "churned")
     report = models.class_report(models.fit_svm(train, ["x", "w"], "churned").transform(test), "churned").collect()
     assert {r["class"] for r in report} == {0, 1} and all(r["precision"] == r["recall"] == r["f1"] == 1.0 for r in report)
 
@@ -47,9 +68,10 @@ def test_gap_finds_separate_groups(spark):
     data = [(i, 100.0 * (i % 3) + rng.random(), 50.0 * (i % 3 == 1) + rng.random()) for i in range(90)]
     df = spark.createDataFrame(data, "id int, a double, b double")
     scaled = models.standardised(df, ["a", "b"])
-    gaps = models.gap_statistic(scaled, "id", 2, most=4, references=2)
+    kept = {}
+    gaps = models.gap_statistic(scaled, "id", 2, most=4, references=2, kept=kept)
     assert [k for k, _ in gaps] == [1, 2, 3, 4] and dict(gaps)[3] > dict(gaps)[2] > dict(gaps)[1]
-    named = models.name_clusters(models.assign_clusters(scaled, 3), "id", 4, "own")
+    named = models.name_clusters(models.assign_clusters(scaled, "id", 3, model=kept[3]), "id", 4, "own")
     own = {r["id"] for r in named.where("cluster = 'own'").collect()}
     assert own == {i for i in range(90) if i % 3 == 1}
 
