@@ -23,7 +23,7 @@ from periodica.llm.common import mix, word_hashes
 
 WORD = re.compile(r"\w+")
 #: Independent walks, bands per walk, sampled steps per band.
-WALKS, BANDS, SAMPLES = 4, 6, 4
+WALKS, BANDS, SAMPLES = 6, 6, 4
 #: Words of a window; it starts at every half size. Longer items are covered by several windows.
 SIZES = (2, 4, 8, 16, 32, 64)
 #: A pass over the documents takes items of so many words together (or a single item); more items take more passes.
