@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
 from periodica.operators.joins import frequent_values
-from periodica.session import shuffle_width
+from periodica.session import materialise, shuffle_width
 
 SLICE = "_slice"
 # A slice is meant to hold this many rows; there are at least as many slices as shuffle partitions.
@@ -178,7 +178,8 @@ def carry_rows(sliced: DataFrame, k: int, order: str, tiebreak: str | None = Non
     )
     # At most k rows of each slice: a bounded list per key.
     by_key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(SLICE), F.col("_r").desc())
-    tails = tails.withColumn("_p", F.row_number().over(by_key)).drop("_r")
+    # Written once: a few rows per slice, which the rest of the plan reads instead of the input again.
+    tails = materialise(tails.withColumn("_p", F.row_number().over(by_key)).drop("_r"), "tails")
     starts = tails.groupBy(*keys, SLICE).agg(F.min("_p").alias("_first"))
     wanted = (
         starts.where(F.col("_first") > 1)
