@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from datetime import date, datetime
 
@@ -69,6 +70,46 @@ def table_from_dict(spark, sf):
     return _result(store, "account_activity")
 
 
+# Columns and types of the warehouse table, and the column that identifies its rows.
+WAREHOUSE_TYPES = {
+    "miner_address": "String", "block_number": "UInt64", "block_timestamp": "Datetime", "block_size": "UInt64", "block_time": "UInt64",
+    "difficulty": "Float64", "total_difficulty": "Float64", "nrg_limit": "UInt64", "transaction_hash": "String",
+    "nrg_reward": "Float64", "from_addr": "String", "to_addr": "String", "num_transactions": "UInt16",
+    "block_nrg_consumed": "UInt64", "transaction_nrg_consumed": "UInt64", "nrg_price": "UInt64", "value": "Float64",
+    "block_year": "UInt16", "block_month": "UInt8", "block_day": "UInt8",
+}
+WAREHOUSE_KEY = ["transaction_hash"]
+
+_TWENTY = """l_shipdate AS block_timestamp, CAST(o_custkey AS {text}) AS miner_address, o_orderkey AS block_number,
+  l_suppkey * 7 AS block_size, l_partkey % 60 AS block_time, o_totalprice AS difficulty, o_totalprice * 2 AS total_difficulty,
+  l_partkey AS nrg_limit, concat(l_orderkey, '-', l_linenumber) AS transaction_hash, l_tax AS nrg_reward,
+  CAST(l_suppkey AS {text}) AS from_addr, CAST(l_partkey AS {text}) AS to_addr, l_linenumber AS num_transactions,
+  l_suppkey AS block_nrg_consumed, l_suppkey * 2 AS transaction_nrg_consumed, l_partkey * 3 AS nrg_price, l_extendedprice AS value,
+  year(l_shipdate) AS block_year, month(l_shipdate) AS block_month, day(l_shipdate) AS block_day"""
+
+
+def _split_columns(text: str) -> list[str]:
+    """The items of a select list; commas within brackets do not divide."""
+    return [c.strip() for c in re.split(r",(?![^(]*\))", text)]
+
+
+_NEWEST = ", ".join(f"{c.split(' AS ')[-1]} DESC" for c in _split_columns(_TWENTY.format(text="VARCHAR")))
+
+
+@query("warehouse_insert", f"""
+SELECT * FROM (SELECT {_TWENTY.format(text='VARCHAR')} FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  WHERE o_orderdate < TIMESTAMP '1995-01-03') QUALIFY row_number() OVER (PARTITION BY transaction_hash ORDER BY {_NEWEST}) = 1""")
+def warehouse_insert(spark, sf):
+    """All 20 columns; the batch holds rows twice, which are inserted once."""
+    store = _tables(spark, sf)
+    store.create("warehouse", WAREHOUSE_TYPES)
+    rows = t.table(spark, sf, "lineitem").join(t.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where(
+        "o_orderdate < TIMESTAMP_NTZ'1995-01-03'").selectExpr(*_split_columns(_TWENTY.format(text="string")))
+    again = rows.where("block_number % 3 = 0").withColumn("block_timestamp", F.expr("block_timestamp - INTERVAL 1 DAY"))
+    store.append(rows.unionByName(again), "warehouse", WAREHOUSE_KEY)
+    return _result(store, "warehouse")
+
+
 @query("sink_append", """
 SELECT event_id, address, block_timestamp, amount, update_type FROM $accounts
 UNION ALL SELECT event_id, address, block_timestamp, amount, update_type FROM $accounts WHERE update_type = 'purchase'""")

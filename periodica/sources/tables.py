@@ -68,8 +68,16 @@ class DayTables:
             df.select(*columns, F.to_date(ts).alias(DAY)).hint("rebalance", DAY).sortWithinPartitions(DAY, ts)
         )
 
-    def append(self, df: DataFrame, table: str) -> None:
-        """Columns in table order, whatever their order in the frame."""
+    def append(self, df: DataFrame, table: str, dedup: list[str] | None = None) -> None:
+        """Columns in table order, whatever their order in the frame.
+
+        With ``dedup`` one row of the batch is kept for each value of these columns, the newest by time, then the
+        largest in the order of the columns.
+        """
+        if dedup:
+            row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+            newest = F.max_by(row, F.struct(F.col(self.ts_col(table)), row)).alias("_row")
+            df = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in dedup]).agg(newest).select("_row.*")
         self._rows(df, table).write.mode("append").insertInto(self.name(table))
 
     def _replace_days(self, df: DataFrame, table: str) -> None:
