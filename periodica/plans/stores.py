@@ -80,12 +80,12 @@ WAREHOUSE_TYPES = {
 }
 WAREHOUSE_KEY = ["transaction_hash"]
 
-_TWENTY = """l_shipdate AS block_timestamp, CAST(o_custkey AS {text}) AS miner_address, o_orderkey AS block_number,
-  l_suppkey * 7 AS block_size, l_partkey % 60 AS block_time, o_totalprice AS difficulty, o_totalprice * 2 AS total_difficulty,
-  l_partkey AS nrg_limit, concat(l_orderkey, '-', l_linenumber) AS transaction_hash, l_tax AS nrg_reward,
-  CAST(l_suppkey AS {text}) AS from_addr, CAST(l_partkey AS {text}) AS to_addr, l_linenumber AS num_transactions,
-  l_suppkey AS block_nrg_consumed, l_suppkey * 2 AS transaction_nrg_consumed, l_partkey * 3 AS nrg_price, l_extendedprice AS value,
-  year(l_shipdate) AS block_year, month(l_shipdate) AS block_month, day(l_shipdate) AS block_day"""
+_TWENTY = """ts AS block_timestamp, CAST(user_id AS {text}) AS miner_address, event_id AS block_number, user_id * 7 AS block_size,
+  user_id % 60 AS block_time, value AS difficulty, value * 2 AS total_difficulty, event_id * 2 AS nrg_limit,
+  concat('h', event_id) AS transaction_hash, value / 4 AS nrg_reward, CAST(user_id % 10 AS {text}) AS from_addr,
+  CAST(user_id % 7 AS {text}) AS to_addr, user_id % 9 AS num_transactions, user_id AS block_nrg_consumed,
+  user_id * 2 AS transaction_nrg_consumed, user_id * 3 AS nrg_price, value, year(ts) AS block_year, month(ts) AS block_month,
+  day(ts) AS block_day"""
 
 
 def _split_columns(text: str) -> list[str]:
@@ -93,20 +93,14 @@ def _split_columns(text: str) -> list[str]:
     return [c.strip() for c in re.split(r",(?![^(]*\))", text)]
 
 
-_NEWEST = ", ".join(f"{c.split(' AS ')[-1]} DESC" for c in _split_columns(_TWENTY.format(text="VARCHAR")))
-
-
-@query("warehouse_insert", f"""
-SELECT * FROM (SELECT {_TWENTY.format(text='VARCHAR')} FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE o_orderdate < TIMESTAMP '1995-01-03') QUALIFY row_number() OVER (PARTITION BY transaction_hash ORDER BY {_NEWEST}) = 1""")
+@query("warehouse_insert", f"SELECT {_TWENTY.format(text='VARCHAR')} FROM events")
 def warehouse_insert(spark, sf):
-    """All 20 columns; the batch holds rows twice, which are inserted once."""
+    """All 20 columns; the batch holds rows a second time with an older state, of which one is inserted."""
     store = _tables(spark, sf)
     store.create("warehouse", WAREHOUSE_TYPES)
-    rows = t.table(spark, sf, "lineitem").join(t.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where(
-        "o_orderdate < TIMESTAMP_NTZ'1995-01-03'").selectExpr(*_split_columns(_TWENTY.format(text="string")))
-    again = rows.where("block_number % 3 = 0").withColumn("block_timestamp", F.expr("block_timestamp - INTERVAL 1 DAY"))
-    store.append(rows.unionByName(again), "warehouse", WAREHOUSE_KEY)
+    rows = t.table(spark, sf, "events").selectExpr(*_split_columns(_TWENTY.format(text="string")))
+    older = rows.withColumn("block_timestamp", F.expr("block_timestamp - INTERVAL 1 DAY")).withColumn("value", F.lit(0.0))
+    store.append(rows.unionByName(older), "warehouse", WAREHOUSE_KEY)
     return _result(store, "warehouse")
 
 
