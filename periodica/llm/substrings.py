@@ -49,9 +49,9 @@ def _digests(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _rows(batch: pa.RecordBatch, rows: list[list]) -> pa.RecordBatch:
-    owner = batch.take(pa.array(rows[0], pa.int64()))
+    owner = pa.array(rows[0], pa.int64())  # the texts stay behind
     return pa.RecordBatch.from_arrays(
-        [owner.column(0), owner.column(1), *[pa.array(c, pa.int32()) for c in rows[1:4]], pa.array(rows[4], pa.binary())],
+        [batch.column(0).take(owner), batch.column(1).take(owner), *[pa.array(c, pa.int32()) for c in rows[1:4]], pa.array(rows[4], pa.binary())],
         names=["doc", "key", "unit", "start", "end", "digest"])
 
 
