@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     left = materialise(rows.join(shared, "bucket"), "buckets")
     wanted = held.join(left.select("class").distinct(), "class", "left_semi").select(F.col("key").alias("_key"))
     sets = materialise(_sets(source.join(wanted, "_key", "left_semi").dropDuplicates(["_key"]), k), "shingles")
-    links, merged = None, None
+    merged = None
     while True:
         known = left.join(merged, "class", "left").withColumn("component", F.coalesce("component", "class")) if merged is not None \
             else left.withColumn("component", F.col("class"))
@@ -197,8 +197,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         leaders = materialise(leaders.select("bucket", "class", "component", "n"), "leaders")
         pairs = materialise(_compare(leaders, known, percent), "pairs")
         confirmed = _confirm(pairs, sets, percent)
-        links = materialise(confirmed if links is None else links.union(confirmed), "links")
-        merged = materialise(components(links).select(F.col("node").alias("class"), "component"), "merged")
+        if merged is not None:  # components so far are stars already, and go on from there
+            confirmed = confirmed.union(merged.select(F.col("class").alias("a"), F.col("component").alias("b")))
+        merged = materialise(components(confirmed).select(F.col("node").alias("class"), "component"), "merged")
         left = materialise(known.select("bucket", "class", "n").join(leaders.select("bucket", "class"), ["bucket", "class"], "left_anti"), "buckets")
     if merged is None:
         merged = spark.createDataFrame([], "class binary, component binary")
