@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 192
@@ -141,24 +141,26 @@ def _gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, weight: n
     return [g_emb, *g_banks, *g_biases, act.T @ p, p.sum(axis=0)]
 
 
-def fit(docs: DataFrame, rows_per_class: int = 600, chars: int = 4_000, id_col: str = "doc_id", text_col: str = "text",
-        lang_col: str = "lang") -> Network | None:
-    """Train on at most ``rows_per_class`` texts of each language, those with the smallest hash of their id.
+def fit(docs: DataFrame, rows_per_class: int = 600, chars: int = 4_000, languages: int = 500, id_col: str = "doc_id",
+        text_col: str = "text", lang_col: str = "lang") -> Network | None:
+    """Train on at most ``rows_per_class`` texts of each of the ``languages`` most frequent labels.
 
-    The sample is bounded by ``rows_per_class`` and by the first ``chars`` characters of a text; nothing else of the
-    operator is. Texts without a letter and rows without a language are not learned from. None without such rows.
+    The sample is bounded by these two and by the first ``chars`` characters of a text; nothing else of the
+    operator is. It holds the rows with the smallest hashes of their id: a bound on the hash, from the label's
+    count, leaves some more rows than needed where they are read, and only those are ranked. Texts without a
+    letter and rows without a language are not learned from. None without such rows.
     """
-    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.struct(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, chars).alias("t")).alias("row"))
-    # the smallest rows of each (language, 1 of 64 slices) first, so that no task holds a language
-    from pyspark.sql import Window as W
-
-    sliced = usable.withColumn("slice", F.pmod(F.col("row.h"), F.lit(64)))
-    order = F.row_number().over(W.partitionBy("lang").orderBy("row"))
-    some = sliced.withColumn("n", F.row_number().over(W.partitionBy("lang", "slice").orderBy("row"))).filter(
-        F.col("n") <= rows_per_class).withColumn("n", order).filter(F.col("n") <= rows_per_class)
-    held = some.select("lang", "row.t").orderBy("lang", "row.h", "t").toLocalIterator()
-    pairs = [(r["t"], r["lang"]) for r in held]
+    known = docs.filter(F.col(lang_col).isNotNull())
+    sizes = known.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(languages).collect()
+    if not sizes:
+        return None
+    part = F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    below = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(min(1.0, 2.0 * rows_per_class / r["count"])))])
+    some = known.filter((part <= below[F.col(lang_col)]) & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(lang_col).alias("lang"), part.alias("part"), F.substring(text_col, 1, chars).alias("text"))
+    order = Window.partitionBy("lang").orderBy("part", "text")
+    kept = some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows_per_class)
+    pairs = [(r["text"], r["lang"]) for r in kept.orderBy("lang", "n").collect()]
     return train([t for t, _ in pairs], [lang for _, lang in pairs]) if pairs else None
 
 
