@@ -31,6 +31,7 @@ from periodica.session import materialise
 ROWS = 5
 #: A pair at the threshold shares no band with at most this probability.
 MISS = 1e-6
+#: Classes that lead a bucket in the second round; each round after it has twice as many.
 LEADERS = 64
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,7 +179,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     left = materialise(rows.join(shared, "bucket"), "buckets")
     wanted = held.join(left.select("class").distinct(), "class", "left_semi").select(F.col("key").alias("_key"))
     sets = materialise(_sets(source.join(wanted, "_key", "left_semi").dropDuplicates(["_key"]), k), "shingles")
-    merged = None
+    merged, most = None, LEADERS
     while True:
         known = left.join(merged, "class", "left").withColumn("component", F.coalesce("component", "class")) if merged is not None \
             else left.withColumn("component", F.col("class"))
@@ -193,7 +194,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             leaders = first.select("bucket", "l.*")
         else:
             place = F.row_number().over(W.partitionBy("bucket").orderBy("class"))
-            leaders = known.filter("component <> top").withColumn("place", place).filter(F.col("place") <= LEADERS)
+            leaders = known.filter("component <> top").withColumn("place", place).filter(F.col("place") <= most)
+            most *= 2  # so that a bucket of many unlinked classes takes few rounds
         leaders = materialise(leaders.select("bucket", "class", "component", "n"), "leaders")
         pairs = materialise(_compare(leaders, known, percent), "pairs")
         confirmed = _confirm(pairs, sets, percent)
