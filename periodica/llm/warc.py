@@ -67,7 +67,8 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     the successor must stand, and the digest of the payload if it ends before ``stop``.
 
     Splits are read by Spark's text source, cut at the magic line. The bytes that the splits of a file took give
-    each split's first offset, and a running sum within the split gives the others.
+    each split's first offset, and a running sum within the split gives the others. A row is what follows a magic
+    line, but a file's first row is what stands before the first one, and is no place. Other empty rows are places.
     """
     raw = spark.read.option("lineSep", MAGIC).text(folder).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
@@ -77,7 +78,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     head = F.octet_length("header") + len(END)
     body = F.substr(F.col("value").cast("binary"), (head + 1).cast("int"), F.col("size").cast("int"))
     whole = F.col("size").isNotNull() & (F.col("bytes") == head + F.col("size") + len(END))
-    parsed = part.filter((F.col("bytes") > 0) | (F.col("block") > 0)).withColumn("size", size).select(
+    parsed = part.withColumn("size", size).select(
         "file", "block", "n", "bytes", "size", head.cast("long").alias("head"), _field("WARC-Type").alias("type"),
         _field("WARC-Record-ID").alias("record"), _field("WARC-Payload-Digest").alias("digest"),
         _field("WARC-Refers-To").alias("refers"), F.when(whole, F.sha1(body)).alias("sha1"))
@@ -86,10 +87,11 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     blocks = took.select("file", "block", (F.sum("took").over(W.partitionBy("file").orderBy("block")) - F.col("took")).alias("base"))
     run = F.sum(F.col("bytes") + len(MAGIC)).over(W.partitionBy("file", "block").orderBy("n"))
     placed = held.withColumn("run", run).join(blocks, ["file", "block"])
-    start = F.col("base") + F.col("run") - F.col("bytes") - len(MAGIC)
+    stop = F.col("base") + F.col("run") - len(MAGIC)
+    start = stop - F.col("bytes") - len(MAGIC)
     after = F.when(F.col("size").isNotNull(), start + len(MAGIC) + F.col("head") + F.col("size") + len(END))
-    return placed.select("file", start.alias("start"), (F.col("base") + F.col("run")).alias("stop"), after.alias("after"), "size", "head",
-                         "type", "record", "digest", "refers", "sha1", "block", "n")
+    return placed.filter(start >= 0).select("file", start.alias("start"), stop.alias("stop"), after.alias("after"), "size", "head",
+                                            "type", "record", "digest", "refers", "sha1", "block", "n")
 
 
 def reachable(places: DataFrame) -> DataFrame:

@@ -76,6 +76,23 @@ def test_archives(spark, tmp_path, split):
     assert refers == [("<urn:page:0>", "<urn:page:3>"), ("<urn:page:4>", "<urn:page:7>"), ("<urn:page:none>", "<urn:page:20>")]
 
 
+@pytest.mark.parametrize("split", ["128m", "2k"])
+def test_archives_with_adjacent_magic_lines(spark, tmp_path, split):
+    import hashlib
+
+    pages = [(n, "u", t) for n, t in enumerate([
+        "a" * 3000, "WARC/1.0\r\nWARC/1.0\r\n", "b" * 1500, "x" + "WARC/1.0\r\n" * 500, "c", "WARC/1.0\r\n" * 2 + "y", "d" * 2000, "e"])]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w")
+        got = warc.read(spark, f"{tmp_path}/w").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.record, r.payload_digest) for r in got) == [(f"<urn:page:{n}>", hashlib.sha1(t.encode()).hexdigest()) for n, _, t in pages]
+    assert all(r.intact for r in got)
+
+
 def test_no_archives(spark, tmp_path):
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w")
     assert warc.read(spark, f"{tmp_path}/w").count() == 0
