@@ -1,12 +1,13 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, shard results merged.
 
-A shard is a bounded part of the vectors, dealt by a hash of the id. Its graph is built in one task: levels are drawn
+A shard is a bounded part of the vectors, dealt by a class of the norm and a hash of the id. Its graph is built in one task: levels are drawn
 as in the usual construction, and on each level a node keeps up to ``M`` (bottom: 2 ``M``) neighbours that the
 diversity rule picks from its nearest ones, with the reverse edges. Neighbours lie in flat arrays, one row per node.
 Queries are searched in blocks: all queries of a block descend the levels and expand their candidates together.
 
 Equal vectors are one node that lists its ids, so copies neither cut the graph nor crowd out the beam. Inner products
-are turned into angles by one more coordinate that makes all norms equal.
+are turned into angles by one more coordinate that makes all norms equal. Beside a far longer vector all others would
+become one point, so a shard's norms differ by a bounded factor.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from periodica.session import materialise
@@ -24,6 +25,8 @@ from periodica.session import materialise
 SHARD, BLOCK = 16_384, 2_048
 M, NEAREST, BEAM = 16, 48, 96
 LEVELS = 8
+#: Norms of a shard lie within a factor of two to this power.
+NORM_BITS = 4
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -34,6 +37,13 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         F.col("id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
 
 
+def _norm_class(v: Column) -> Column:
+    """The number of the vector's norm class; 1 is in the middle of class 0. Scaled, so that no square overflows."""
+    top = F.array_max(F.transform(v, F.abs))
+    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))
+    return F.floor((F.log2(top) + F.log2(square) / 2) / NORM_BITS + 0.5).cast("long")
+
+
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
     """For each row the k rows of largest inner product, nearest first, in blocks of rows."""
     out = np.empty((len(x), k), np.int32)
@@ -161,11 +171,13 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     """One row per (shard, dimension): flat arrays of the ids, the vectors and the levels' neighbours.
 
     All usable rows are indexed. Vectors of another length form shards of their own and are found by queries of that
-    length alone. The number of shards follows the number of rows, their size does not.
+    length alone. The number of shards follows the number of rows of a norm class, their size does not.
     """
-    rows = usable(vectors, id_col, vector_col)
-    shards = max(1, -(-rows.count() // shard))
-    dealt = rows.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("shard"), F.size("v").alias("dim"), "id", "v")
+    rows = usable(vectors, id_col, vector_col).withColumn("class", _norm_class(F.col("v")))
+    counts = rows.groupBy("class").count().collect()  # some hundred classes hold all doubles
+    shards = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["class"], -(-r["count"] // shard))]), F.col("class")) if counts else F.lit(1)
+    number = F.shiftleft("class", 40) + F.pmod(F.xxhash64("id", F.lit(1)), shards)
+    dealt = rows.select(number.alias("shard"), F.size("v").alias("dim"), "id", "v")
 
     def make(key: tuple, table: pa.Table) -> pa.Table:
         dim = key[1].as_py()
@@ -179,9 +191,10 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         nodes = flat[first]
         members = np.argsort(group, kind="stable")  # ids ascend within a node
         starts = np.searchsorted(group[members], np.arange(len(first) + 1), "left")
-        norm = np.sqrt((nodes * nodes).sum(axis=1))
+        scaled = nodes / np.abs(nodes).max()
+        norm = np.sqrt((scaled * scaled).sum(axis=1))
         top = norm.max()
-        unit = np.concatenate([nodes / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))[:, None]], axis=1).astype("f4")
+        unit = np.concatenate([scaled / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))[:, None]], axis=1).astype("f4")
         levels = build(unit)
         return pa.table({
             "shard": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([dim], pa.int32()),

@@ -134,6 +134,24 @@ def test_vectors_with_copies_and_odd_rows(spark):
     assert ann.nearest(ann.build_index(frame.limit(0)), frame.filter("vec_id % 20 = 0")).count() == 0
 
 
+def test_vectors_beside_very_long_ones(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 24))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[3] *= 1e4
+    x[7] *= 1e9
+    x[11] *= 1e-6
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(ann.build_index(frame), frame.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits, ids = [], np.arange(1500)
+    for q in range(0, 1500, 20):
+        best = [i for i in np.lexsort((ids, -(x * x[q]).sum(axis=1))) if i != q][:20]
+        hits.append(len(got[q] & set(best)) / 20)
+    assert np.mean(hits) >= 0.97
+
+
 def test_pipeline_stages_against_brute_force(spark, sf, tmp_path):
     import re
 
