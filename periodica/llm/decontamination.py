@@ -6,6 +6,9 @@ Hamming distance, whatever the kind of edit, so equal outputs at a few sampled s
 locality-sensitive hash of edit distance. Each item is embedded over windows of its own size class at its head, its
 tail and in between, at as many shifts as documents skip words from one window of that size to the next. Documents
 are scanned where they lie, against the items' keys; every hit is confirmed by the exact edit distance of the whole item.
+
+Short items need no sketch: k edits leave one of k + 1 parts of an item as it is, so the texts are searched for each
+part's words, and no place is missed.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import types as T
 
 from periodica.llm.common import mix, word_hashes
 
-WORD = re.compile(r"\w+")
+#: Scripts without blanks between words: Thai to Burmese, Khmer, kana, Chinese characters. Each character is a word.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
+WORD, MIXED = re.compile(r"\w+"), re.compile(rf"(?=\w)[{_ALONE}]|[^\W{_ALONE}]+")
 #: Independent walks, bands per walk, sampled steps per band.
 WALKS, BANDS, SAMPLES = 6, 6, 4
 #: Words of a window; it starts at every half size. Longer items are covered by several windows.
@@ -34,7 +39,7 @@ WINDOWS = 1 << 14
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    return (WORD if text.isascii() else MIXED).findall(text.lower()) if text else []
 
 
 def _steps(size: int) -> int:
@@ -96,11 +101,33 @@ def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
-def item_table(items: list[tuple[int, list[str]]]) -> dict:
-    """Keys of the items of one pass, sorted by key, and a bit table that most other keys miss."""
+def part_keys(tokens: np.ndarray, size: int) -> np.ndarray:
+    """A name of the ``size`` words at each place."""
+    out = np.zeros(max(0, len(tokens) - size + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = mix(out + tokens[k:k + len(out)])
+    return out
+
+
+def _parts(items: list[np.ndarray], share: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By size: sorted names of the parts of the items, with (item, place in it); k edits leave one of k + 1 parts."""
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for n, h in items:
+        edges = np.linspace(0, len(h), min(int(share * len(h)) + 1, len(h)) + 1).astype(int).tolist()
+        for a, b in zip(edges, edges[1:]):
+            found.setdefault(b - a, []).append((int(part_keys(h[a:b], b - a)[0]), n, a))
+    return {size: (np.array([f[0] for f in rows], np.uint64), np.array([f[1:] for f in rows])) for size, rows in
+            ((size, sorted(f)) for size, f in found.items())}
+
+
+def item_table(items: list[tuple[int, list[str]]], share: float = 0.2, least: int = 8) -> dict:
+    """Keys of the items of one pass, sorted by key, and a bit table that most other keys miss; parts of the short ones."""
     hashes = [word_hashes(w) for _, w in items]
     found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for n, h in enumerate(hashes):
+        if len(h) < least:
+            continue
         size = max(s for s in SIZES if s + stride(s) - 1 <= max(len(h), SIZES[0]))
         last = len(h) - size - stride(size) + 1
         firsts = {max(0, a) for a in (*range(0, last, size), last)}
@@ -115,7 +142,8 @@ def item_table(items: list[tuple[int, list[str]]]) -> dict:
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         table[s] = (key[order], where[order], bits)
-    return {"ids": [i for i, _ in items], "hashes": hashes, "sets": [set(h.tolist()) for h in hashes], "table": table}
+    return {"ids": [i for i, _ in items], "hashes": hashes, "sets": [set(h.tolist()) for h in hashes], "table": table,
+            "short": {n for n, h in enumerate(hashes) if len(h) < least}, "parts": _parts([(n, h) for n, h in enumerate(hashes) if len(h) < least], share)}
 
 
 def candidates(texts: list[np.ndarray], items: dict) -> dict[int, set[tuple[int, int]]]:
@@ -143,6 +171,14 @@ def candidates(texts: list[np.ndarray], items: dict) -> dict[int, set[tuple[int,
                     text = int(np.searchsorted(firsts, start, "right")) - 1
                     for n, offset in where[low[i]:high[i]]:
                         tries.setdefault(text, set()).add((int(n), int(start - firsts[text] - offset)))
+    for size, (key, where) in items["parts"].items():
+        got = part_keys(padded, size)
+        low, high = np.searchsorted(key, got, "left"), np.searchsorted(key, got, "right")
+        for start in np.nonzero(high > low)[0]:
+            text = int(np.searchsorted(firsts, start, "right")) - 1
+            if text >= 0 and start - firsts[text] + size <= lengths[text]:
+                for n, offset in where[low[start]:high[start]]:
+                    tries.setdefault(text, set()).add((int(n), int(start - firsts[text] - offset)))
     return tries
 
 
@@ -153,7 +189,7 @@ def matches(tokens: np.ndarray, tries: set[tuple[int, int]], items: dict, share:
         item = items["hashes"][n]
         most = int(share * len(item))
         low = max(0, start - most)
-        if any(s <= start < e for s, e, _ in best.get(n, ())):
+        if n not in items["short"] and any(s <= start < e for s, e, _ in best.get(n, ())):
             continue
         region = tokens[low:max(0, start + len(item) + most)]
         if len(items["sets"][n].difference(region.tolist())) > most:  # each of these words takes an edit
@@ -186,13 +222,13 @@ def _groups(texts: pa.Array) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield some
 
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str, least: int) -> Iterator[list[tuple[int, list[str]]]]:
+def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
     """Items in id order, as many at a time as ``PASS_WORDS`` holds; the driver holds one pass."""
     some: list[tuple[int, list[str]]] = []
     held = 0
     for row in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct().orderBy("i", "t").toLocalIterator():
         words = words_of(row["t"])
-        if len(words) < least:
+        if not words:
             continue
         if some and held + len(words) > PASS_WORDS:
             yield some
@@ -216,9 +252,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   item_text: str = "text", share: float = 0.2, least: int = 8) -> DataFrame:
     """Rows (id, item_id, word_start, word_end, item_words, edits), one for each place where an item stands in a document.
 
-    Words are the runs of letters, digits and underscores, in lower case. An item of n words is found where at most
-    ``share * n`` words must be inserted, removed or exchanged. Items of fewer than ``least`` words are not looked
-    for, since any text may hold them. Null and empty texts hold nothing; rows that repeat an id are searched each.
+    Words are the runs of letters, digits and underscores, in lower case; a character of a script without blanks is a
+    word. An item of n words is found where at most ``share * n`` words must be inserted, removed or exchanged. Items
+    of fewer than ``least`` words are sought in an exact way; those without words are not looked for. Null and empty texts hold nothing; rows that repeat an id are searched each.
     An empty benchmark gives no rows. Other columns of the input are not read.
     """
     spark = docs.sparkSession
@@ -227,8 +263,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         T.StructField(c, T.LongType()) for c in (item_col, "word_start", "word_end", "item_words", "edits")]])
     names = schema.names
     out = None
-    for some in _passes(benchmark, item_col, item_text, least):
-        held = spark.sparkContext.broadcast(item_table(some))
+    for some in _passes(benchmark, item_col, item_text):
+        held = spark.sparkContext.broadcast(item_table(some, share, least))
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items = held.value
@@ -247,8 +283,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
           share: float = 0.2, least: int = 8) -> DataFrame:
     """The documents, all columns, that hold no benchmark item (see ``contamination``); decided where they are read."""
     at = docs.columns.index(text_col)
-    for some in _passes(benchmark, item_col, item_text, least):
-        held = docs.sparkSession.sparkContext.broadcast(item_table(some))
+    for some in _passes(benchmark, item_col, item_text):
+        held = docs.sparkSession.sparkContext.broadcast(item_table(some, share, least))
 
         def sift(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:

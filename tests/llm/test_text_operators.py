@@ -117,6 +117,25 @@ def test_decontamination_by_edit_distance(spark):
     assert decontamination.contamination(frame.limit(0), bench).count() == 0
 
 
+def test_decontamination_by_short_items_and_scripts_without_blanks(spark):
+    rng = random.Random(11)
+    items = [(n, [rng.choice("abcdefgh") for _ in range(n)]) for n in range(1, 8)] + [(8, "x y x y x".split())]
+    docs = [(n, [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 25))]) for n in range(200)] + [(200, "x y x z x y x y x".split())]
+    want = {(d, i) for d, w in docs for i, t in items
+            if any(edit(t, w[a:b]) <= 0.2 * len(t) for a in range(len(w)) for b in range(a, min(len(w), a + len(t) + 1) + 1))}
+    exact = {(d, i) for d, w in docs for i, t in items if any(w[a:a + len(t)] == t for a in range(len(w)))}
+    passage = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    more = [(300, "前文" + passage + "后文。"), (301, "前文" + passage[:10] + "新" + passage[11:] + "后文"), (302, "天地不仁以万物为刍狗"), (303, "它在北京城里")]
+    bench = spark.createDataFrame([*[(i, " ".join(t)) for i, t in items], (20, passage), (21, "北京"), (22, "?!")], "item_id long, text string")
+    frame = spark.createDataFrame([*[(d, " ".join(w)) for d, w in docs], *more], SCHEMA)
+    found = decontamination.contamination(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.doc_id < 300} == want
+    assert {(r.doc_id, r.item_id) for r in found if r.doc_id < 300 and not r.edits} == exact
+    assert {(r.doc_id, r.item_id) for r in found if r.doc_id >= 300} == {(300, 20), (301, 20), (303, 21)}
+    dirty = {r.doc_id for r in found}
+    assert {r.doc_id for r in decontamination.clean(frame, bench).collect()} == {d for d, _ in [*docs, *more]} - dirty
+
+
 def test_several_passes_find_the_same(spark, monkeypatch):
     rng = random.Random(8)
     items = [(i, words(rng, 30)) for i in range(9)]
