@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +28,10 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 DIGIT = re.compile(r"[0-9]")
-#: Tokens of this length, with so many digits or an inner @, look like identifiers.
-SHORTEST, LONGEST, DIGITS = 5, 64, 3
+#: Tokens of this length or more, with so many digits or an inner @, look like identifiers.
+SHORTEST, DIGITS = 5, 3
 #: A pattern is trusted from this share of known values and this many of them on; a value from this chance on.
-CONFIDENCE, SUPPORT, ACCEPT, ROUNDS = 0.8, 3, 0.8, 5
+CONFIDENCE, SUPPORT, ACCEPT = 0.8, 3, 0.8
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -76,9 +77,14 @@ def left_patterns(text: str, start: int) -> list[str]:
     return [" ".join(words[-k:]) for k in (1, 2) if len(words) >= k]
 
 
+def named(value: str) -> str:
+    """A name of the whole value, in lower case."""
+    return xxhash.xxh3_128_hexdigest(value.lower().encode("utf-8", "replace"))
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Base entities and identifier-like tokens outside of them, with their left patterns."""
-    out = [{"start": s, "end": e, "kind": KINDS[k], "value": text[s:e][:80].lower(), "patterns": left_patterns(text, s)} for s, k, e in base]
+    out = [{"start": s, "end": e, "kind": KINDS[k], "value": named(text[s:e]), "patterns": left_patterns(text, s)} for s, k, e in base]
     taken = iter([*base, (len(text) + 1, 0, len(text) + 1)])
     now = next(taken)
     for m in TOKEN.finditer(text):
@@ -88,11 +94,11 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         while now[2] <= start and now[0] <= len(text):
             now = next(taken)
         value = text[start:end]
-        if now[0] < end or not SHORTEST <= len(value) <= LONGEST:
+        if now[0] < end or len(value) < SHORTEST:
             continue
         if "@" in value[1:-1] or len(DIGIT.findall(value)) >= DIGITS:
             if not any(s < end and start < e for s, _, e in base):
-                out.append({"start": start, "end": end, "kind": None, "value": value.lower(), "patterns": left_patterns(text, start)})
+                out.append({"start": start, "end": end, "kind": None, "value": named(value), "patterns": left_patterns(text, start)})
     return out
 
 
@@ -124,10 +130,10 @@ def _mark(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, ddl)
 
 
-def bootstrap(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
     """(pattern, kind, confidence) of the trusted patterns, from distinct edges (pattern, value, kind; null: not base).
 
-    Ends when a round accepts no new value, after ``rounds`` rounds at the latest.
+    Ends when a round accepts no new value; known values only grow, so there is such a round.
     """
     edges = materialise(edges.distinct(), "edges")
     totals = edges.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("total"))
@@ -139,9 +145,6 @@ def bootstrap(edges: DataFrame, confidence: float = CONFIDENCE, support: int = S
         hits = links.join(known, "value").groupBy("pattern", "kind").agg(F.sum("chance").alias("hits"))
         scored = hits.join(totals, "pattern").withColumn("confidence", F.col("hits") / F.col("total"))
         trusted = materialise(scored.filter((F.col("hits") >= support) & (F.col("confidence") >= confidence)).select("pattern", "kind", "confidence"), "trusted")
-        rounds -= 1
-        if not rounds:
-            return trusted
         found = links.join(trusted, "pattern").groupBy("value", "kind").agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("chance"))
         fresh = found.filter(F.col("chance") >= accept).join(seeds.select("value").distinct(), "value", "left_anti")

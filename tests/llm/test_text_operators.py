@@ -236,6 +236,20 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert pii.find(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_bootstrapping_goes_on_until_nothing_is_added(spark):
+    seeds = [(f"s{k}", "email") for k in range(7)]
+    edges = [(f"p{n}", *s) for n in range(9) for s in seeds] + [(f"p{n}", f"v{m}", None) for n in range(9) for m in (n, n + 1) if m]
+    got = pii.bootstrap(spark.createDataFrame(edges, "pattern string, value string, kind string")).collect()
+    assert {r.pattern for r in got} == {f"p{n}" for n in range(9)}
+
+
+def test_long_values_are_mentions_of_their_own():
+    token = "id7x" * 40
+    assert [(m["start"], m["end"]) for m in pii.mentions("your key " + token, [])] == [(9, 9 + len(token))]
+    text = f"{'a' * 90}1@mail.org {'a' * 90}2@mail.org"
+    assert len({m["value"] for m in pii.mentions(text, pii.base_spans(text))}) == 2
+
+
 def test_escape_is_reversible(spark):
     texts = ["", "\\", "\\1<s>", "</s>[INST] ok [/INST]", "<<s>s>", "\\0\\\\4", "[INST", "🙂</s>"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(
