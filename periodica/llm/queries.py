@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import ann, chat, decontamination, language, lines, neardup, packing, pii, substrings, warc
+from periodica.llm import ann, audit, chat, decontamination, language, lines, neardup, packing, pii, substrings, warc
 from periodica.llm.common import ship, table
 from periodica.session import materialise, shared_folder
 
@@ -159,3 +159,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed,
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL""")
 def op5(spark, sf):
     return lines.dedup(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op11_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+m AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+  + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+  + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS f FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+n AS (SELECT part, f, count(*) AS n, coalesce(sum(good), 0) AS g, coalesce(sum(toxic), 0) AS x FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+b AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM b a, b b, b c, b d, b e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS gone
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, any_value(bit) AS bit,
+  sum(CASE WHEN f & (gone + bit) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN f & gone = 0 AND f & bit <> 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN f & gone <> 0 AND f & bit <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN f = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN f & gone = 0 AND f & bit <> 0 THEN g ELSE 0 END) AS good_lost,
+  sum(CASE WHEN f & gone = 0 AND f & bit <> 0 THEN x ELSE 0 END) AS toxic_lost FROM n, s GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""")
+def op11(spark, sf):
+    counted = audit.classes(table(spark, sf, "documents"), audit.text_tests(F.coalesce("text", F.lit(""))))
+    return audit.orders(audit.survivors(counted, table(spark, sf, "labels")))
