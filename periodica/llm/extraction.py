@@ -9,12 +9,14 @@ a threshold, and dives where the sums are back at zero; what lies between is kep
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Lines of a window, and the characters a window must hold for a surge on pages that do not mark their article.
 WINDOW, SURGE = 3, 80
@@ -27,213 +29,229 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th "
     "thead tr ul".split())
 #: Elements without an end.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no markup or is never shown as text.
-HIDDEN = frozenset("audio canvas iframe math noembed noframes noscript object option script select style svg template textarea title video xmp".split())
+VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
+#: Elements whose content is never read as text; of the first four it is no markup and needs no end.
+HIDDEN = frozenset(
+    "script style title textarea audio canvas iframe math noembed noframes noscript object select svg template video xmp".split())
+RAW = frozenset("script style title textarea".split())
 #: Elements that are part of a page's frame wherever they are.
-FRAME = frozenset("aside button datalist dialog fieldset footer form head menu nav search".split())
+FRAME = frozenset("aside button datalist dialog fieldset footer form menu nav search".split())
 #: Roles that are part of a page's frame.
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-#: Words in a class or id that name a part of the frame. The first hold for all that is inside; a marked
-#: article inside one of the others is still an article, since whole layouts have such names.
+#: Words in a class or id that name a part of the frame, with all that is inside.
 FIRM = frozenset(
-    "ad ads adsense advert advertisement advertising adverts adbox adslot adunit advertise banner breadcrumb breadcrumbs captcha comment commentlist "
-    "comments consent cookie cookies disclaimer discussion disqus footer gdpr login menu nav navbar navigation newsletter notice notices "
-    "notification pager pagination popup promo promoted promotion reader respond related recommended recommendations replies "
-    "share sharing sharebar signup skip social sponsor sponsored subscribe subscription teaser toolbar".split())
-LOOSE = frozenset("alert aside header masthead modal overlay sidebar sidebars topbar widget widgets".split())
-#: Words before which a name does not mean the part itself, as in has-sidebar or no-ads.
-DENIED = frozenset("has have no not with without hide hidden show before after".split())
-#: Elements whose start ends an open one of the second set, if that is the innermost block.
+    "ad ads adbox adslot adunit adsense advert adverts advertise advertisement advertisements advertising alert breadcrumb breadcrumbs "
+    "captcha comment commentlist comments consent cookie cookies disclaimer discussion disqus gdpr newsletter notice notices "
+    "notification notifications pager pagination popup promo promoted promotion recommendations recommended related replies respond "
+    "share sharebar sharing signup skip sponsor sponsored sponsors subscribe subscription".split())
+#: Such words in the names of whole layouts too, so that an article element inside is still an article.
+LOOSE = frozenset(
+    "aside banner footer header login masthead menu modal nav navbar navigation overlay sidebar sidebars social toolbar topbar widget widgets".split())
+#: Words after which a name does not mean the part itself, as in has-sidebar or no-ads.
+DENIED = frozenset("after before has have hidden hide no not show with without".split())
+#: Words in a class or id that mark an article where no element or role does.
+ARTICLE = frozenset("article articlebody content entry post story".split())
+#: Elements whose start ends an open one of these kinds, if that is the innermost block.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"),
     **{f"h{n}": tuple(f"h{m}" for m in range(1, 7)) for n in range(1, 7)},
 }
+#: Elements that group lines without being the element these lines share.
+INNER = frozenset("blockquote dl figure ol table tbody tfoot thead tr ul".split())
 
-_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:"[^"]*"|'[^']*'|[^'">])*(?:>|\Z)""", re.S)
+_TAG = re.compile(
+    r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|</?[A-Za-z](?:[^>="']++|=\s*+(?:"[^"]*+"|'[^']*+'|)|["'])*+(?:>|\Z)""", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
-_MARKS = re.compile(r"""[\s"'/](class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_MARKS = re.compile(r"""\s(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in HIDDEN}
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
-_NOT, _LOOSE, _FIRM = 0, 1, 2
 
+class Line:
+    """A line of text: its characters in links, whether it is of the frame, how surely of an article, its element."""
 
-def _frame(tag: str, markup: str, inside_article: bool) -> int:
-    """How firmly an element is part of the frame by its own name, role, class and id."""
-    if tag in FRAME:
-        return _FIRM
-    firm = _LOOSE if tag == "header" and not inside_article else _NOT
-    if tag in ("html", "body", "main"):
-        return _NOT
+    __slots__ = ("text", "links", "frame", "article", "home")
+
+    def __init__(self, text: str, links: int, frame: bool, article: int, home: int):
+        self.text, self.links, self.frame, self.article, self.home = text, links, frame, article, home
+
+
+class _Block:
+    """An open block element, with the inline elements that are open in it."""
+
+    __slots__ = ("tag", "frame", "article", "home", "inside", "inline", "counts")
+
+    def __init__(self, tag: str, frame: int, article: int, home: int, inside: int):
+        self.tag, self.frame, self.article, self.home, self.inside = tag, frame, article, home, inside
+        self.inline: list[tuple[str, int]] = []
+        self.counts: Counter = Counter()
+
+
+def _marks(tag: str, markup: str, in_article: int) -> tuple[int, int]:
+    """How surely an element is of the frame (2: whatever is inside) and of an article (2: by element or role), by itself."""
+    if tag in FRAME or tag == "article" and in_article > 1:  # an article inside an article is a comment on it
+        return 2, 0
+    frame, article = int(tag == "header" and not in_article), 2 * (tag in ("article", "main"))
+    if tag == "main" or " " not in markup and "\n" not in markup and "\t" not in markup:
+        return frame, article
     for name, *values in _MARKS.findall(markup):
         value = next(filter(None, values), "")
         if name.lower() == "role":
             if value.lower() in ROLES:
-                return _FIRM
+                return 2, 0
+            article = max(article, 2 * (value.lower() in ("article", "main")))
             continue
         for word in value.split():
-            denied = False
-            for w in map(str.lower, _WORD.findall(word)):
+            denied, words = False, [w.lower() for w in _WORD.findall(word)]
+            for w in [*words, *(["".join(words)] if len(words) == 2 and not words[0] in DENIED else [])]:
                 if not denied and w in FIRM:
-                    return _FIRM
-                if not denied and w in LOOSE:
-                    firm = _LOOSE
+                    return 2, 0
+                if not denied and w in LOOSE and not (w == "header" and in_article):
+                    frame = 1
                 denied = w in DENIED
-    return firm
-
-
-class _Frame:
-    """An open block: its tag, whether it belongs to the frame or an article, and its open inline elements."""
+                article = max(article, int(w in ARTICLE))
+    return frame, 0 if frame and tag != "article" else article
 
-    __slots__ = ("tag", "frame", "article", "inline", "number")
 
-    def __init__(self, tag: str, frame: int, article: bool, number: int):
-        self.tag, self.frame, self.article, self.number, self.inline = tag, frame, article, number, []
-
-
-def page_lines(html: str) -> list[tuple[str, int, bool, bool, int]]:
-    """The lines of a page in order: (text, characters in links, of the frame, in an article, number of its block).
-
-    White space, which includes no-break spaces, is one space within a line; lines without text are left out.
-    """
-    lines: list[tuple[str, int, bool, bool, int]] = []
-    stack = [_Frame("", _NOT, False, 0)]
-    opened: dict[str, int] = {}
+def page_lines(html: str) -> list[Line]:
+    """The lines of a page in order. White space, no-break spaces included, is one space; lines without text are left out."""
+    lines: list[Line] = []
+    stack = [_Block("", 0, 0, 0, 0)]
+    opened: Counter = Counter()
+    endless: set[str] = set()
     text: list[str] = []
     linked: list[str] = []
-    number = 0
-
-    def state() -> tuple[int, bool]:
-        top = stack[-1]
-        return max([top.frame, *(f for _, f in top.inline[-1:])]), any(t == "a" for t, _ in top.inline)
-
-    framed, in_link = 0, False
-
-    def flush() -> None:
-        shown = " ".join(unescape("".join(text)).split())
-        if shown:
-            lines.append((shown, len(" ".join(unescape("".join(linked)).split())), stack[-1].frame > 0, stack[-1].article, stack[-1].number))
-        text.clear()
-        linked.clear()
-
-    def pop() -> None:
-        opened[stack.pop().tag] -= 1
-
-    at, size = 0, len(html)
-    while at < size:
+    blocks = at = 0
+    while at < len(html):
         found = _TAG.search(html, at)
-        piece = html[at:found.start()] if found else html[at:]
-        if piece and (not framed or stack[-1].frame):  # an inline part of the frame leaves no text in its line
-            text.append(piece)
-            if in_link:
-                linked.append(piece)
+        top = stack[-1]
+        if (found.start() if found else len(html)) > at and not (top.inline and top.inline[-1][1]):
+            text.append(html[at:found.start()] if found else html[at:])
+            if top.counts["a"]:
+                linked.append(text[-1])
         if not found:
             break
         at, markup = found.end(), found.group()
         name = _NAME.match(markup)
-        if not name:  # a comment or declaration
+        if not name:  # a comment or a declaration
             continue
         tag, ends = name.group(1).lower(), markup[1] == "/"
         if tag in HIDDEN:
-            if not ends and not markup.endswith("/>") or not ends and tag not in ("svg", "math"):
+            if not ends and not markup.endswith("/>") and tag not in endless:
                 end = _ENDS[tag].search(html, at)
-                at = end.start() if end else size
-            continue
-        if tag in BLOCKS:
-            flush()
+                if end or tag in RAW:
+                    at = end.start() if end else len(html)
+                else:
+                    endless.add(tag)
+        elif tag in BLOCKS:
+            _flush(lines, text, linked, top)
+            if tag in ("html", "head", "body", "hr"):
+                continue
             if ends:
-                if opened.get(tag):
+                if opened[tag]:
                     while stack[-1].tag != tag:
-                        pop()
-                    pop()
-            else:
-                if stack[-1].tag == "p":
-                    pop()
-                while stack[-1].tag in CLOSES.get(tag, ()):
-                    pop()
-                if tag not in VOID:
-                    above = stack[-1]
-                    own = _frame(tag, markup, above.article)
-                    article = tag in ("article", "main") and own == _NOT
-                    frame = max(own, above.frame)
-                    if article and above.frame < _FIRM:
-                        frame = _NOT
-                    number += 1
-                    stack.append(_Frame(tag, frame, (above.article or article) and not frame, number))
-                    opened[tag] = opened.get(tag, 0) + 1
+                        opened[stack.pop().tag] -= 1
+                    opened[stack.pop().tag] -= 1
+                continue
+            if top.tag == "p":
+                opened[stack.pop().tag] -= 1
+            while stack[-1].tag in CLOSES.get(tag, ()):
+                opened[stack.pop().tag] -= 1
+            above = stack[-1]
+            frame, article = _marks(tag, markup, above.article)
+            if not (article == 2 and above.frame < 2):
+                frame = max(frame, above.frame)
+            blocks += 1
+            inside = above.inside if tag in INNER else blocks
+            stack.append(_Block(tag, frame, 0 if frame else max(article, above.article), above.inside, inside))
+            opened[tag] += 1
         elif tag == "br":
             text.append(" ")
-            if in_link:
-                linked.append(" ")
-            continue
-        elif tag in VOID:
-            continue
-        else:
-            inline = stack[-1].inline
+        elif tag not in VOID:
             if not ends:
                 if not markup.endswith("/>"):
-                    inline.append((tag, max(_frame(tag, markup, True), inline[-1][1] if inline else 0)))
-            elif any(t == tag for t, _ in inline[-8:]):  # an end that is further away closes nothing
-                while inline.pop()[0] != tag:
-                    pass
-        top = stack[-1]
-        framed = max(top.frame, top.inline[-1][1] if top.inline else 0)
-        in_link = any(t == "a" for t, _ in top.inline[-8:])
-    flush()
+                    frame = _marks(tag, markup, 1)[0] if tag == "button" or " " in markup else 0
+                    top.inline.append((tag, max(frame, top.inline[-1][1] if top.inline else 0)))
+                    top.counts[tag] += 1
+            elif top.counts[tag]:
+                while top.inline[-1][0] != tag:
+                    top.counts[top.inline.pop()[0]] -= 1
+                top.counts[top.inline.pop()[0]] -= 1
+    _flush(lines, text, linked, stack[-1])
     return lines
 
 
+def _flush(lines: list[Line], text: list[str], linked: list[str], block: _Block) -> None:
+    shown = " ".join(unescape("".join(text)).split())
+    if shown:
+        links = len(" ".join(unescape("".join(linked)).split())) if linked else 0
+        lines.append(Line(shown, links, block.frame > 0, block.article, block.home))
+    text.clear()
+    linked.clear()
+
+
 def surges(weights: Sequence[int], window: int, least: int) -> list[tuple[int, int]]:
     """The stretches (from, to) of lines between a surge and the dive after it.
 
-    The sum at a line is that of the ``window`` lines from there on. A stretch starts at the first line with weight of a
-    run of sums above zero that reaches ``least``, and ends after the last line with weight of this run.
+    The sum at a line is that of the ``window`` lines from there on. A run of sums above zero with one that reaches
+    ``least`` is a stretch, from its first line with weight to its last one.
     """
-    sums, total = [], 0
+    sums, total = [0] * len(weights), 0
     for n in range(len(weights) - 1, -1, -1):
         total += weights[n] - (weights[n + window] if n + window < len(weights) else 0)
-        sums.append(total)
-    sums.reverse()
+        sums[n] = total
     found, n = [], 0
     while n < len(sums):
-        if not sums[n]:
-            n += 1
-            continue
         start = n
         while n < len(sums) and sums[n]:
             n += 1
-        if max(sums[start:n]) >= least:
-            held = [k for k in range(start, min(n + window - 1, len(weights))) if weights[k]]
+        if n > start and max(sums[start:n]) >= least:
+            held = [k for k in range(start, n) if weights[k]]
             found.append((held[0], held[-1] + 1))
+        n += n == start
     return found
 
 
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The blocks of a page's main text in page order, each with white space as one space.
+    """The blocks of a page's main text in page order.
 
-    A page that marks its article (article or main) surges with the first character of it and nowhere else. Elsewhere
-    a stretch needs ``surge`` characters in one window, lines made of links have no weight, and stretches
-    that share their element with such a stretch are kept with it, so that a short paragraph after an advert is not lost.
+    On a page that marks its article, by element or role or else by a class or id, only lines of it have weight, and
+    text surges with their first character. Elsewhere a window needs ``surge`` characters, lines made of links or
+    stating rights have no weight, and lines that share their element with a stretch are kept with it, so that a short
+    paragraph after an advert is not lost. A line without weight is as wide as a window: text does not run across it.
     """
     lines = page_lines(html)
-    marked = any(article and not frame for _, _, frame, article, _ in lines)
-    # each line of the frame counts as a window of empty ones: text on either side of it is not one stretch
-    spread: list[int] = []
+    marked = max((line.article for line in lines if not line.frame), default=0)
+    places: list[int] = []
     weights: list[int] = []
-    for n, (shown, links, frame, article, _) in enumerate(lines):
-        if frame or (marked and not article):
-            spread.extend([-1] * window)
-            weights.extend([0] * window)
-        else:
-            spread.append(n)
-            weights.append(len(shown) if marked or links <= LINK_SHARE * len(shown) else 0)
-    kept: list[int] = []
-    runs = surges(weights, window, 1 if marked else surge)
-    for start, end in runs:
-        kept.extend(spread[k] for k in range(start, end) if spread[k] >= 0 and weights[k])
-    if not marked and kept:
-        homes = {lines[n][4] for n in kept} | set(_parents(lines, kept))
-        kept = sorted({*kept, *(n for n, w in zip(spread, weights) if n >= 0 and w and _home(lines[n]) in homes)})
-    return [lines[n][0] for n in kept]
+    for n, line in enumerate(lines):
+        out = line.frame or line.article < marked or not marked and (
+            line.links > LINK_SHARE * len(line.text) or _RIGHTS.match(line.text))
+        places.extend([n] * (window if out else 1))
+        weights.extend([0] * window if out else [len(line.text)])
+    kept = {places[k] for start, end in surges(weights, window, 1 if marked else surge) for k in range(start, end) if weights[k]}
+    if not marked:
+        homes = {lines[n].home for n in kept}
+        kept |= {n for n, w in zip(places, weights) if w and lines[n].home in homes}
+    return [lines[n].text for n in sorted(kept)]
+
+
+def extract(
+    pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: str = "html", window: int = WINDOW, surge: int = SURGE,
+) -> DataFrame:
+    """The columns of ``keep`` with ``blocks``, an array of the texts of a page's main text; empty if there is none.
+
+    Every page is one row, read whole, whatever its length; the work is linear in it. A null page is an empty one, equal
+    pages are extracted each, other columns (also ones named as the results) are left out, an empty table gives no rows.
+    """
+    schema = pages.select(*keep).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = [main_text(page or "", window, surge) for page in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(keep)], pa.array(blocks, pa.list_(pa.string()))], [*keep, "blocks"])
+
+    return pages.select(*keep, F.col(html).alias("_html")).mapInArrow(run, schema.add("blocks", T.ArrayType(T.StringType())))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import ann, audit, chat, decontamination, language, lines, neardup, packing, pii, substrings, warc
+from periodica.llm import ann, audit, chat, decontamination, extraction, language, lines, neardup, packing, pii, substrings, warc
 from periodica.llm.common import ship, table
 from periodica.session import materialise, shared_folder
 
@@ -187,3 +187,16 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
 def op11(spark, sf):
     counted = audit.classes(table(spark, sf, "documents"), audit.text_tests(F.coalesce("text", F.lit(""))))
     return audit.orders(audit.survivors(counted, table(spark, sf, "labels")))
+
+
+@query("op12_line_block_text", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS h FROM pages),
+s AS (SELECT *, list_transform(regexp_split_to_array(h, '</?(?:p|h[1-6]|div|section|ul|ol|li|blockquote)(?:\s[^>]*)?>'), lambda x:
+  regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')) AS parts FROM a),
+d AS (SELECT *, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x,
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM s)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') AS text,
+  length(coalesce(array_to_string(blocks, chr(10) || chr(10)), ''))::BIGINT AS n_chars FROM d""")
+def op12(spark, sf):
+    text = F.array_join("blocks", "\n\n")
+    return extraction.extract(table(spark, sf, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
