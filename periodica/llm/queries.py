@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import ann, audit, chat, decontamination, extraction, language, lines, neardup, packing, pii, substrings, warc
+from periodica.llm import ann, audit, chat, decontamination, extraction, language, lines, neardup, packing, pii, repair, substrings, warc
 from periodica.llm.common import ship, table
 from periodica.session import materialise, shared_folder
 
@@ -200,3 +200,58 @@ SELECT page_id, url, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') A
 def op12(spark, sf):
     text = F.array_join("blocks", "\n\n")
     return extraction.extract(table(spark, sf, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
+@query("op13_conversation_repair", r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+h AS (SELECT name, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)),
+    4294967295::BIGINT) % 20 AS fault FROM (SELECT DISTINCT name FROM k)),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k JOIN h USING (name) WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS c FROM d),
+f AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair, CASE
+    WHEN regexp_matches(text, '^[\x20\x09-\x0D]*$') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+m AS (SELECT conv_id, i, c, role || ':' || text AS line, text, fault IN ('none', 'truncated') AS k, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS t FROM f),
+r AS (
+  SELECT conv_id, n + 1 AS i, {'c': 0, 'a': '', 'r': []::VARCHAR[]} AS z, {'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']} AS s,
+    {'c': 3, 'a': 'I', 'r': ['assistant:']} AS u, {'c': 0, 'a': '', 'r': []::VARCHAR[]} AS e FROM g
+  UNION ALL
+  SELECT conv_id, i, list_min([z, {'c': u.c + 3, 'a': 'I' || u.a, 'r': list_prepend('user:', u.r)}]),
+    list_min([s, {'c': u.c + 3, 'a': 'I' || u.a, 'r': list_prepend('user:', u.r)}]), u, e
+  FROM (SELECT conv_id, i, z, s, list_min([u, {'c': e.c + 3, 'a': 'I' || e.a, 'r': list_prepend('assistant:', e.r)}]) AS u,
+      list_min([e, {'c': u.c + 3, 'a': 'I' || u.a, 'r': list_prepend('user:', u.r)}]) AS e
+    FROM (SELECT conv_id, i, list_min([dz, CASE WHEN k AND c = 's' THEN {'c': t + s.c, 'a': 'K' || s.a, 'r': list_prepend(line, s.r)} END, pu]) AS z,
+        list_min([ds, pu]) AS s, list_min([du, pa]) AS u, list_min([de, pu]) AS e
+      FROM (SELECT r.conv_id, m.i, c, s, k, t, line,
+          {'c': z.c + 4, 'a': 'D' || z.a, 'r': z.r} AS dz, {'c': s.c + 4, 'a': 'D' || s.a, 'r': s.r} AS ds,
+          {'c': u.c + 4, 'a': 'D' || u.a, 'r': u.r} AS du, {'c': e.c + 4, 'a': 'D' || e.a, 'r': e.r} AS de,
+          CASE WHEN k THEN CASE WHEN c = 'u' THEN {'c': t + u.c, 'a': 'K' || u.a, 'r': list_prepend(line, u.r)}
+            ELSE {'c': t + 3 + u.c, 'a': 'R' || u.a, 'r': list_prepend('user:' || text, u.r)} END END AS pu,
+          CASE WHEN k THEN CASE WHEN c = 'a' THEN {'c': t + e.c, 'a': 'K' || e.a, 'r': list_prepend(line, e.r)}
+            ELSE {'c': t + 3 + e.c, 'a': 'R' || e.a, 'r': list_prepend('assistant:' || text, e.r)} END END AS pa
+        FROM r JOIN m ON m.conv_id IS NOT DISTINCT FROM r.conv_id AND m.i = r.i - 1))))
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(z.c, 0)::BIGINT AS cost, coalesce(z.a, '') AS audit,
+  sha256(coalesce(array_to_string(z.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN (SELECT * FROM r WHERE i = 1) w ON w.conv_id IS NOT DISTINCT FROM a.conv_id""")
+def op13(spark, sf):
+    rows = table(spark, sf, "conversations")
+    report, repaired = repair.repair(repair.damage(rows))
+    whole = repaired.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct(
+        "place", "at", F.concat("role", F.lit(":"), "text").alias("line")))).alias("lines")).select(
+        F.col("conv").alias("_conv"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+    ids = rows.select("conv_id").distinct()
+    none = F.lit(0).cast("long")
+    return ids.join(report, F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(
+        whole, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
+        "conv_id", *(F.coalesce(c, none).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("repaired_sha256"))
