@@ -12,14 +12,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from periodica.functions.tails import chi2_p, normal_p, student_p
-from periodica.operators.ordered import SLICE, Cuts, add_slice, find_cuts, running_totals
+from periodica.functions.tails import chi2_p, normal_p, student_p, u_exact_p
 from periodica.operators.groups import finite
+from periodica.operators.ranks import rank_sums
 from periodica.sources.artifacts import CHECKPOINT_DAYS, ArtifactStore
 
 # Limits of |r| and the significance level.
 STRONG, MODERATE, WEAK = 0.65, 0.4, 0.25
 ALPHA = 0.1
+# A sample of at most this many values is small, if both together are not more than the second number.
+EXACT, EXACT_TOTAL = 8, 400  # no more than u_exact_p takes
 SIGNIFICANT_WORDS = ("weak", "moderate", "strong")
 
 
@@ -80,10 +82,11 @@ def lag_relationships(lagged: DataFrame, target: str, lag_columns: list[str], al
 
 
 def mann_whitney(df: DataFrame, target: str, features: list[str], alpha: float = ALPHA) -> DataFrame:
-    """U of the target against each feature, two-sided, with tie and continuity correction.
+    """U of the target against each feature, two-sided.
 
-    Equal values are counted together, ranks come from a distributed running count.
-    'No' means the two samples differ.
+    Equal values of a column are counted together; all pairs are ranked in one sort of the counts. ``method`` names the
+    distribution of U behind the p-value: exact where one of the samples has at most ``EXACT`` values and no two
+    values are equal, else the normal one with tie and continuity correction. 'No' means the two samples differ.
     """
     others = [f for f in features if f != target]
     cells = [
@@ -91,133 +94,70 @@ def mann_whitney(df: DataFrame, target: str, features: list[str], alpha: float =
     ]
     long = df.select(F.inline(F.array(*cells))).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     counts = long.groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    # The target is counted once and its counts are given to every pair.
-    mine = F.col("_c") == target
-    pairs = counts.select(
-        F.explode(F.when(mine, F.array(*[F.lit(f) for f in others])).otherwise(F.array("_c"))).alias("variable_2"),
-        "_v", F.when(mine, F.col("_n")).otherwise(0).alias("_na"), "_n",
-    )
-    ranked = _rank_pairs(pairs, find_cuts(long, "_v"))
-    t = F.col("_t").cast("double")
-    sums = ranked.groupBy("variable_2").agg(
-        F.sum(F.col("_na") * F.col("rank")).alias("_ra"), F.sum("_na").cast("double").alias("_n1"),
-        F.sum("_n").cast("double").alias("_n"),
-        F.sum(F.col("_n") * (t * t - 1)).alias("_ties"),  # summed over the t equal rows: t^3 - t
-    )
-    n, n1 = F.col("_n"), F.col("_n1")
+    sides = counts.select(
+        F.lit("").alias("_o"), "_v", "_n", *(F.when(F.col("_c").isin(target, f), F.col("_c")).alias(f) for f in others))
+    sums = rank_sums(sides, "_o", "_v", "_n", others).where(F.col("level") == target)
+    n1, n = F.col("n").cast("double"), F.col("total").cast("double")
     n2 = n - n1
-    u = F.col("_ra") - n1 * (n1 + 1) / 2
-    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
-    z = F.greatest((F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
+    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
+    z = F.greatest((F.abs("centred") - 0.5) / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
+    small = (F.col("ties") == 0) & (F.least(n1, n2) <= EXACT) & (F.least(n1, n2) > 0) & (n <= EXACT_TOTAL)
+    u = F.col("centred") + n1 * n2 / 2
     return (
         sums.select(
-            F.lit(target).alias("variable_1"), "variable_2", u.alias("stat"), normal_p(z).alias("p_value"))
+            F.lit(target).alias("variable_1"), F.col("test").alias("variable_2"), u.alias("stat"),
+            F.when(small, u_exact_p(u, n1, n2)).otherwise(normal_p(z)).alias("p_value"),
+            F.when(small, "exact").otherwise("normal").alias("method"))
         .withColumn("different", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
         .withColumn("relationship", F.when(F.col("different"), "No").otherwise("Yes"))
     )
 
 
-def _rank_pairs(pairs: DataFrame, cuts: Cuts) -> DataFrame:
-    """Mean rank of each value within its pair; a value may occur once per sample.
-
-    Slices follow the value, so equal values of both samples meet in one slice and are
-    counted together by a window there instead of another aggregation.
-    """
-    sliced = add_slice(pairs, "_v", cuts)
-    sums = sliced.groupBy("variable_2", SLICE).agg(F.sum("_n").alias("_s"))
-    before = Window.partitionBy("variable_2").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(
-        F.col("variable_2").alias("_b"), F.col(SLICE).alias("_bs"),
-        F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("variable_2", SLICE).orderBy("_v")
-    joined = sliced.join(base, (F.col("variable_2") == F.col("_b")) & (F.col(SLICE) == F.col("_bs")))
-    reached = F.sum("_n").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    same = F.sum("_n").over(Window.partitionBy("variable_2", SLICE, "_v"))
-    return joined.withColumns({"_upto": reached, "_t": same}).withColumn(
-        "rank", F.col("_base") + F.col("_upto") - F.col("_t") + (F.col("_t") + 1) / 2.0)
-
-
 def kruskal(df: DataFrame, outcomes: list[str], treatments: list[str], counted: list[str] = (),
             alpha: float = 0.05) -> DataFrame:
     """Kruskal-Wallis H of each outcome over the levels of each treatment, tie corrected.
 
     Outcomes in ``counted`` are first reduced to their number of distinct values per level.
     'No' means not significant, 'na' fewer than two levels. Rows without a level of a treatment
-    take no part in its test.
+    take no part in its test. All tests are ranked in one sort of the counted cells.
     """
     measured = [o for o in outcomes if o not in counted]
     tables = []
     if measured:
-        tables.append(_measured_levels(df, measured, treatments))
+        tables.append(_measured_cells(df, measured, treatments))
     if counted:
-        tables.append(_counted_levels(df, list(counted), treatments))
-    stats = _h_statistics(reduce(DataFrame.unionByName, tables))
+        tables.append(_counted_cells(df, list(counted), treatments))
+    levels = rank_sums(reduce(DataFrame.unionByName, tables), "_o", "_v", "_c", treatments).where("outcome <> test")
+    n = F.col("total").cast("double")
+    sums = levels.groupBy(F.col("outcome").alias("variable_1"), F.col("test").alias("variable_2")).agg(
+        F.sum(F.col("centred") * F.col("centred") / F.col("n")).alias("_q"), F.first("total").alias("total"),
+        F.first("ties").alias("ties"), F.count(F.lit(1)).alias("_levels"))
+    h = F.try_divide(12.0 / (n * (n + 1)) * F.col("_q"), 1 - F.try_divide(F.col("ties"), n * n * n - n))
     enough = F.col("_levels") > 1
-    p = chi2_p(F.col("stat"), (F.col("_levels") - 1).cast("double"))
+    p = chi2_p(h, (F.col("_levels") - 1).cast("double"))
     return (
-        stats.withColumn("p_value", F.when(enough, p)).withColumn("stat", F.when(enough, F.col("stat")))
+        sums.select("variable_1", "variable_2", F.when(enough, h).alias("stat"), F.when(enough, p).alias("p_value"), "_levels")
         .withColumn("significant", F.coalesce(F.col("p_value") <= alpha, F.lit(False)))
         .withColumn("relationship", F.when(~enough, "na").when(F.col("significant"), "Yes").otherwise("No"))
         .drop("_levels")
     )
 
 
-def _by_treatment(treatments: list[str]) -> Column:
-    return F.inline(F.array(*[
-        F.struct(F.lit(t).alias("variable_2"), F.col(f"_level_{t}").alias("_level")) for t in treatments]))
-
-
-def _measured_levels(df: DataFrame, outcomes: list[str], treatments: list[str]) -> DataFrame:
-    """(outcome, treatment, level) with centred rank sum, size and tie term.
-
-    Equal rows are counted first; only those counts are copied for each treatment. Rows without a
-    level leave a treatment before its ranks are found.
-    """
-    levels = [f"_level_{t}" for t in treatments]
-    cells = [F.struct(F.lit(o).alias("variable_1"), F.col(o).cast("double").alias("_v")) for o in outcomes]
-    rows = df.select(*[F.col(t).cast("string").alias(f"_level_{t}") for t in treatments], F.inline(F.array(*cells)))
+def _measured_cells(df: DataFrame, outcomes: list[str], treatments: list[str]) -> DataFrame:
+    """(outcome, value, count, levels): equal rows are counted first."""
+    cells = [F.struct(F.lit(o).alias("_o"), F.col(f"`{o}`").cast("double").alias("_v")) for o in outcomes]
+    rows = df.select(*[F.col(f"`{x}`").cast("string").alias(x) for x in treatments], F.inline(F.array(*cells)))
     known = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    cells = known.groupBy("variable_1", "_v", *levels).agg(F.count(F.lit(1)).alias("_c"))
-    return _per_level(cells.select("variable_1", "_v", "_c", _by_treatment(treatments)))
-
-
-def _counted_levels(df: DataFrame, outcomes: list[str], treatments: list[str]) -> DataFrame:
-    """The same where each level has one value, its number of distinct outcome values."""
-    cells = [F.struct(F.lit(o).alias("variable_1"), F.col(o).cast("string").alias("_e")) for o in outcomes]
-    rows = df.select(
-        *[F.col(t).cast("string").alias(f"_level_{t}") for t in treatments], F.inline(F.array(*cells)))
-    seen = rows.select("variable_1", "_e", _by_treatment(treatments)).where(F.col("_level").isNotNull()).distinct()
-    values = seen.groupBy("variable_1", "variable_2", "_level").agg(F.count("_e").cast("double").alias("_v"))
-    return _per_level(values.withColumn("_c", F.lit(1)))
-
-
-def _per_level(cells: DataFrame) -> DataFrame:
-    """Ranks of the values of each pair, summed by level around their mean (n + 1) / 2, so that nothing cancels."""
-    keys = ["variable_1", "variable_2"]
-    counts = cells.where(F.col("_level").isNotNull() & (F.col("variable_1") != F.col("variable_2"))).groupBy(
-        *keys, "_level", "_v").agg(F.sum("_c").alias("_c"))
-    values = counts.groupBy(*keys, "_v").agg(F.sum("_c").alias("_t"))
-    placed = running_totals(values, {"_before": "_t"}, "_v", keys=keys, totals=True)
-    centred = F.col("_before") + (F.col("_t") - F.col("_before_total")) / 2.0
-    ranks = placed.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.col("_v").alias("_w"), "_t", centred.alias("_centred"))
-    ranked = counts.join(ranks, (F.col("variable_1") == F.col("_rvariable_1")) & (F.col("variable_2") == F.col("_rvariable_2")) & (
-        F.col("_v") == F.col("_w")))
-    t, c = F.col("_t").cast("double"), F.col("_c").cast("double")
-    return ranked.groupBy(*keys, "_level").agg(
-        F.sum(c * F.col("_centred")).alias("_r"), F.sum(c).alias("_n"),
-        F.sum(c * (t * t - 1)).alias("_ties"),  # summed over the t equal rows: t^3 - t
-    )
+    return known.groupBy("_o", "_v", *treatments).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def _h_statistics(levels: DataFrame) -> DataFrame:
-    sums = levels.groupBy("variable_1", "variable_2").agg(
-        F.sum(F.col("_r") * F.col("_r") / F.col("_n")).alias("_q"), F.sum("_n").alias("_n"),
-        F.sum("_ties").alias("_ties"), F.count(F.lit(1)).alias("_levels"),
-    )
-    n = F.col("_n")
-    h = 12.0 / (n * (n + 1)) * F.col("_q")
-    correction = 1 - F.try_divide(F.col("_ties"), n * n * n - n)
-    return sums.select("variable_1", "variable_2", F.try_divide(h, correction).alias("stat"), "_levels")
+def _counted_cells(df: DataFrame, outcomes: list[str], treatments: list[str]) -> DataFrame:
+    """The same where each level of a treatment has one value, its number of distinct outcome values."""
+    pairs = [F.struct(F.lit(o).alias("_o"), F.col(f"`{o}`").cast("string").alias("_e"), F.lit(x).alias("_t"), F.col(f"`{x}`").cast("string").alias("_l"))
+             for o in outcomes for x in treatments]
+    seen = df.select(F.inline(F.array(*pairs))).where(F.col("_l").isNotNull()).distinct()
+    values = seen.groupBy("_o", "_t", "_l").agg(F.count("_e").cast("double").alias("_v"))
+    return values.select("_o", "_v", F.lit(1).alias("_c"), *(F.when(F.col("_t") == x, F.col("_l")).alias(x) for x in treatments))
 
 
 def mutual_information(df: DataFrame, target: str, features: list[str], bins: int = 10) -> DataFrame:

@@ -129,6 +129,25 @@ def mann_whitney_daily(spark, sf):
     return table.select("variable_1", "variable_2", "stat", "relationship")
 
 
+_SMALL = "SELECT n_regionkey AS g, avg(c_acctbal) AS v FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_nationkey, n_regionkey"
+
+
+@query("mann_whitney_small", f"""
+WITH s AS ({_SMALL}), p AS (
+  SELECT b.g, count(*) FILTER (WHERE a.v > b.v) AS u, count(DISTINCT a.v) AS n1, count(DISTINCT b.v) AS n2 FROM s a, s b WHERE a.g = 0 AND b.g > 0 GROUP BY b.g),
+w AS (SELECT n1, n2, g, u, list_sum(list_transform(range(n1 + n2), lambda k: (m >> k & 1) * k)) - n1 * (n1 - 1) // 2 AS x
+  FROM p, range(1 << 16) AS r(m) WHERE m < 1 << (n1 + n2) AND bit_count(m) = n1)
+SELECT 'region_0' AS variable_1, 'region_' || g AS variable_2, CAST(u AS DOUBLE) AS stat, 'exact' AS method,
+  round(least(1.0, 2.0 * count(*) FILTER (WHERE x >= greatest(u, n1 * n2 - u)) / count(*)), 9) AS p_value FROM w GROUP BY g, u, n1, n2""")
+def mann_whitney_small(spark, sf):
+    """Mean balances of the nations of a region against those of another one: five values a side, without ties."""
+    rows = t.table(spark, sf, "customer").join(t.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
+        "n_nationkey", "n_regionkey").agg(F.avg("c_acctbal").alias("v"))
+    wide = rows.select(*(F.when(F.col("n_regionkey") == g, F.col("v")).alias(f"region_{g}") for g in range(5)))
+    table = association.mann_whitney(wide, "region_0", [f"region_{g}" for g in range(1, 5)])
+    return groups.rounded(table.select("variable_1", "variable_2", "stat", "method", "p_value"), 9, "p_value")
+
+
 # 95 percent quantiles of chi-square by degrees of freedom.
 _CHI2 = "CASE levels - 1 WHEN 1 THEN 3.8414588 WHEN 2 THEN 5.9914645 WHEN 4 THEN 9.4877290 WHEN 24 THEN 36.4150285 END"
 

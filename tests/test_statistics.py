@@ -1,12 +1,13 @@
 """Association tests against plain formulas, tails against known values."""
 
+import itertools
 import math
 import random
 
 import pytest
 
 from periodica.functions import tails
-from periodica.operators import association, ordered
+from periodica.operators import association, ordered, ranks
 
 
 def test_tails_known_values():
@@ -95,6 +96,52 @@ def test_kruskal(spark):
         assert got["who", "g"]["stat"] == pytest.approx(2.0)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_rank_sums_of_cut_values(spark, parts):
+    """A value that holds most rows is cut between partitions, and outcomes end inside of them."""
+    rng = random.Random(parts)
+    cells = [(o, rng.choice([7.0, 7.0, 7.0, 3.0, float("inf"), -0.0, 0.0, rng.random() * 9]), rng.choice([1, 2, 50]), rng.choice("abcdefghij"),
+              rng.choice([None, "x", "y"])) for o in ("p", "q", "r") for _ in range(300)]
+    cells += [("p", None, 4, "a", "x"), ("p", float("nan"), 4, "a", "x"), ("s", 1.0, 3, None, None)]
+    frame = spark.createDataFrame(cells, "o string, v double, c long, g string, h string").repartition(4)
+    got = {(r.outcome, r.test, r.level): r for r in ranks.rank_sums(frame, "o", "v", "c", ["g", "h"], parts=parts).collect()}
+    want = {}
+    for o in "pqr":
+        for k, test in ((3, "g"), (4, "h")):
+            known = [c for c in cells if c[0] == o and c[1] is not None and not math.isnan(c[1]) and c[k]]
+            count = {}
+            for c in known:
+                count[c[1] + 0.0] = count.get(c[1] + 0.0, 0) + c[2]
+            total, before, rank = sum(count.values()), 0, {}
+            for v in sorted(count):
+                rank[v] = before + (count[v] + 1) / 2
+                before += count[v]
+            for level in {c[k] for c in known}:
+                n = sum(c[2] for c in known if c[k] == level)
+                r = sum(c[2] * rank[c[1] + 0.0] for c in known if c[k] == level)
+                want[o, test, level] = (n, r - n * (total + 1) / 2, total, sum(x ** 3 - x for x in count.values()))
+    assert {k: (r.n, r.centred, r.total, r.ties) for k, r in got.items()} == want
+    assert ranks.rank_sums(frame.limit(0), "o", "v", "c", ["g"]).count() == 0
+
+
+def test_exact_u_against_all_mixtures():
+    for n in range(1, 8):
+        for m in range(1, 8):
+            all_u = [sum(places) - n * (n - 1) // 2 for places in itertools.combinations(range(n + m), n)]
+            assert tails.u_counts(n, m) == [all_u.count(u) for u in range(n * m + 1)]
+            for u in range(n * m + 1):
+                far = sum(x >= max(u, n * m - u) for x in all_u)
+                assert tails.u_exact(u, n, m) == pytest.approx(min(1.0, 2 * far / len(all_u)))
+
+
+def test_small_samples_name_their_method(spark):
+    rows = [(float(i), 3.5 + 2 * i if i < 6 else None, 2.0) for i in range(30)]
+    got = {r.variable_2: r for r in association.mann_whitney(spark.createDataFrame(rows, "a double, b double, c double"), "a", ["b", "c"]).collect()}
+    assert got["b"].method == "exact" and got["c"].method == "normal"
+    u = sum(a > b for a, _, _ in rows for _, b, _ in rows if b is not None)
+    assert got["b"].stat == u and got["b"].p_value == pytest.approx(tails.u_exact(u, 30, 6))
+
+
 def test_mutual_information_of_a_copy(spark):
     df = spark.createDataFrame([(float(i % 10), float(i % 10), 1.0) for i in range(1000)], ["a", "same", "flat"])
     got = {r["variable_2"]: r for r in association.mutual_information(df, "a", ["same", "flat"]).collect()}
