@@ -1,24 +1,19 @@
-"""Churn models and clusters on Spark ML."""
+"""Churn models on Spark ML."""
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from contextlib import ExitStack, contextmanager
-from datetime import datetime
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from periodica.operators.resample import aggregate
-from periodica.sources.artifacts import CHECKPOINT_DAYS, ArtifactStore
 
 SEED = 42
 # Partitions that the learners read; a constant, since samples are drawn by partition.
@@ -184,106 +179,3 @@ def tree_rules(spark: SparkSession, model: PipelineModel, features: list[str], t
     return spark.createDataFrame(rows, "node int, indent int, kind string, rule string").withColumn(
         "depth", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("indent")) - 1
     ).drop("indent")
-
-
-# ---------------------------------------------------------------- clusters
-
-
-def standardised(df: DataFrame, features: list[str]) -> DataFrame:
-    assembled = VectorAssembler(inputCols=features, outputCol="raw").transform(df)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
-    return scaler.fit(assembled).transform(assembled).drop("raw")
-
-
-def uniform_rows(df: DataFrame, key: str, width: int, seed: int) -> DataFrame:
-    """A reference row per entity, uniform in the unit cube, drawn from a hash of the key."""
-    names = [f"_u{i}" for i in range(width)]
-    draws = [
-        (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(i)), F.lit(1 << 53)) / float(1 << 53)).alias(names[i])
-        for i in range(width)
-    ]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(df.select(key, *draws)).select(key, "features")
-
-
-def total_square(df: DataFrame, width: int) -> float:
-    """Squared distance of all rows to their centre: the cost of a single cluster."""
-    from pyspark.ml.functions import vector_to_array
-
-    a = vector_to_array("features")
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(a[i]).alias(f"v{i}") for i in range(width)]).first()
-    return float(row["n"] or 0) * sum(row[f"v{i}"] or 0.0 for i in range(width))
-
-
-def fit_kmeans(df: DataFrame, k: int, seed: int = SEED, most: int = 1000) -> KMeansModel:
-    """Lloyd's rounds until the centres rest; raises if ``most`` rounds are not enough."""
-    model = KMeans(k=k, seed=seed, maxIter=most).fit(df)
-    if model.summary.numIter >= most:
-        raise ArithmeticError(f"k-means has not converged after {most} rounds")
-    return model
-
-
-def gap_statistic(scaled: DataFrame, key: str, width: int, most: int = 10, references: int = 3,
-                  kept: dict[int, KMeansModel] | None = None) -> list[tuple[int, float]]:
-    """(clusters, gap) for 1..most: log of the mean cost on uniform rows minus log of the own cost.
-
-    The fits of one k do not depend on each other and are submitted together; every fit is an
-    ordinary distributed job over rows in the fixed layout. ``kept`` receives the models of the own
-    data, so the best one need not be fitted again.
-    """
-    frames = [scaled.select(key, "features"), *[uniform_rows(scaled, key, width, seed) for seed in range(references)]]
-    with ExitStack() as held:
-        data = [held.enter_context(fixed_rows(f, [key])) for f in frames]
-
-        def cost(job: tuple[DataFrame, int]) -> float:
-            frame, k = job
-            if k == 1:
-                return total_square(frame, width)
-            model = fit_kmeans(frame, k)
-            if kept is not None and frame is data[0]:
-                kept[k] = model
-            return model.summary.trainingCost
-
-        jobs = [(f, k) for k in range(1, most + 1) for f in data]
-        with ThreadPoolExecutor(max_workers=2 * len(frames)) as pool:
-            costs = list(pool.map(cost, jobs))
-    gaps = []
-    for k in range(1, most + 1):
-        own, *others = costs[(k - 1) * len(frames): k * len(frames)]
-        mean = sum(others) / len(others)
-        gap = math.log(mean) - math.log(own) if own > 0 and mean > 0 else float("nan")
-        gaps.append((k, gap))
-    return gaps
-
-
-def best_k(gaps: list[tuple[int, float]]) -> int:
-    return max((g for g in gaps if not math.isnan(g[1])), key=lambda g: g[1])[0]
-
-
-def assign_clusters(scaled: DataFrame, key: str, k: int, seed: int = SEED, model: KMeansModel | None = None) -> DataFrame:
-    """The cluster of every row, by a given model or by one fitted here."""
-    if k == 1:
-        return scaled.withColumn("prediction", F.lit(0))
-    if model is None:
-        with fixed_rows(scaled.select(key, "features"), [key]) as rows:
-            model = fit_kmeans(rows, k, seed)
-    return model.transform(scaled)
-
-
-def name_clusters(assigned: DataFrame, member: str, named, name: str) -> DataFrame:
-    """cluster_<i>, and ``name`` for the cluster that holds one given member.
-
-    The cluster of that member is a scalar subquery, so no cluster is gathered into one task.
-    """
-    own = assigned.where(F.col(member) == F.lit(named)).agg(F.min("prediction")).scalar()
-    number: Column = F.col("prediction")
-    label = F.when(number == own, name).otherwise(F.concat(F.lit("cluster_"), number.cast("string")))
-    return assigned.select(member, label.alias("cluster"))
-
-
-def save_clusters(store: ArtifactStore, named: DataFrame, member: str, key: str, now: datetime) -> None:
-    """Keep the cluster of every member as a checkpoint."""
-    store.save(named.select(F.col(member).alias("item"), F.col("cluster").alias("payload")), key, None, None, now, CHECKPOINT_DAYS)
-
-
-def load_clusters(store: ArtifactStore, key: str, now: datetime, member: str) -> DataFrame:
-    return store.latest(now, key).select(F.col("item").alias(member), F.col("payload").alias("cluster"))

@@ -8,7 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from periodica.operators import forecast as fc
-from periodica.operators import miners, models
+from periodica.operators import clusters as cl
+from periodica.operators import groups, miners, models
 from periodica.operators.filters import label_by_list
 from periodica.operators.resample import cluster_series
 from periodica.plans import tables as t
@@ -180,28 +181,38 @@ CLUSTER_FEATURES = {"amount": "sum", "block_time": "mean", "event_id": "count"}
 
 def _members(spark, sf):
     features = models.entity_features(t.accounts(spark, sf), ["address"], CLUSTER_FEATURES)
-    return models.standardised(features, list(CLUSTER_FEATURES))
+    return cl.standardised(features, list(CLUSTER_FEATURES))
 
 
 @query("kmeans_gap")
 def kmeans_gap(spark, sf):
-    gaps = models.gap_statistic(_members(spark, sf), "address", len(CLUSTER_FEATURES))
-    best = models.best_k(gaps)
+    gaps = cl.gap_statistic(_members(spark, sf), "address", len(CLUSTER_FEATURES))
+    best = cl.best_k(gaps)
     table = spark.createDataFrame(gaps, "clusters int, gap double")
     return table.withColumn("best", F.col("clusters") == best)
 
 
+@query("kmeans_single_cost", """
+WITH f AS (SELECT user_id, CAST(sum(value) AS DOUBLE) AS a, avg(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS b, count(event_id) AS c FROM events GROUP BY 1)
+SELECT CAST(1 AS INTEGER) AS clusters, round(sum(power((a - ma) / sa, 2) + power((b - mb) / sb, 2) + power((c - mc) / sc, 2)), 3) AS cost
+FROM f, (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb, avg(c) AS mc, stddev_samp(c) AS sc FROM f)""")
+def kmeans_single_cost(spark, sf):
+    """The cost of a single cluster, by the rounds that all fits go through."""
+    _, cost = cl.fit_all(_members(spark, sf), "address", len(CLUSTER_FEATURES), [1])[0, 1]
+    return groups.rounded(spark.createDataFrame([(1, cost)], "clusters int, cost double"), 3, "cost")
+
+
 @query("cluster_names")
 def cluster_names(spark, sf):
-    assigned = models.assign_clusters(_members(spark, sf), "address", 4)
-    return models.name_clusters(assigned, "address", 1, "own_cluster")
+    assigned = cl.assign_clusters(_members(spark, sf), "address", 4)
+    return cl.name_clusters(assigned, "address", 1, "own_cluster")
 
 
 @query("cluster_members", """
 SELECT user_id AS address, 1 AS clusters, CAST(4 AS BIGINT) AS used FROM events GROUP BY 1""")
 def cluster_members(spark, sf):
     """Every account is in one cluster, and no cluster is empty."""
-    assigned = models.assign_clusters(_members(spark, sf), "address", 4)
+    assigned = cl.assign_clusters(_members(spark, sf), "address", 4)
     used = assigned.agg(F.count_distinct("prediction")).scalar()
     return assigned.groupBy("address").agg(F.count_distinct("prediction").cast("int").alias("clusters")).withColumn("used", used)
 
@@ -232,11 +243,11 @@ def forecast_by_key(spark, sf):
 @query("cluster_artifact")
 def cluster_artifact(spark, sf):
     """Clusters of the accounts, saved, read back and used for the sum of each cluster per day."""
-    assigned = models.assign_clusters(_members(spark, sf), "address", 4)
-    named = models.name_clusters(assigned, "address", 1, "own_cluster")
+    assigned = cl.assign_clusters(_members(spark, sf), "address", 4)
+    named = cl.name_clusters(assigned, "address", 1, "own_cluster")
     store, now = ArtifactStore(spark, shared_folder(spark, "clusters")), datetime(2024, 2, 1)
-    models.save_clusters(store, named, "address", "clusters:accounts", now)
-    clusters = models.load_clusters(store, "clusters:accounts", now, "address")
+    cl.save_clusters(store, named, "address", "clusters:accounts", now)
+    clusters = cl.load_clusters(store, "clusters:accounts", now, "address")
     names = sorted(r["cluster"] for r in clusters.select("cluster").distinct().collect())  # one per cluster
     rows = t.accounts(spark, sf).withColumn("address", t.text("address"))
     return cluster_series(rows, clusters, "address", "block_timestamp", "D", ["amount"], names)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from periodica.operators import forecast, models
+from periodica.operators import clusters, forecast, models
 from periodica.session import materialise, shared_folder
 from periodica.sources.artifacts import ArtifactStore
 from periodica.sources.scan import scan_days, scan_moments
@@ -50,10 +50,8 @@ def test_the_layout_does_not_change_a_model(spark, separable, parts):
     for df in (noisy.coalesce(1), noisy.repartition(parts, "x")):
         with models.fixed_rows(df, ["id"]) as rows:
             forest = models.fit_forest(rows, ["x", "w"], "churned", trees=5)
-        scaled = models.standardised(df, ["x", "w"])
-        with models.fixed_rows(scaled.select("id", "features"), ["id"]) as rows:
-            cost = models.fit_kmeans(rows, 4).summary.trainingCost
-        found.append((models.forest_stage(forest).featureImportances.toArray().tolist(), round(cost, 6)))
+        gaps = clusters.gap_statistic(clusters.standardised(df, ["x", "w"]), "id", 2, most=5)
+        found.append((models.forest_stage(forest).featureImportances.toArray().tolist(), gaps))
     assert found[0] == found[1]
 
 
@@ -67,15 +65,40 @@ def test_gap_finds_separate_groups(spark):
     rng = random.Random(8)
     data = [(i, 100.0 * (i % 3) + rng.random(), 50.0 * (i % 3 == 1) + rng.random()) for i in range(90)]
     df = spark.createDataFrame(data, "id int, a double, b double")
-    scaled = models.standardised(df, ["a", "b"])
+    scaled = clusters.standardised(df, ["a", "b"])
     kept = {}
-    gaps = models.gap_statistic(scaled, "id", 2, most=4, references=2, kept=kept)
+    gaps = clusters.gap_statistic(scaled, "id", 2, most=4, references=2, kept=kept)
     assert [k for k, _ in gaps] == [1, 2, 3, 4] and dict(gaps)[3] > dict(gaps)[2] > dict(gaps)[1]
-    named = models.name_clusters(models.assign_clusters(scaled, "id", 3, model=kept[3]), "id", 4, "own")
+    named = clusters.name_clusters(clusters.assign_clusters(scaled, "id", 3, kept[3]), "id", 4, "own")
     own = {r["id"] for r in named.where("cluster = 'own'").collect()}
     assert own == {i for i in range(90) if i % 3 == 1}
 
 
+def test_rounds_are_those_of_lloyd(spark):
+    """Centres that rest are the means of their points, and no cost is above that of a plain k-means with many starts."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.6, (70, 2)) for c in ((0, 0), (4, 0), (0, 5), (5, 5), (9, 1))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<double>")
+    fits = clusters.fit_all(frame, "id", 2, [1, 2, 5, 7])
+    for (_, k), (centres, cost) in fits.items():
+        at, square = clusters.nearest(x, np.array(centres))
+        assert cost == pytest.approx(square.sum(), rel=1e-5)
+        assert np.allclose(centres, [x[at == n].mean(axis=0) for n in range(k)], atol=0.03)
+        got = {r.id: r.prediction for r in clusters.assign_clusters(frame, "id", k, centres).collect()}
+        assert got == dict(enumerate(at.tolist()))
+        best = np.inf
+        for _ in range(30):
+            c = x[rng.choice(len(x), k, False)]
+            for _ in range(50):
+                near = clusters.nearest(x, c)[0]
+                c = np.array([x[near == n].mean(axis=0) if (near == n).any() else c[n] for n in range(k)])
+            best = min(best, clusters.nearest(x, c)[1].sum())
+        assert cost <= best * 1.1
+    assert clusters.fit_all(frame.limit(0), "id", 2, [2]) == {}
+    same = clusters.fit_all(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id int, features array<double>"), "id", 2, [3])
+    assert same[0, 3][1] == 0.0
+
+
 def test_forecast_recovers_trend_and_week():
     days = np.arange(19700, 19700 + 140)
     y = 3.0 + 0.5 * (days - days[0]) + np.where(days % 7 == 0, 14.0, 0.0)
