@@ -1,24 +1,14 @@
-"""Churn models on Spark ML."""
+"""Churn models: what goes in, what is told of them."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from contextlib import contextmanager
-from functools import reduce
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from periodica.operators import forest
+from periodica.operators.forest import Forest
 from periodica.operators.resample import aggregate
 
-SEED = 42
-# Partitions that the learners read; a constant, since samples are drawn by partition.
-LEARN_PARTS = 8
-
 
 def entity_features(df: DataFrame, keys: list[str], aggs: dict[str, str]) -> DataFrame:
     """One row of aggregated features per entity; nulls become 0."""
@@ -26,21 +16,6 @@ def entity_features(df: DataFrame, keys: list[str], aggs: dict[str, str]) -> Dat
     return grouped.fillna(0.0, list(aggs))
 
 
-@contextmanager
-def fixed_rows(df: DataFrame, keys: list[str], parts: int = LEARN_PARTS) -> Iterator[DataFrame]:
-    """Cached rows in a layout that follows from the keys alone; released at the end.
-
-    Spark's learners draw their samples by partition. With ``parts`` partitions by a hash of the
-    keys, sorted, the same rows give the same model whatever their files or their number. Raise
-    ``parts`` for large tables; it is part of the model's definition.
-    """
-    rows = df.repartition(parts, *keys).sortWithinPartitions(*keys).persist()
-    try:
-        yield rows
-    finally:
-        rows.unpersist()
-
-
 def draw(keys: list[str]) -> Column:
     """A number from 0 to 9,999 from the key's MD5."""
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
@@ -60,58 +35,12 @@ def split_rows(df: DataFrame, keys: list[str], label: str, share: float = 0.7) -
     return marked.where("_train").select(*df.columns), marked.where(~F.col("_train")).select(*df.columns)
 
 
-def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """Weight n / (classes * n_class) per row; the class sizes are a table of two rows."""
-    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    n = sum(sizes.values())
-    weight = reduce(
-        lambda acc, kv: acc.when(F.col(label) == kv[0], n / (len(sizes) * kv[1])), sizes.items(),
-        F.when(F.lit(False), 1.0),
-    )
-    return df.withColumn("weight", weight.otherwise(1.0))
-
-
 def usable_features(df: DataFrame, features: list[str]) -> list[str]:
     """Features with at least one value other than 0; a median of none cannot be taken."""
     row = df.agg(*[F.max(F.coalesce(F.col(f) != 0, F.lit(False))).alias(f) for f in features]).first()
     return [f for f in features if row[f]]
 
 
-def _impute(features: list[str]) -> tuple[Imputer, list[str]]:
-    filled = [f"{f}_filled" for f in features]
-    return Imputer(strategy="median", missingValue=0.0, inputCols=features, outputCols=filled), filled
-
-
-def fit_forest(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 4,
-               impute: bool = True) -> PipelineModel:
-    """Balanced random forest, after zeros have been replaced by the median of the other values."""
-    stages, used = [], features
-    if impute:
-        imputer, used = _impute(features)
-        stages.append(imputer)
-    stages += [
-        VectorAssembler(inputCols=used, outputCol="features"),
-        RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED),
-    ]
-    return Pipeline(stages=stages).fit(balanced_weights(train, label))
-
-
-def fit_svm(train: DataFrame, features: list[str], label: str, most: int = 1000, tol: float = 1e-3,
-            cost: float = 1.0) -> PipelineModel:
-    """Linear SVM, iterated until it changes by less than ``tol``; raises if ``most`` rounds are not enough.
-
-    ``cost`` weighs the rows' losses against the size of the weights, as the usual C does; without that
-    the weights of separable classes would grow without end.
-    """
-    model = Pipeline(stages=[
-        VectorAssembler(inputCols=features, outputCol="features"),
-        LinearSVC(labelCol=label, maxIter=most, tol=tol, regParam=1.0 / (cost * max(1, train.count()))),
-    ]).fit(train)
-    if model.stages[-1].summary().totalIterations >= most:
-        raise ArithmeticError(f"the SVM has not converged after {most} rounds")
-    return model
-
-
 def confusion(scored: DataFrame, label: str) -> DataFrame:
     return scored.groupBy(
         F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")
@@ -139,43 +68,21 @@ def accuracy_table(scored: DataFrame, label: str, outcome: str) -> DataFrame:
     return scored.agg(F.round(F.avg(hit) * 100, 2).alias("accuracy")).select(F.lit(outcome).alias("outcome"), "accuracy")
 
 
-def score_entities(model: PipelineModel, features: DataFrame, entity: str, churned: str = "churn",
+def score_entities(model: Forest, features: DataFrame, entity: str, churned: str = "churn",
                    stays: str = "remain") -> tuple[DataFrame, DataFrame]:
     """(entity, likely action) and the percentage likely to churn."""
-    scored = model.transform(features)
+    scored = forest.score(features, model)
     labelled = scored.select(entity, F.when(F.col("prediction") == 1, churned).otherwise(stays).alias("likely_action"))
     share = scored.agg(F.round(F.avg(F.col("prediction")) * 100, 1).alias("percent_to_churn"))
     return labelled, share
 
 
-def forest_stage(model: PipelineModel):
-    return model.stages[-1]
-
-
-def importance_table(spark: SparkSession, model: PipelineModel, features: list[str], outcome: str) -> DataFrame:
+def importance_table(spark: SparkSession, model: Forest, outcome: str) -> DataFrame:
     """Feature importances with their rank, 1 for the largest; one row per feature."""
-    values = forest_stage(model).featureImportances.toArray()
-    rows = [(outcome, f, float(v)) for f, v in zip(features, values)]
+    rows = [(outcome, f, v) for f, v in zip(model.features, forest.importances(model))]
     table = spark.createDataFrame(rows, "outcome string, feature string, importance double")
     order = Window.partitionBy("outcome").orderBy(F.col("importance").desc(), "feature")
     return (
         table.withColumn("rank_within_outcome", F.row_number().over(order))
         .withColumn("importance", F.round("importance", 4))
     )
-
-
-RULE = re.compile(r"^(\s*)(If|Else|Predict:)\s*(.*)$")
-
-
-def tree_rules(spark: SparkSession, model: PipelineModel, features: list[str], tree: int = 5) -> DataFrame:
-    """The rules of one tree of the forest: (node, depth, kind, rule)."""
-    text = forest_stage(model).trees[tree].toDebugString
-    rows = []
-    for line in text.splitlines():
-        found = RULE.match(line)
-        if found:
-            rule = re.sub(r"feature (\d+)", lambda m: features[int(m.group(1))], found.group(3).strip())
-            rows.append((len(rows), len(found.group(1)), found.group(2).rstrip(":").lower(), rule))
-    return spark.createDataFrame(rows, "node int, indent int, kind string, rule string").withColumn(
-        "depth", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("indent")) - 1
-    ).drop("indent")

@@ -60,5 +60,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
 
 
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Path, bytes and last change of a file, or of the files in a folder: other content has another state."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(place)
+    return path, sum(f.getLen() for f in held), max((f.getModificationTime() for f in held), default=0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

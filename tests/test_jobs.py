@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from periodica.operators import clusters, forecast, models
-from periodica.session import materialise, shared_folder
+from periodica.operators import clusters, forecast, forest, models, svm
+from periodica.session import file_state, materialise, shared_folder
 from periodica.sources.artifacts import ArtifactStore
 from periodica.sources.scan import scan_days, scan_moments
 from periodica.sources.tables import DayTables, RangeDatasets, load_missing, missing_ranges, schema_of
@@ -25,17 +25,67 @@ def separable(spark):
 def test_forest_separates(spark, separable):
     train, test = models.split_rows(separable, ["id"], "churned")
     assert train.count() + test.count() == 300 and 150 < train.count() < 260
-    model = models.fit_forest(train, ["x", "w"], "churned", trees=8)
-    assert models.accuracy_table(model.transform(test), "churned", "churned").first()["accuracy"] == 100.0
-    assert {(r["label"], r["prediction"]) for r in models.confusion(model.transform(test), "churned").collect()} == {(0, 0), (1, 1)}
-    ranks = models.importance_table(spark, model, ["x", "w"], "churned").orderBy("rank_within_outcome").collect()
+    model = forest.fit(train, ["id"], ["x", "w"], "churned", trees=8)
+    scored = forest.score(test, model)
+    assert models.accuracy_table(scored, "churned", "churned").first()["accuracy"] == 100.0
+    assert {(r["label"], r["prediction"]) for r in models.confusion(scored, "churned").collect()} == {(0, 0), (1, 1)}
+    ranks = models.importance_table(spark, model, "churned").orderBy("rank_within_outcome").collect()
     assert [r["rank_within_outcome"] for r in ranks] == [1, 2] and ranks[0]["importance"] >= ranks[1]["importance"]
-    rules = models.tree_rules(spark, model, ["x", "w"])
-    assert rules.where("kind = 'predict'").count() >= 2 and "feature" not in " ".join(r["rule"] for r in rules.collect())
+    rules = forest.rules(spark, model, 3)
+    assert rules.where("kind = 'predict'").count() >= 2 and rules.where("kind = 'if'").count() == rules.where("kind = 'else'").count()
     labelled, share = models.score_entities(model, separable, "id")
     assert share.first()[0] == 50.0 and labelled.where("likely_action = 'churn'").count() == 150
 
 
+def brute_forest_counts(rows, model, x):
+    """The bag's rows at each node, by walking every row down every tree."""
+    held = {}
+    roots = {t: p for p, (t, n) in enumerate(zip(model.tree, model.node)) if n == 1}
+    for draw, cells, y in zip(rows, x[:, :-1], x[:, -1].astype(int)):
+        for t, p in roots.items():
+            w = int(forest.bag_weights(np.array([draw]), forest.tree_factors(t + 1)[t])[0])
+            while w:
+                held.setdefault(p, [0, 0])[y] += w
+                if model.feature[p] < 0:
+                    break
+                p = model.left[p] if cells[model.feature[p]] <= model.threshold[p] else model.right[p]
+    return held
+
+
+def test_forest_nodes_hold_their_rows(spark):
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(size=200).round(2), rng.integers(0, 4, 200), rng.random(200)])
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 2) ^ (rng.random(200) < 0.1)).astype(int)
+    frame = spark.createDataFrame([(i, *map(float, r), int(v)) for i, (r, v) in enumerate(zip(x, y))], "id int, a double, b double, c double, y int")
+    for impute in (False, True):
+        model = forest.fit(frame, ["id"], ["a", "b", "c"], "y", trees=6, depth=5, impute=impute)
+        draws = [r[0] for r in frame.select("id", forest.key_draw(["id"])).orderBy("id").select("_draw").collect()]
+        filled = x.copy()
+        if impute:
+            for j in range(3):
+                filled[filled[:, j] == 0, j] = np.median(x[x[:, j] != 0, j])
+        counts = brute_forest_counts(draws, model, np.column_stack([filled, y]))
+        assert {p: list(c) for p, c in enumerate(model.counts)} == counts
+        assert len(model.tree) > 30 and abs(sum(forest.importances(model)) - 1) < 1e-12
+        for p, f in enumerate(model.feature):
+            if f >= 0:
+                low, high = model.counts[model.left[p]], model.counts[model.right[p]]
+                assert [a + b for a, b in zip(low, high)] == model.counts[p] and sum(low) and sum(high) and model.gain[p] > 0
+        both = forest.score_columns(forest.score(frame, model).withColumnsRenamed({"votes": "v", "prediction": "p"}), model)
+        assert both.where("v <> votes or p <> prediction").count() == 0 and both.count() == 200
+    pure = forest.fit(frame.where("y = 1"), ["id"], ["a"], "y", trees=2)
+    assert pure.feature == [-1, -1] and forest.score(frame, pure).where("prediction <> 1").count() == 0
+    assert forest.fit(frame.limit(0), ["id"], ["a"], "y", trees=2, impute=False).tree == []
+
+
+def test_a_changed_file_has_another_state(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    before = file_state(spark, f"{tmp_path}/t")
+    assert before == file_state(spark, f"{tmp_path}/t")
+    spark.range(4).write.mode("overwrite").parquet(f"{tmp_path}/t")
+    assert before != file_state(spark, f"{tmp_path}/t")
+
+
 def test_no_class_is_missing_in_training(spark):
     df = spark.createDataFrame([(i, int(i == 17)) for i in range(50)], "id int, churned int")
     train, test = models.split_rows(df, ["id"], "churned", share=0.01)
@@ -43,24 +93,42 @@ def test_no_class_is_missing_in_training(spark):
     assert train.join(test, "id").count() == 0
 
 
-@pytest.mark.parametrize("parts", [1, 4, 16])
+@pytest.mark.parametrize("parts", [4, 64])
 def test_the_layout_does_not_change_a_model(spark, separable, parts):
     noisy = separable.withColumn("churned", F.when(F.col("id") % 7 == 0, 1 - F.col("churned")).otherwise(F.col("churned")))
     found = []
     for df in (noisy.coalesce(1), noisy.repartition(parts, "x")):
-        with models.fixed_rows(df, ["id"]) as rows:
-            forest = models.fit_forest(rows, ["x", "w"], "churned", trees=5)
+        model = forest.fit(df, ["id"], ["x", "w"], "churned", trees=5)
         gaps = clusters.gap_statistic(clusters.standardised(df, ["x", "w"]), "id", 2, most=5)
-        found.append((models.forest_stage(forest).featureImportances.toArray().tolist(), gaps))
+        found.append((model, gaps))
     assert found[0] == found[1]
 
 
-def test_svm_report(separable):
+def test_svm_report(spark, separable):
     train, test = models.split_rows(separable, ["id"], "churned")
-    report = models.class_report(models.fit_svm(train, ["x", "w"], "churned").transform(test), "churned").collect()
+    model = svm.fit(train, ["x", "w"], "churned")
+    report = models.class_report(svm.score(test, model), "churned").collect()
     assert {r["class"] for r in report} == {0, 1} and all(r["precision"] == r["recall"] == r["f1"] == 1.0 for r in report)
 
 
+def test_svm_is_the_best_plane(spark):
+    """The gap bounds the distance to the best cost, and no small step in any direction lowers the cost further."""
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.normal(size=150), 1e5 * rng.normal(size=150), np.full(150, 3.0)])
+    y = np.where(x[:, 0] + x[:, 1] / 1e5 + rng.normal(size=150) > 0, 1, 0)
+    frame = spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y)], "a double, b double, flat double, y int")
+    model = svm.fit(frame.repartition(5), ["a", "b", "flat"], "y", cost=0.7)
+    z = np.column_stack([(x[:, :2] - x[:, :2].mean(axis=0)) / x[:, :2].std(axis=0, ddof=1), np.zeros(150), np.ones(150)])
+    cost = lambda w: 0.5 * w @ w + 0.7 * (np.maximum(0, 1 - (2 * y - 1) * (z @ w)) ** 2).sum()
+    w = np.array(model.weights)
+    assert model.primal == pytest.approx(cost(w)) and -1e-9 < model.gap <= 1e-6 * max(1, model.primal)
+    for step in np.vstack([np.eye(4), -np.eye(4), rng.normal(size=(20, 4))]) * 1e-3:
+        assert cost(w + step) > model.primal - model.gap - 1e-9
+    assert np.allclose(model.weights, svm.fit(frame.coalesce(1), ["a", "b", "flat"], "y", cost=0.7).weights, atol=1e-8)
+    told = [r.prediction for r in svm.score(frame, model).collect()]
+    assert np.mean(np.array(told) == y) > 0.7
+
+
 def test_gap_finds_separate_groups(spark):
     rng = random.Random(8)
     data = [(i, 100.0 * (i % 3) + rng.random(), 50.0 * (i % 3 == 1) + rng.random()) for i in range(90)]
