@@ -220,12 +220,13 @@ def fit(train: DataFrame, keys: list[str], features: list[str], label: str, tree
     A node tries the root of the number of features, more if none of these splits it. The driver holds the nodes, which
     is the size of the result, and a sample for the thresholds. Rows with a null label take no part.
     """
-    known = train.where(F.col(label).isNotNull())
+    known = materialise(train.where(F.col(label).isNotNull()).select(
+        key_draw(keys), F.col(label), *(F.col(f"`{f}`").cast("double").alias(f) for f in features)), "train")
     sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}  # one row per class
     classes, total = sorted(sizes), sum(sizes.values())
     forest = Forest(features, classes, [total / (len(classes) * sizes[c]) for c in classes], medians(known, features) if impute else {})
     code = F.coalesce(*(F.when(F.col(label) == c, n) for n, c in enumerate(classes))) if classes else F.lit(0)
-    rows = materialise(known.select(key_draw(keys), _filled(features, forest.fills).alias("x"), code.cast("int").alias("y")), "rows").persist()
+    rows = known.select("_draw", _filled(features, forest.fills).alias("x"), code.cast("int").alias("y")).persist()
     try:
         edges = _edges(rows.orderBy("_draw", "x", "y").limit(SAMPLE).toPandas(), len(features))
         open_nodes = [forest.add(t, 1, [0] * len(classes)) for t in range(trees if total else 0)]

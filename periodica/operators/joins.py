@@ -6,55 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from periodica.functions.scalars import normalise_label
-from periodica.session import shuffle_width
+from periodica.session import materialise, shuffle_width
 
 # Rows of a frequent key that one task should join.
 ROWS_PER_SALT = 2_000_000
 
 
-def frequent_counts(df: DataFrame, key: str, share: float) -> dict:
-    """Keys that hold at least a share of the rows, with their counts; there are at most 1 / share of them.
+def hot_keys(df: DataFrame, key: Column, share: float, limit: int) -> DataFrame:
+    """(k, n): the keys that hold more than ``limit`` rows, or at least a share of all rows, whichever is less.
 
-    One aggregate with a partial step counts all keys; only the frequent ones reach the driver.
+    One aggregate with a partial step counts all keys. The hot ones are a written table, of which there are at most as
+    many rows as the limit goes into all rows; none of them passes through the driver. Nulls are never hot.
     """
-    counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return {r[0]: r[1] for r in counts.where(F.col("k").isNotNull() & (F.col("n") >= share * total)).collect()}
-
-
-def frequent_values(df: DataFrame, key: str, share: float) -> list:
-    return list(frequent_counts(df, key, share))
+    least = max(1.0, min(limit + 1.0, share * df.count()))
+    counts = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return materialise(counts.where(F.col("k").isNotNull() & (F.col("n") >= least)), "hot")
 
 
 def left_join_spread(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                     spread: Column | None = None, salts: int | None = None) -> DataFrame:
+                     spread: Column | None = None, salts: int | None = None, limit: int = ROWS_PER_SALT) -> DataFrame:
     """Left join whose right side may repeat a key very often.
 
-    Spark splits a skewed left side by itself, but not the right side of a left join.
-    Frequent right keys are therefore divided over salts and their left rows are copied
-    once per salt. Such a key does occur on the right, so a copy that met no row is
-    dropped and nothing else changes.
+    Spark splits a skewed left side by itself, but not the right side of a left join. The rows of every right key
+    with more than ``limit`` rows, or with more than a task's share of them, are therefore dealt over as many salts as
+    bring it below that, and its left rows are copied once per salt. Such a key does occur on the right, so a
+    copy that met no row is dropped and nothing else changes. ``salts`` sets the share to one in that many.
 
     ``spread`` numbers the right rows and must give the same number again when a task is
     repeated. The default hashes the row; a side that comes straight from a scan can use
     ``monotonically_increasing_id``, which also divides equal copies of one row.
     """
     width = salts or shuffle_width(left.sparkSession)
-    counts = frequent_counts(right, right_key, 1.0 / width)
-    frequent = list(counts)
-    # as many salts as the largest key needs, and no fewer than there are tasks
-    n = salts or max(width, -(-max(counts.values(), default=0) // ROWS_PER_SALT))
-    if not frequent:
+    hot = hot_keys(right, F.col(right_key), 1.0 / width, limit)
+    if not hot.limit(1).count():
         return left.join(right, F.col(left_key) == F.col(right_key), "left")
+    # a key of n rows is dealt over n / limit salts, and never over fewer than there are tasks
+    table = hot.select(F.col("k").alias("_hk"), F.greatest(F.lit(width), F.ceil(F.col("n") / limit)).cast("int").alias("_salts"))
     if spread is None:
         spread = F.xxhash64(*[F.col(f"`{c}`") for c in right.columns])
-    salted = right.withColumn("_n", spread).withColumn(
-        "_rs", F.when(F.col(right_key).isin(frequent), F.pmod(F.col("_n"), F.lit(n))).otherwise(F.lit(0)).cast("int")
-    ).drop("_n")
-    hot = F.coalesce(F.col(left_key).isin(frequent), F.lit(False))
-    copied = left.withColumn("_hot", hot).withColumn(
-        "_ls", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))
-    )
+    numbered = right.withColumn("_n", spread)
+    salted = numbered.join(table, F.col(right_key) == F.col("_hk"), "left").withColumn(
+        "_rs", F.coalesce(F.pmod(F.col("_n"), F.col("_salts").cast("long")), F.lit(0)).cast("int")).drop("_n", "_hk", "_salts")
+    copied = left.join(table, F.col(left_key) == F.col("_hk"), "left").withColumn("_hot", F.col("_hk").isNotNull()).withColumn(
+        "_ls", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_hk", "_salts")
     joined = copied.join(
         salted, (F.col(left_key) == F.col(right_key)) & (F.col("_ls") == F.col("_rs")), "left"
     )

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
-from periodica.operators.joins import frequent_values
+from periodica.operators.joins import hot_keys
 from periodica.session import materialise, shuffle_width
 
 SLICE = "_slice"
@@ -146,25 +146,27 @@ def _ordering(order: str, tiebreak: str | None, descending: bool = False) -> lis
 
 def slice_for_keys(
     df: DataFrame, order: str, tiebreak: str | None = None, keys=(), slices: int | None = None,
-    cuts: Cuts | None = None,
+    cuts: Cuts | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Add the slice number: everywhere without keys, and only for frequent keys with them.
+    """Add the slice number: everywhere without keys, and only for hot keys with them.
 
-    Other keys get -1, are left whole and take no part in carrying. Keys are counted, so a key
-    is frequent whatever the number of partitions; there are at most as many as 1 / share.
+    Other keys get -1, are left whole and take no part in carrying. A key is hot if it has more rows than a slice should
+    (``limit``), or more than its share of all of them; the hot keys are a table that is joined in, however many there are.
     """
     keys = _names(keys)
     if not keys:
         return add_slice(df, order, cuts or find_cuts(df, order, tiebreak, slices), tiebreak)
     share = 1.0 / (slices or 4 * shuffle_width(df.sparkSession))
     marked = df.withColumn("_sl_k", F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
-    frequent = frequent_values(marked, "_sl_k", share)
-    if not frequent:
+    hot = hot_keys(marked, F.col("_sl_k"), share, limit or ROWS_PER_SLICE)
+    if not hot.limit(1).count():
         return df.withColumn(SLICE, F.lit(WHOLE).cast("long"))
+    if limit and not (cuts or slices):
+        slices = max(4 * shuffle_width(df.sparkSession), math.ceil(df.count() / limit))
     cuts = cuts or find_cuts(df, order, tiebreak, slices)
-    sliced = add_slice(marked, order, cuts, tiebreak)
-    number = F.when(F.col("_sl_k").isin(list(frequent)), F.col(SLICE)).otherwise(F.lit(WHOLE).cast("long"))
-    return sliced.withColumn(SLICE, number).drop("_sl_k")
+    sliced = add_slice(marked, order, cuts, tiebreak).join(hot.select(F.col("k").alias("_sl_k"), F.lit(True).alias("_sl_h")), "_sl_k", "left")
+    number = F.when(F.col("_sl_h"), F.col(SLICE)).otherwise(F.lit(WHOLE).cast("long"))
+    return sliced.withColumn(SLICE, number).select(*df.columns, SLICE)
 
 
 def carry_rows(sliced: DataFrame, k: int, order: str, tiebreak: str | None = None, keys=()) -> DataFrame:

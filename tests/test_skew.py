@@ -112,11 +112,28 @@ def test_spread_left_join(spark):
         assert got.columns == ["lk", "l", "rk", "r"] and sorted(map(str, got.collect())) == want
 
 
-def test_only_counted_keys_are_frequent(spark):
-    data = [("hot",)] * 60 + [(f"k{i}",) for i in range(40)] + [(None,)] * 20
+def test_hot_keys_by_share_or_by_size(spark):
+    data = [("hot",)] * 60 + [(f"k{i}",) for i in range(40)] + [("some",)] * 9 + [(None,)] * 200
     df = spark.createDataFrame(data, "k string").repartition(3)
-    assert joins.frequent_values(df, "k", 0.2) == ["hot"]
-    assert joins.frequent_values(df.where("k like 'k%'"), "k", 0.2) == []
+    found = lambda share, limit: {r.k: r.n for r in joins.hot_keys(df, F.col("k"), share, limit).collect()}
+    assert found(0.15, 1000) == {"hot": 60} and found(0.15, 8) == {"hot": 60, "some": 9} and found(0.15, 9) == {"hot": 60}
+    assert joins.hot_keys(df.limit(0), F.col("k"), 0.2, 5).count() == 0
+
+
+def test_a_key_of_a_thousandth_is_divided(spark):
+    """No key's share matters beyond a number of rows: here 20 of 20,000 are too many for a task. Borders are estimated."""
+    rows = [("warm", i, i % 3) for i in range(20)] + [(f"k{i % 4995}", 100 + i, i % 5) for i in range(19_980)]
+    df = spark.createDataFrame(rows, "k string, at int, v int").repartition(5)
+    sliced = ordered.slice_for_keys(df, "at", "v", "k", limit=6)
+    sizes = {r.k: (r.most, r.slices) for r in sliced.groupBy("k", "_slice").count().groupBy("k").agg(
+        F.max("count").alias("most"), F.count("*").alias("slices")).collect()}
+    assert sizes["warm"][0] <= 8 and sizes["warm"][1] >= 4 and all(s == (4, 1) for k, s in sizes.items() if k != "warm")
+    left = spark.createDataFrame([("warm", 1), ("k7", 2), ("none", 3)], "lk string, l int")
+    plain = sorted(map(str, left.join(df, F.col("lk") == F.col("k"), "left").collect()))
+    spread = joins.left_join_spread(left, df, "lk", "k", limit=6)
+    assert sorted(map(str, spread.collect())) == plain and len(plain) == 25
+    hot = joins.hot_keys(df, F.col("k"), 1.0, 6).collect()
+    assert [(r.k, r.n) for r in hot] == [("warm", 20)]
 
 
 @pytest.mark.parametrize("per", [1, 10, 1000])
