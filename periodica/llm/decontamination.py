@@ -141,27 +141,67 @@ def item_table(items: list[tuple[int, list[str]]], share: float = 0.2, least: in
         order = np.argsort(key, kind="stable")
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        table[s] = (key[order], where[order], bits)
+        mine = [hashes[n] for n in np.unique(where[:, 0])]
+        words = np.zeros(1 << FILTER_BITS, bool)
+        words[(np.concatenate(mine) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        table[s] = (key[order], where[order], bits, words, _stretches([len(h) for h in mine], share))
     return {"ids": [i for i, _ in items], "hashes": hashes, "sets": [set(h.tolist()) for h in hashes], "table": table,
             "short": {n for n, h in enumerate(hashes) if len(h) < least}, "parts": _parts([(n, h) for n, h in enumerate(hashes) if len(h) < least], share)}
 
 
+def _stretches(lengths: list[int], share: float) -> list[tuple[int, int]]:
+    """(words, item words): an item among those of these lengths stands in so many words, of which at least so many are the items'.
+
+    Lengths within a quarter of each other share an entry, with the longest one's words and the shortest one's need.
+    """
+    found: list[tuple[int, int]] = []
+    for n in sorted(set(lengths)):
+        if not found or n > 1.25 * found[-1][0]:
+            found.append((n, n))
+        found[-1] = (found[-1][0], n)
+    return [(high + int(share * high), low - int(share * low)) for low, high in found]
+
+
+def _covered(at: np.ndarray, length: int) -> np.ndarray:
+    """The places within ``length`` places from a true one on."""
+    edge = np.zeros(len(at) + length, np.int32)
+    edge[:len(at)] += at
+    edge[length:] -= at
+    return np.cumsum(edge[:len(at)]) > 0
+
+
+def _possible(tokens: np.ndarray, words: np.ndarray, stretches: list[tuple[int, int]]) -> np.ndarray:
+    """The places at which an item can stand: inside a stretch with as many words of the items as any match of one needs."""
+    upto = np.concatenate([[0], np.cumsum(words.take((tokens >> np.uint64(64 - FILTER_BITS)).astype(np.int64)), dtype=np.int32)])
+    places = np.arange(len(tokens))
+    found = np.zeros(len(tokens), bool)
+    for length, need in stretches:
+        found |= _covered(upto.take(np.minimum(places + length, len(tokens))) - upto[:-1] >= need, length)
+    return found
+
+
 def candidates(texts: list[np.ndarray], items: dict) -> dict[int, set[tuple[int, int]]]:
     """(item, word at which it would start) by text, for texts that share a band key with an item.
 
     The texts' words are laid end to end, so that few array operations serve many texts; a window that runs into
-    the next text just sees other words.
+    the next text just sees other words. Windows at places where no item can stand are left out before the walks,
+    and so are the words that no walk comes to.
     """
     lengths = np.array([len(t) for t in texts])
     firsts = np.cumsum(lengths) - lengths
     padded = np.concatenate([*texts, np.zeros(max(SIZES) * 2, np.uint64)])
     tries: dict[int, set[tuple[int, int]]] = {}
-    for size, (key, where, bits) in items["table"].items():
+    for size, (key, where, bits, words, stretches) in items["table"].items():
         starts = np.concatenate([np.arange(f, f + n, stride(size)) for f, n in zip(firsts, lengths, strict=True)]).astype(np.int64)
+        starts = starts[_possible(padded, words, stretches)[starts]]
+        walked = np.zeros(len(padded), bool)
+        walked[starts] = True
+        walked = _covered(walked, _steps(size) + 1)
+        near, moved = padded[walked], np.cumsum(walked) - 1
         for at in range(0, len(starts), WINDOWS):
             some = starts[at:at + WINDOWS]
-            base = some[0]
-            got = keys(padded[base:some[-1] + max(SIZES) * 2], some - base, size)
+            base = moved[some[0]]
+            got = keys(near[base:moved[some[-1]] + _steps(size) + 1], moved[some] - base, size)
             row, col = np.nonzero(bits.take((got >> np.uint64(64 - FILTER_BITS)).astype(np.int64)))
             if len(row):
                 value = got[row, col]
