@@ -76,9 +76,8 @@ def chain(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     held = materialise(rows.select(
         F.col(conv).alias("tree"), F.col(turn).alias("_turn"), F.coalesce(role, F.lit("")).alias("role"),
         F.coalesce(text, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("node")), "turns")
-    order = W.partitionBy("tree").orderBy("_turn", "role", "key", "node")
-    parents = held.select("tree", "_turn", "role", F.md5("text").alias("key"), "node").select(
-        "node", F.lag("node").over(order).alias("parent"))
+    order = W.partitionBy("tree").orderBy("_turn", "role", "text", "node")
+    parents = held.select("tree", "_turn", "role", "text", "node").select("node", F.lag("node").over(order).alias("parent"))
     return held.join(parents, "node").select("tree", "node", "parent", F.lit(0.0).alias("score"), "role", "text")
 
 

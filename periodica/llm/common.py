@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 400_000
+#: Bytes of words, about, that a Python worker remembers the values of.
+CACHE_BYTES = 32 << 20
 
 
 _SHIPPED: set[str] = set()
@@ -45,15 +46,21 @@ def text_key(text: str = "text") -> Column:
 class WordCache(dict):
     """Remembers what a function gave for a word; a full cache keeps the words it has, others are computed each time."""
 
-    def __init__(self, make: Callable, most: int = CACHE_WORDS):
-        self.make, self.most = make, most
+    def __init__(self, make: Callable, most: int = CACHE_BYTES):
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, word):
         value = self.make(word)
-        if len(self) < self.most:
+        if self.held < self.most:
+            self.held += len(word) + 150  # the word, its value and their place
             self[word] = value
         return value
 
+    def clear(self) -> None:
+        """Give the memory back: a worker goes on to tasks of other stages, which have caches of their own."""
+        super().clear()
+        self.held = 0
+
 
 _HASHES = WordCache(xxhash.xxh3_64_intdigest)
 
@@ -63,6 +70,10 @@ def word_hashes(words: list) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
+def forget_words() -> None:
+    _HASHES.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from periodica.llm.common import mix, word_hashes
+from periodica.llm.common import forget_words, mix, word_hashes
 
 #: Scripts without blanks between words: Thai to Burmese, Khmer, kana, Chinese characters. Each character is a word.
 _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
@@ -313,6 +313,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         for at, (n, start, end, edits) in _found(batch.column(1), items, share)]
                 columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(columns[0]), *columns[1:]], names=names)
+            forget_words()
 
         part = source.mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
@@ -331,6 +332,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, _ in _found(batch.column(at), held.value, share)]] = False
                 yield batch.filter(pa.array(keep))
+            forget_words()
 
         docs = docs.mapInArrow(sift, docs.schema)
     return docs

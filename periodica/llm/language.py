@@ -146,17 +146,19 @@ def fit(docs: DataFrame, rows_per_class: int = 600, chars: int = 4_000, language
     """Train on at most ``rows_per_class`` texts of each of the ``languages`` most frequent labels.
 
     The sample is bounded by these two and by the first ``chars`` characters of a text; nothing else of the
-    operator is. It holds the rows with the smallest hashes of their id: a bound on the hash, from the label's
-    count, leaves some more rows than needed where they are read, and only those are ranked. Texts without a
-    letter and rows without a language are not learned from. None without such rows.
+    operator is. It holds the rows with the smallest hashes of id and text: a bound on the hash, from the label's
+    count, leaves some more rows than needed where they are read, and only those are ranked. The bound never leaves out
+    a label's smallest hash, so each label is learned, whatever ids its rows have. Texts without a letter and
+    rows without a language are not learned from. None without such rows.
     """
-    known = docs.filter(F.col(lang_col).isNotNull())
-    sizes = known.groupBy(lang_col).count().orderBy(F.col("count").desc(), lang_col).limit(languages).collect()
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    part = F.pmod(F.xxhash64(id_col, text_col, F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    sizes = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("count"), F.min(part).alias("least")).orderBy(
+        F.col("count").desc(), lang_col).limit(languages).collect()
     if not sizes:
         return None
-    part = F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    below = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(min(1.0, 2.0 * rows_per_class / r["count"])))])
-    some = known.filter((part <= below[F.col(lang_col)]) & F.col(text_col).rlike(r"\p{L}")).select(
+    below = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(max(r["least"], min(1.0, 2.0 * rows_per_class / r["count"]))))])
+    some = known.filter(part <= below[F.col(lang_col)]).select(
         F.col(lang_col).alias("lang"), part.alias("part"), F.substring(text_col, 1, chars).alias("text"))
     order = Window.partitionBy("lang").orderBy("part", "text")
     kept = some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows_per_class)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from periodica.llm.common import text_key
 from periodica.session import materialise
 
-LEAST_LINES = 3
+#: Lines of a run that is removed whatever its length, and characters of a shorter one that is long enough.
+LEAST_LINES, LEAST_CHARS = 3, 150
 AT = ["doc", "key"]
 
 
@@ -27,10 +28,10 @@ def _doc(id_col: str) -> Column:
 
 
 def _named_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, key, at, a, b): the names (a, b) of the lines that are not blank, numbered within their document."""
+    """(doc, key, at, a, b, size): the names (a, b) and characters of the lines that are not blank, numbered within their document."""
     full = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: x.rlike(r"\S"))
     rows = docs.select(_doc(id_col).alias("doc"), text_key(text_col).alias("key"), F.posexplode(full).alias("at", "line"))
-    return rows.select("doc", "key", "at", F.xxhash64("line").alias("a"), F.hash("line").cast("long").alias("b")).dropDuplicates([*AT, "at"])
+    return rows.select("doc", "key", "at", F.xxhash64("line").alias("a"), F.hash("line").cast("long").alias("b"), F.length("line").cast("long").alias("size")).dropDuplicates([*AT, "at"])
 
 
 def _ranked(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -39,28 +40,29 @@ def _ranked(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     classes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     # sorted by range, so that ids grow with partition and place: they are ranks in the sort order
     ranks = materialise(classes.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    members = rows.join(ranks, by).select("doc", "key", "at", "rank", (place != F.col("first")).alias("later"), "first")
+    members = rows.join(ranks, by).select("doc", "key", "at", "size", "rank", (place != F.col("first")).alias("later"), "first")
     return ranks, materialise(members, "suffixes")
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES, chars: int = LEAST_CHARS) -> DataFrame:
     """(doc, key, start, stop, first): maximal stretches [start, stop] of later copies of runs of ``least`` or more lines.
 
-    Lines are numbered without blank ones; ``first`` is the place where the longest class at the stretch's start
+    Runs of 1, 2, 4, .. lines below ``least`` count too if their lines have at least ``chars`` characters together. Lines are numbered without blank ones; ``first`` is the place where the longest class at the stretch's start
     stands first. The earliest copy is the one in the smallest document (id, null last; then text), at the first place.
     """
     _, members = _ranked(materialise(_named_lines(docs, id_col, text_col), "lines"), ["a", "b"])
     length, later = 1, None
     while members.limit(1).count():
-        if length >= least:
-            copies = members.filter("later").select("doc", "key", "at", F.lit(length).alias("lines"), "first")
-            later = copies if later is None else later.unionByName(copies)
-        onward = members.select("doc", "key", (F.col("at") - length).alias("at"), F.col("rank").alias("next"))
+        enough = F.lit(True) if length >= least else F.col("size") >= chars
+        copies = members.filter("later").filter(enough).select("doc", "key", "at", F.lit(length).alias("lines"), "first")
+        later = copies if later is None else later.unionByName(copies)
+        onward = members.select("doc", "key", (F.col("at") - length).alias("at"), F.col("rank").alias("next"), F.col("size").alias("more"))
         if length < least < 2 * length:  # runs of just ``least`` lines: two overlapping halves
             half = members.select("doc", "key", (F.col("at") - (least - length)).alias("at"), F.col("rank").alias("next"))
-            _, exact = _ranked(members.select("doc", "key", "at", "rank").join(half, [*AT, "at"]).withColumnRenamed("rank", "own"), ["own", "next"])
-            later = exact.filter("later").select("doc", "key", "at", F.lit(least).alias("lines"), "first")
-        pairs = members.select("doc", "key", "at", F.col("rank").alias("own")).join(onward, [*AT, "at"])
+            _, exact = _ranked(members.select("doc", "key", "at", "size", "rank").join(half, [*AT, "at"]).withColumnRenamed("rank", "own"), ["own", "next"])
+            later = later.unionByName(exact.filter("later").select("doc", "key", "at", F.lit(least).alias("lines"), "first"))
+        pairs = members.select("doc", "key", "at", "size", F.col("rank").alias("own")).join(onward, [*AT, "at"]).withColumn(
+            "size", F.col("size") + F.col("more")).drop("more")
         _, members = _ranked(pairs, ["own", "next"])
         length *= 2
     if later is None:
@@ -75,14 +77,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.min("at").alias("start"), F.max("stop").alias("stop"), F.min_by("first", "at").alias("first")).drop("run")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES, chars: int = LEAST_CHARS) -> DataFrame:
     """All documents with the later copies of repeated line runs removed from the text; adds n_lines, n_removed.
 
-    Blank lines are not part of runs; those inside a removed stretch go with it. A null text stays null and has no
+    Runs are those of ``repeated_runs``: ``least`` lines, or fewer with ``chars`` characters. Blank lines are not part of runs; those inside a removed stretch go with it. A null text stays null and has no
     lines, an empty one has one. Rows that repeat id and text are one document and get the same result. Columns of
     the input that are named like the results are replaced.
     """
-    runs = repeated_runs(docs, id_col, text_col, least).groupBy(*AT).agg(F.collect_list(F.struct("start", "stop")).alias("_runs"))
+    runs = repeated_runs(docs, id_col, text_col, least, chars).groupBy(*AT).agg(F.collect_list(F.struct("start", "stop")).alias("_runs"))
     kept = docs.drop("n_lines", "n_removed")
     rows = kept.withColumns({"_doc": _doc(id_col), "_key": text_key(text_col)}).join(
         runs.withColumnsRenamed({"doc": "_doc", "key": "_key"}), ["_doc", "_key"], "left")

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from periodica.llm.common import mix, text_key, word_hashes
+from periodica.llm.common import forget_words, mix, text_key, word_hashes
 from periodica.llm.graph import components
 from periodica.session import materialise
 
@@ -125,6 +125,7 @@ def _sketch(docs: DataFrame, k: int, bands: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+        forget_words()
 
     return docs.select("_id", "_key", "_text").mapInArrow(run, schema)
 
@@ -138,6 +139,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()),
                      pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["class", "shingles"])
+        forget_words()
 
     return docs.select("_text").mapInArrow(run, "class binary, shingles array<long>").dropDuplicates(["class"])
 

@@ -29,8 +29,8 @@ BRANCHES = 6
 CONTROL = "\x1c\x1d\x1e\x1f"
 
 
-#: Words whose ids a Python worker remembers, and texts that are encoded together.
-WORDS, TEXTS = 600_000, 256
+#: Bytes of words and ids, about, that a Python worker remembers, and texts that are encoded together.
+CACHE_BYTES, TEXTS = 32 << 20, 256
 SEPARATOR = "|"
 
 
@@ -47,6 +47,7 @@ def encoder(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[str, bytes] = {}
+    held = 0
 
     def whole(text: str) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -67,6 +68,7 @@ def encoder(path: str):
         return found
 
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal held
         split, missing = [], set()
         for text in texts:
             if any(c in text for c in CONTROL):
@@ -78,7 +80,8 @@ def encoder(path: str):
                 missing.update(w for w, p in zip(words, parts, strict=True) if p is None)
             split.append((words, parts))
         new = learn(list(missing))
-        if len(known) < WORDS:
+        if held < CACHE_BYTES:
+            held += sum(len(w) + len(p) + 180 for w, p in new.items())
             known.update(new)
         return [b"".join([new[w] if p is None else p for w, p in zip(words, parts, strict=True)] if None in parts else parts)
                 for words, parts in split]

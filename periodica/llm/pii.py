@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,20 +86,24 @@ def named(value: str) -> str:
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Base entities and identifier-like tokens outside of them, with their left patterns."""
     out = [{"start": s, "end": e, "kind": KINDS[k], "value": named(text[s:e]), "patterns": left_patterns(text, s)} for s, k, e in base]
-    taken = iter([*base, (len(text) + 1, 0, len(text) + 1)])
-    now = next(taken)
+    starts: list[int] = []
+    ends: list[int] = []  # of the base spans, those that overlap put together
+    for s, _, e in base:
+        if starts and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for m in TOKEN.finditer(text):
         token = m[0]
         start = m.start() + len(token) - len(token.lstrip("([{<\"'"))
         end = m.end() - (len(token) - len(token.rstrip(".,;:!?)]}>\"'")))
-        while now[2] <= start and now[0] <= len(text):
-            now = next(taken)
         value = text[start:end]
-        if now[0] < end or len(value) < SHORTEST:
+        near = bisect_left(starts, end) - 1  # the last span that starts before the token's end
+        if len(value) < SHORTEST or near >= 0 and ends[near] > start:
             continue
         if "@" in value[1:-1] or len(DIGIT.findall(value)) >= DIGITS:
-            if not any(s < end and start < e for s, _, e in base):
-                out.append({"start": start, "end": end, "kind": None, "value": named(value), "patterns": left_patterns(text, start)})
+            out.append({"start": start, "end": end, "kind": None, "value": named(value), "patterns": left_patterns(text, start)})
     return out
 
 

@@ -147,8 +147,10 @@ WITH l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) A
   SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l WHERE regexp_matches(line, '\S')),
 w AS (SELECT *, lead(line, 1) OVER p AS l1, lead(line, 2) OVER p AS l2 FROM f WINDOW p AS (PARTITION BY doc_id ORDER BY s)),
-d AS (SELECT doc_id, s, row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, s) > 1 AS later FROM w WHERE l2 IS NOT NULL),
-c AS (SELECT DISTINCT doc_id, s + k AS s FROM d, (SELECT unnest([0, 1, 2]) AS k) WHERE later),
+d AS (SELECT doc_id, s, 3 AS n, row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, s) > 1 AS later FROM w WHERE l2 IS NOT NULL
+  UNION ALL SELECT doc_id, s, 2, row_number() OVER (PARTITION BY line, l1 ORDER BY doc_id, s) > 1 FROM w WHERE length(line) + length(l1) >= 150
+  UNION ALL SELECT doc_id, s, 1, row_number() OVER (PARTITION BY line ORDER BY doc_id, s) > 1 FROM w WHERE length(line) >= 150),
+c AS (SELECT DISTINCT doc_id, s + k AS s FROM d, (SELECT unnest([0, 1, 2]) AS k) WHERE later AND k < n),
 g AS (SELECT f.doc_id, f.i, c.s IS NOT NULL AS gone FROM f LEFT JOIN c USING (doc_id, s)),
 a AS (SELECT l.doc_id, l.i, l.line, g.gone, last_value(g.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.i) AS before,
   first_value(g.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after

@@ -157,17 +157,20 @@ def test_substrings(spark):
     assert substrings.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def brute_lines(docs, least):
+def brute_lines(docs, least, chars=150):
     parts = {d: (t or "").split("\n") for d, t in docs}
     full = {d: [i for i, x in enumerate(p) if re.search(r"\S", x)] for d, p in parts.items()}
     seen, gone = set(), {d: set() for d in parts}
     for d in sorted(parts):
         names = [parts[d][i] for i in full[d]]
-        for s in range(len(names) - least + 1):
-            run = tuple(names[s:s + least])
-            if run in seen:
-                gone[d] |= set(range(s, s + least))
-            seen.add(run)
+        for n in {least, *(2 ** k for k in range(9) if 2 ** k < least)}:
+            for s in range(len(names) - n + 1):
+                run = tuple(names[s:s + n])
+                if n < least and sum(map(len, run)) < chars:
+                    continue
+                if run in seen:
+                    gone[d] |= set(range(s, s + n))
+                seen.add(run)
     out = {}
     for d, p in parts.items():
         cut = {full[d][s] for s in gone[d]}
@@ -186,9 +189,18 @@ def test_lines(spark, least):
     frame = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 as key", "2 as doc", "3 as n_lines")
     got = lines.dedup(frame, least=least).collect()
     assert {r.doc_id: r.text for r in got} == brute_lines(docs, least)
+    some = {r.doc_id: r.text for r in lines.dedup(frame, least=least, chars=3).collect()}
+    assert some == brute_lines(docs, least, 3)
     assert all(r.n_lines == len(dict(docs)[r.doc_id].split("\n")) for r in got)
 
 
+def test_long_lines_go_by_themselves(spark):
+    long, half = " ".join(f"word{i}" for i in range(60)), "x" * 80
+    docs = [(1, long), (2, long), (3, f"a\n{half}\n\n{half}1\nb"), (4, f"c\n{half}\n{half}1\nd"), (5, "short\nown"), (6, "short"), (7, f"e\n{half}\nf")]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == {1: long, 2: "", 3: docs[2][1], 4: "c\nd", 5: "short\nown", 6: "short", 7: docs[6][1]}
+
+
 def test_lines_of_odd_rows(spark):
     docs = [(None, "a\nb\nc\nd"), (1, "a\nb\nc\ne"), (1, "a\nb\nc\ne"), (2, None), (2, None)]
     got = lines.dedup(spark.createDataFrame(docs, SCHEMA)).collect()
@@ -292,3 +304,20 @@ def test_conversations_with_nulls_and_ties(spark):
     got = {r.tree: r for r in chat.read_back(chat.format_paths(nodes, chat.reply_paths(nodes))).collect()}
     assert [(t["role"], t["text"]) for t in got[1].turns] == [("user", "first"), ("", "tie"), ("assistant", ""), ("assistant", "</s>"), ("assistant", "</s>")]
     assert got[1].learned == "</s></s>" and got[None].learned == "x"
+
+
+def test_many_entities_in_one_text():
+    """The time for a text grows with its length, not with its square."""
+    import time
+
+    text = " ".join(f"user{i}@mail.example.org id-{i:07d}x" for i in range(8_000))
+    began = time.process_time()
+    found = pii.mentions(text, pii.base_spans(text))
+    assert time.process_time() - began < 3 and sum(m["kind"] == "email" for m in found) == 8_000 and sum(m["kind"] is None for m in found) == 8_000
+
+
+def test_no_label_is_lost_to_its_ids(spark):
+    rows = [(n, f"the cat and dog {n}", "en") for n in range(3000)] + [(5, f"el gato y perro {n}", "es") for n in range(3000)]
+    rows += [(None, "der hund", "de")] * 3000 + [(9, "", "xx")] * 10
+    net = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_class=20)
+    assert sorted(net.languages) == ["de", "en", "es"]
