@@ -26,6 +26,24 @@ def change_rows(envelopes: DataFrame, schema: StructType | str) -> DataFrame:
     return envelopes.select(parsed.alias("e")).where(F.col("e.after").isNotNull()).select("e.after.*")
 
 
+def change_events(envelopes: DataFrame, schema: StructType | str, deleted: str = "deleted", at: str = "changed_at") -> DataFrame:
+    """Every change of a feed as a row: the state after it, or the last one before a deletion, with a mark and its time.
+
+    Envelopes without either state, and lines that are none, carry no key and are left out.
+    """
+    kind = schema.simpleString() if isinstance(schema, StructType) else f"struct<{schema}>"
+    parsed = F.from_json("value", f"struct<op:string,ts_ms:bigint,before:{kind},after:{kind}>")
+    told = envelopes.select(parsed.alias("e")).select(
+        F.coalesce("e.after", "e.before").alias("state"), F.col("e.after").isNull().alias(deleted), F.col("e.ts_ms").alias(at))
+    return told.where(F.col("state").isNotNull()).select("state.*", deleted, at)
+
+
+def read_json_events(spark: SparkSession, path: str, schema: StructType | str, per_trigger: int = 64) -> DataFrame:
+    """The changes of a folder of feed files, deletions among them."""
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(path)
+    return change_events(lines, schema)
+
+
 def read_json_changes(spark: SparkSession, path: str, schema: StructType | str, per_trigger: int = 64) -> DataFrame:
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(path)
     return change_rows(lines, schema)
@@ -60,10 +78,13 @@ class LastRowSink:
     streaming query and the batch number, so a repeated batch replaces itself and no other query's.
     Reading merges the batches; ``compact`` merges them for good. The cost of a batch does not grow
     with the table. Of equal rows by ``order`` that of the later batch number stays.
+
+    ``deleted`` names a column that is true for a row that says its key is gone. Such a key is not read. The row itself
+    is held, also by ``compact``, so that a change from before the deletion that comes in late does not bring the key back.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str]):
-        self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), list(keys), list(order)
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], deleted: str | None = None):
+        self.spark, self.path, self.keys, self.order, self.deleted = spark, path.rstrip("/"), list(keys), list(order), deleted
 
     def _last(self, df: DataFrame, order: list[str]) -> DataFrame:
         columns = [c for c in df.columns if c not in (STREAM, BATCH)]
@@ -81,17 +102,23 @@ class LastRowSink:
             .trigger(availableNow=True).start()
         )
 
-    def read(self) -> DataFrame | None:
-        """Last row per key; equal times are decided by the batch."""
+    def _merged(self) -> DataFrame | None:
         if not path_exists(self.spark, self.path):
             return None
         batches = self.spark.read.parquet(self.path)
         return self._last(batches, [*self.order, BATCH, STREAM])
 
+    def read(self) -> DataFrame | None:
+        """Last row per key that is not gone; equal times are decided by the batch."""
+        rows = self._merged()
+        if rows is None or not self.deleted:
+            return rows
+        return rows.where(~F.coalesce(self.deleted, F.lit(False))).drop(self.deleted)
+
     def compact(self, target: str) -> "LastRowSink":
         """Write the merged rows as batch -1 of a new sink at ``target``; later batches go there."""
-        merged = LastRowSink(self.spark, target, self.keys, self.order)
-        self.read().write.mode("overwrite").parquet(f"{merged.path}/{STREAM}=compacted/{BATCH}=-1")
+        merged = LastRowSink(self.spark, target, self.keys, self.order, self.deleted)
+        self._merged().write.mode("overwrite").parquet(f"{merged.path}/{STREAM}=compacted/{BATCH}=-1")
         return merged
 
     def retained(self, ts: str, cutoff: datetime) -> DataFrame | None:

@@ -309,6 +309,22 @@ def test_last_row_sink_is_repeatable(spark):
     assert sorted(tuple(r) for r in merged.read().collect()) == [*want[:2], (3, 2, "z")]
 
 
+def test_deleted_keys_stay_away(spark):
+    lines = [
+        '{"op": "c", "ts_ms": 1, "before": null, "after": {"k": 1, "v": "a"}}', '{"op": "c", "ts_ms": 1, "after": {"k": 2, "v": "b"}}',
+        '{"op": "d", "ts_ms": 3, "before": {"k": 1, "v": "a"}, "after": null}', '{"op": "d", "ts_ms": 4, "before": {"k": 3, "v": null}}',
+        "no json", "", '{"op": "d", "ts_ms": 9}', None]
+    events = feeds.change_events(spark.createDataFrame([(x,) for x in lines], "value string"), "k int, v string")
+    assert sorted(tuple(r) for r in events.collect()) == [(1, "a", False, 1), (1, "a", True, 3), (2, "b", False, 1), (3, None, True, 4)]
+    sink = feeds.LastRowSink(spark, shared_folder(spark, "gone"), ["k"], ["changed_at"], "deleted")
+    sink.write_batch(events, 0, "one")
+    assert [tuple(r) for r in sink.read().collect()] == [(2, "b", 1)]
+    merged = sink.compact(shared_folder(spark, "gone"))
+    late = spark.createDataFrame([(1, "late", False, 2), (3, "again", False, 5)], events.schema)
+    merged.write_batch(late, 0, "two")
+    assert sorted(tuple(r) for r in merged.read().collect()) == [(2, "b", 1), (3, "again", 5)]
+
+
 def test_materialise(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert sorted(r["x"] for r in materialise(df, "m").collect()) == list(range(0, 20, 2))
