@@ -128,15 +128,41 @@ def op8(spark, sf):
 
 
 @query("op3_substring_dedup", r"""
-WITH s AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS unit FROM (
+WITH RECURSIVE s AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (
   SELECT doc_id, string_split(regexp_replace(text, '([.!?][ \t]+|\n+)', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL)),
-u AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY unit) AS stop,
+p AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i,
   trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM s WHERE part <> ''),
-c AS (SELECT *, len(string_split(norm, ' ')) >= 6 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) > 1 AS gone FROM u)
-SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
-  string_agg(cast(stop - length(part) AS BIGINT) || ':' || cast(stop AS BIGINT), ',' ORDER BY unit) FILTER (WHERE gone) AS removed,
-  coalesce(string_agg(part, '' ORDER BY unit) FILTER (WHERE NOT gone), '') AS text
-FROM c GROUP BY doc_id HAVING count(*) FILTER (WHERE gone) > 0""")
+q AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS w, length(replace(norm, ' ', '')) AS c,
+  coalesce(sum(CASE WHEN part LIKE '%' || chr(10) THEN 1 ELSE 0 END) OVER f, 0) AS line,
+  coalesce(sum(CASE WHEN part LIKE '%' || chr(10) || chr(10) THEN 1 ELSE 0 END) OVER f, 0) AS para,
+  sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS stop
+  FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT doc_id, i, 0 AS g, line AS held, w AS sw, c AS sc FROM q WHERE i = 1
+  UNION ALL SELECT doc_id, i, g + fresh, CASE WHEN w = 0 THEN held ELSE line END, CASE WHEN fresh = 1 THEN w ELSE sw + w END, CASE WHEN fresh = 1 THEN c ELSE sc + c END
+  FROM (SELECT q.*, r.g, r.held, r.sw, r.sc,
+    CASE WHEN q.w > 0 AND r.sw > 0 AND (q.line <> r.held OR r.sw >= 6 OR r.sc >= 48 OR q.w >= 6 OR q.c >= 48) THEN 1 ELSE 0 END AS fresh
+    FROM r JOIN q ON q.doc_id = r.doc_id AND q.i = r.i + 1)),
+t AS (SELECT doc_id, g AS h, min(stop - length(part)) AS start, max(stop) AS stop, sum(w) AS w, sum(c) AS c,
+  min(line) FILTER (WHERE w > 0) AS line, min(para) FILTER (WHERE w > 0) AS para,
+  string_agg(norm, ' ' ORDER BY i) FILTER (WHERE w > 0) AS norm FROM q JOIN r USING (doc_id, i) GROUP BY doc_id, g HAVING sum(w) > 0),
+l AS (SELECT *, w >= 6 OR c >= 48 AS enough, lag(start) OVER b AS since, lag(norm) OVER b || ' ' || norm AS joint
+  FROM t WINDOW b AS (PARTITION BY doc_id, line ORDER BY h)),
+e AS (SELECT doc_id, para, line, min(start) AS start, max(stop) AS stop, sum(w) AS w, sum(c) AS c, string_agg(norm, ' ' ORDER BY h) AS norm,
+  arg_min(enough, h) AS starts FROM l GROUP BY doc_id, para, line),
+g AS (SELECT doc_id, para, min(start) AS start, max(stop) AS stop, sum(w) AS w, sum(c) AS c, string_agg(norm, ' ' ORDER BY line) AS norm
+  FROM e GROUP BY doc_id, para HAVING bool_or(w < 6 AND c < 48)),
+d AS (SELECT doc_id, min(start) AS start, max(stop) AS stop, string_agg(norm, ' ' ORDER BY line) AS norm FROM e
+  WHERE doc_id IN (SELECT doc_id FROM g WHERE w < 6 AND c < 48) GROUP BY doc_id),
+u AS (SELECT doc_id, start, stop, norm FROM l WHERE enough UNION ALL SELECT doc_id, since, stop, joint FROM l WHERE NOT enough AND since IS NOT NULL
+  UNION ALL SELECT doc_id, start, stop, norm FROM e WHERE (w >= 6 OR c >= 48) AND NOT starts
+  UNION ALL SELECT doc_id, start, stop, norm FROM g WHERE w >= 6 OR c >= 48 UNION ALL SELECT * FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone FROM u),
+o AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k WHERE gone),
+x AS (SELECT doc_id, start, stop FROM o WHERE before IS NULL OR stop > before),
+y AS (SELECT doc_id, count(*) AS n_removed, string_agg(cast(start AS BIGINT) || ':' || cast(stop AS BIGINT), ',' ORDER BY start) AS removed FROM x GROUP BY doc_id),
+z AS (SELECT q.doc_id, coalesce(string_agg(q.part, '' ORDER BY q.i) FILTER (WHERE x.start IS NULL), '') AS text
+  FROM q LEFT JOIN x ON x.doc_id = q.doc_id AND q.stop > x.start AND q.stop <= x.stop GROUP BY q.doc_id)
+SELECT doc_id, n_removed, removed, text FROM y JOIN z USING (doc_id)""")
 def op3(spark, sf):
     spans = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string")))
     return substrings.dedup(table(spark, sf, "documents")).select("doc_id", "n_removed", F.array_join(spans, ",").alias("removed"), "text")

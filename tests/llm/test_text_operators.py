@@ -157,6 +157,33 @@ def test_substrings(spark):
     assert substrings.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_short_sentences_and_lines_go_with_their_copies(spark):
+    rng = random.Random(8)
+    shorts = " ".join(f"{words(rng, rng.randint(1, 4))}!!" for _ in range(60))
+    verse = "\n".join(words(rng, 3) for _ in range(12))
+    han = "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d" * 10
+    docs = [(1, shorts), (2, shorts), (3, verse), (4, verse), (5, "Hi there"), (6, "hi, there!"), (7, f"One here\n\n{verse}\n\nTwo"),
+            (8, f"Other start of it\n{shorts}\n---\nother end"), (9, "--- ..."), (10, "--- ..."), (11, f"a\n{han}"), (12, f"b\n{han}\nc")]
+    got = {r.doc_id: r.text for r in substrings.dedup(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == {2: "", 4: "", 6: "", 7: "One here\n\nTwo", 8: "Other start of it\nother end", 12: "b\nc"}
+
+
+def test_units_lie_inside_each_other_or_apart():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(["a ", "word ", "end. ", "! ", "\n", "\n\n", "some words of a line ", "-- "]) for _ in range(rng.randint(0, 40)))
+        laid = substrings.parts(text)
+        assert "".join(text[p.start:p.end] for p in laid) == text
+        spans = list(substrings.units(text))
+        for n, (a, b, one) in enumerate(spans):
+            assert one.split() == substrings.WORD.findall(text[a:b].lower())
+            for c, d, other in spans[:n]:
+                assert b <= c or d <= a or (a <= c and d <= b and len(other) < len(one)) or (c <= a and b <= d and len(one) < len(other))
+        if spans:
+            covered = {i for a, b, _ in spans for i in range(a, b)}
+            assert not substrings.WORD.search("".join(x for i, x in enumerate(text) if i not in covered))
+
+
 def brute_lines(docs, least, chars=150):
     parts = {d: (t or "").split("\n") for d, t in docs}
     full = {d: [i for i, x in enumerate(p) if re.search(r"\S", x)] for d, p in parts.items()}
