@@ -9,6 +9,10 @@ candidates; a link counts only if the full sets confirm it. Inside a bucket no p
 with the others, linked classes merge, and only buckets that still hold more than one component get new leaders
 (from all components but the largest) until none does. A class that has led a bucket has met all of it, so every
 candidate link between different components is looked at.
+
+Shingles that only one candidate class holds are in no intersection. Their number bounds the similarity of a pair from
+above, so most unlinked pairs need no sets; and the class with the smallest share of them leads first, since it is the
+one most of its bucket derives from.
 """
 
 from __future__ import annotations
@@ -131,7 +135,7 @@ def _sketch(docs: DataFrame, k: int, bands: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(class, shingles) of the given texts, one row for each class."""
+    """(class, shingles, no) of the given texts, one row for each class; ``no`` is a number that holds once written."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -141,7 +145,14 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                      pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["class", "shingles"])
         forget_words()
 
-    return docs.select("_text").mapInArrow(run, "class binary, shingles array<long>").dropDuplicates(["class"])
+    return docs.select("_text").mapInArrow(run, "class binary, shingles array<long>").dropDuplicates(["class"]).withColumn("no", F.monotonically_increasing_id())
+
+
+def _alone(sets: DataFrame) -> DataFrame:
+    """(class, alone): how many of a class's shingles no other class holds."""
+    held = sets.select("no", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("no").alias("no"))
+    own = held.filter("holders = 1").groupBy("no").agg(F.count("*").alias("alone"))
+    return sets.select("class", "no").join(own, "no", "left").select("class", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,10 +165,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: leaders and members of a bucket that belong to different components and may be similar by size."""
-    lead = leaders.select("bucket", F.col("class").alias("c"), F.col("component").alias("other"), F.col("n").alias("m"))
+    """(a, b), a < b: leaders and members of a bucket that belong to different components and may be similar.
+
+    An intersection holds none of the shingles that either class has alone.
+    """
+    lead = leaders.select("bucket", F.col("class").alias("c"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("alone").alias("lone"))
+    most = F.least(F.col("n") - F.col("alone"), F.col("m") - F.col("lone"))
     return members.join(lead, "bucket").filter(
-        (F.col("component") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select(
+        (F.col("component") != F.col("other")) & (100 * most >= percent * (F.col("n") + F.col("m") - most))).select(
         F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
 
 
@@ -181,6 +196,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     left = materialise(rows.join(shared, "bucket"), "buckets")
     wanted = held.join(left.select("class").distinct(), "class", "left_semi").select(F.col("key").alias("_key"))
     sets = materialise(_sets(source.join(wanted, "_key", "left_semi").dropDuplicates(["_key"]), k), "shingles")
+    # a class with too many shingles of its own is linked to none
+    left = materialise(left.join(_alone(sets), "class").filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "bounded")
+    central = F.col("alone") / F.col("n")
     merged, most = None, LEADERS
     while True:
         known = left.join(merged, "class", "left").withColumn("component", F.coalesce("component", "class")) if merged is not None \
@@ -192,19 +210,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         if not known.limit(1).count():
             break
         if merged is None:
-            first = known.groupBy("bucket").agg(F.min(F.struct("class", "n", "component")).alias("l"))
+            first = known.groupBy("bucket").agg(F.min(F.struct(central.alias("share"), "class", "n", "component", "alone")).alias("l"))
             leaders = first.select("bucket", "l.*")
         else:
-            place = F.row_number().over(W.partitionBy("bucket").orderBy("class"))
+            place = F.row_number().over(W.partitionBy("bucket").orderBy(central, "class"))
             leaders = known.filter("component <> top").withColumn("place", place).filter(F.col("place") <= most)
             most *= 2  # so that a bucket of many unlinked classes takes few rounds
-        leaders = materialise(leaders.select("bucket", "class", "component", "n"), "leaders")
+        leaders = materialise(leaders.select("bucket", "class", "component", "n", "alone"), "leaders")
         pairs = materialise(_compare(leaders, known, percent), "pairs")
         confirmed = _confirm(pairs, sets, percent)
         if merged is not None:  # components so far are stars already, and go on from there
             confirmed = confirmed.union(merged.select(F.col("class").alias("a"), F.col("component").alias("b")))
         merged = materialise(components(confirmed).select(F.col("node").alias("class"), "component"), "merged")
-        left = materialise(known.select("bucket", "class", "n").join(leaders.select("bucket", "class"), ["bucket", "class"], "left_anti"), "buckets")
+        left = materialise(known.select("bucket", "class", "n", "alone").join(leaders.select("bucket", "class"), ["bucket", "class"], "left_anti"), "buckets")
     if merged is None:
         merged = spark.createDataFrame([], "class binary, component binary")
     named = held.select("class", "first").join(merged, "class", "left").withColumn("component", F.coalesce("component", "class"))
