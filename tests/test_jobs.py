@@ -78,6 +78,29 @@ def test_forest_nodes_hold_their_rows(spark):
     assert forest.fit(frame.limit(0), ["id"], ["a"], "y", trees=2, impute=False).tree == []
 
 
+def test_deep_forests_leave_their_nodes_in_the_tasks(spark, monkeypatch):
+    """The nodes that follow the rows in number do not reach the driver, and are those of scans level by level."""
+    rng = random.Random(8)
+    data = [(i, float(rng.randint(0, 60)), rng.gauss(0, 1), rng.choice([0.0, 1.0, 2.0]), rng.choice([0, 1, None] if i % 40 == 0 else [0, 1])) for i in range(400)]
+    frame = spark.createDataFrame(data, "id int, a double, b double, c double, y int").repartition(3)
+
+    def grown():
+        model = forest.fit(frame, ["id"], ["a", "b", "c"], "y", trees=4, depth=30)
+        nodes = sorted(forest.nodes_table(spark, model).collect(), key=lambda r: (r["tree"], r["node"]))
+        votes = forest.score(frame, model).orderBy("id").collect()
+        return model, nodes, votes, forest.rules(spark, model, 2).collect(), pytest.approx(forest.importances(model))
+
+    deep = grown()
+    assert len(deep[0].tree) == 4 and len(deep[1]) > 400
+    monkeypatch.setattr(forest, "TAIL", 90)
+    halfway = grown()
+    assert 4 < len(halfway[0].tree) < 200
+    monkeypatch.setattr(forest, "HELD", 1 << 40)
+    held = grown()
+    assert len(held[0].tree) == len(held[1]) and held[0].deep is None
+    assert deep[1:] == halfway[1:4] + (forest.importances(halfway[0]),) and deep[1:] == held[1:4] + (forest.importances(held[0]),)
+
+
 def test_a_changed_file_has_another_state(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/t")
     before = file_state(spark, f"{tmp_path}/t")
