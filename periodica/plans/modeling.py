@@ -15,7 +15,7 @@ from periodica.operators.resample import cluster_series
 from periodica.plans import tables as t
 from periodica.plans.registry import query
 from periodica.plans.relations import SPAN
-from periodica.session import file_state, shared_folder
+from periodica.session import file_state, materialise, shared_folder
 from periodica.sources.artifacts import ArtifactStore
 
 # Trees of the miner forest grow until their leaves are pure.
@@ -213,7 +213,8 @@ def _miner_rows(spark, sf):
 
 
 def _miner_split(spark, sf):
-    return models.split_rows(_miner_rows(spark, sf), ["from_addr"], "churned")
+    rows = materialise(_miner_rows(spark, sf), "miners")  # one row per address, read for both parts and every round
+    return models.split_rows(rows, ["from_addr"], "churned")
 
 
 def _miner_forest(spark, sf):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from periodica.operators import clusters, forecast, forest, models, svm
+from periodica.plans import modeling
 from periodica.session import file_state, materialise, shared_folder
 from periodica.sources.artifacts import ArtifactStore
 from periodica.sources.scan import scan_days, scan_moments
@@ -127,6 +128,19 @@ def test_the_layout_does_not_change_a_model(spark, separable, parts):
     assert found[0] == found[1]
 
 
+def test_the_rows_of_the_miners_are_built_once(spark, monkeypatch):
+    """Both parts, and all rounds over them, read rows that are written already."""
+    lines = [(o, n, o % 5, n, 1.0, 10.0 * o + n, datetime(1999 + o % 3, 1, 1)) for o in range(40) for n in range(3)]
+    kinds = "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz"
+    orders = spark.createDataFrame([(o, o % 7, 5.0 * o) for o in range(40)], "o_orderkey long, o_custkey long, o_totalprice double")
+    held = {"lineitem": spark.createDataFrame(lines, kinds), "orders": orders}
+    monkeypatch.setattr(modeling.t, "table", lambda spark, sf, name: held[name])
+    seen = []
+    monkeypatch.setattr(modeling.models, "split_rows", lambda df, keys, label: seen.append(df) or (df, df))
+    modeling._miner_split(spark, "none")
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString() and seen[0].count() == 5
+
+
 def test_svm_report(spark, separable):
     train, test = models.split_rows(separable, ["id"], "churned")
     model = svm.fit(train, ["x", "w"], "churned")
