@@ -24,6 +24,8 @@ from periodica.session import materialise, shuffle_width
 SLICE = "_slice"
 # A slice is meant to hold this many rows; there are at least as many slices as shuffle partitions.
 ROWS_PER_SLICE = 2_000_000
+# Rows that a task sorts by key for running totals; a key with more is divided.
+ROWS_PER_SORT = 500_000
 # Borders that one quantile sketch gives. More are found in a second step, within each of the first ones.
 BORDERS = 4_096
 WHOLE = -1  # slice number of the keys that are not sliced
@@ -146,17 +148,17 @@ def _ordering(order: str, tiebreak: str | None, descending: bool = False) -> lis
 
 def slice_for_keys(
     df: DataFrame, order: str, tiebreak: str | None = None, keys=(), slices: int | None = None,
-    cuts: Cuts | None = None, limit: int | None = None,
+    cuts: Cuts | None = None, limit: int | None = None, share: float | None = None,
 ) -> DataFrame:
     """Add the slice number: everywhere without keys, and only for hot keys with them.
 
     Other keys get -1, are left whole and take no part in carrying. A key is hot if it has more rows than a slice should
-    (``limit``), or more than its share of all of them; the hot keys are a table that is joined in, however many there are.
+    (``limit``), or more than a ``share`` of all of them; the hot keys are a table that is joined in, however many there are.
     """
     keys = _names(keys)
     if not keys:
         return add_slice(df, order, cuts or find_cuts(df, order, tiebreak, slices), tiebreak)
-    share = 1.0 / (slices or 4 * shuffle_width(df.sparkSession))
+    share = share or 1.0 / (slices or 4 * shuffle_width(df.sparkSession))
     marked = df.withColumn("_sl_k", F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
     hot = hot_keys(marked, F.col("_sl_k"), share, limit or ROWS_PER_SLICE)
     if not hot.limit(1).count():
@@ -274,12 +276,23 @@ def running_totals(
 ) -> DataFrame:
     """For every out: column, add the sum of the column over all earlier rows of the key.
 
-    ``totals`` also adds ``<out>_total``, the sum over the whole key. Every key is sliced
-    here, since the totals of the slices are needed in any case.
+    ``totals`` also adds ``<out>_total``, the sum over the whole key. Given ``cuts`` or ``slices`` divide every key;
+    otherwise the rows are written once, since counts and sums read them again, and only a key of many rows is divided.
     """
     keys = _names(keys)
-    sliced = add_slice(df, order, cuts or find_cuts(df, order, tiebreak, slices), tiebreak)
+    extra = [f"{o}_total" for o in values if totals]
     part = Window.partitionBy(*(keys or [F.lit(0)]))
+    if keys and not (cuts or slices):
+        df = materialise(df, "running")
+        sliced = slice_for_keys(df, order, tiebreak, keys, limit=ROWS_PER_SORT, share=1.0)
+        if not sliced.where(F.col(SLICE) > WHOLE).limit(1).count():
+            tasks = math.ceil(df.count() / ROWS_PER_SORT)
+            earlier = part.orderBy(*_ordering(order, tiebreak)).rowsBetween(Window.unboundedPreceding, -1)
+            found = {o: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for o, c in values.items()}
+            whole = {f"{o}_total": F.sum(c).over(part) for o, c in values.items() if totals}
+            return (df.repartition(tasks, *keys) if tasks > 1 else df).withColumns({**found, **whole}).select(*df.columns, *values, *extra)
+    else:
+        sliced = add_slice(df, order, cuts or find_cuts(df, order, tiebreak, slices), tiebreak)
     before = part.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     sums = sliced.groupBy(*keys, SLICE).agg(*[F.sum(c).alias(f"_s_{o}") for o, c in values.items()])
     base = sums.select(
@@ -298,7 +311,6 @@ def running_totals(
     found = {
         o: F.col(f"_base_{o}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for o, c in values.items()
     }
-    extra = [f"{o}_total" for o in values if totals]
     return joined.withColumns(found).select(*df.columns, *values, *extra)
 
 

@@ -44,13 +44,14 @@ def timeline_all(df: DataFrame, keys: list[str], milestone: str, task: str, star
     kinds become names if either kind has names.
     """
     text = any(isinstance(df.schema[c].dataType, StringType) for c in (milestone, task))
-    grains = [
-        df.groupBy(*keys, F.col(column).cast("string" if text else "long").alias("item")).agg(
-            F.min(lo).alias("start"), F.max(hi).alias("end")).withColumn("type", F.lit(kind))
-        for kind, column, lo, hi in (("milestone", milestone, start, end), ("task", task, task_start, task_end))
-    ]
-    both = grains[0].unionByName(grains[1])
-    colored = both.withColumn("color", F.when(F.col("type") == "milestone", "black").otherwise("green"))
+    # Both kinds of a row in one aggregate, so that the input is read once.
+    kinds = F.array(*(
+        F.struct(F.lit(kind).alias("_kind"), F.col(column).cast("string" if text else "long").alias("item"), F.col(lo).alias("start"), F.col(hi).alias("end"))
+        for kind, column, lo, hi in ((0, milestone, start, end), (1, task, task_start, task_end))))
+    both = df.select(*keys, F.inline(kinds)).groupBy(*keys, "item", "_kind").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    first = F.col("_kind") == 0
+    colored = both.select(
+        *keys, "item", "start", "end", F.when(first, "milestone").otherwise("task").alias("type"), F.when(first, "black").otherwise("green").alias("color"))
     # Item and type in one value, so that equal starts have one order.
     second = F.when(F.col("type") == "task", 1).otherwise(0)
     tie = F.concat("item", F.lit("\0"), second.cast("string")) if text else F.col("item") * 2 + second

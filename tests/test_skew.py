@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from periodica.operators import joins, ordered
+from periodica.operators import joins, ordered, projects
 
 
 @pytest.fixture(scope="module")
@@ -165,6 +165,44 @@ def test_order_by_text(spark, slices):
     assert totals == {i: k for k, i in enumerate(order)}
 
 
+@pytest.mark.parametrize("rows", [20, 1000])
+def test_totals_by_key_divide_only_large_keys(spark, monkeypatch, rows):
+    monkeypatch.setattr(ordered, "ROWS_PER_SORT", rows)
+    data = [(i, None if i % 9 == 0 else "hot" if i % 3 else f"k{i % 40}", (i * 37) % 11, i % 5) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, k string, at int, v int").repartition(5)
+    out = ordered.running_totals(df, {"before": "v"}, "at", "id", keys="k", totals=True)
+    place = {i: (k, at, v) for i, k, at, v in data}
+    for r in out.collect():
+        k, at, _ = place[r["id"]]
+        mine = [(a, i, v) for i, (q, a, v) in place.items() if q == k]
+        assert r["before"] == sum(v for a, i, v in mine if (a, i) < (at, r["id"])) and r["before_total"] == sum(v for _, _, v in mine)
+    assert out.count() == 300 and out.columns == [*df.columns, "before", "before_total"]
+
+
+def test_a_timeline_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    data = [(i % 4, i % 9, i % 5, i % 6, i % 6 + 2) for i in range(90)]
+    df = spark.createDataFrame(data, "project int, milestone int, task int, low int, high int").mapInArrow(
+        told, "project int, milestone int, task int, low int, high int")
+    rows = projects.timeline_all(df, ["project"], "milestone", "task", "low", "high", "low", "high").collect()
+    assert seen.value == 90
+    spans = {}
+    for p, m, t, low, high in data:
+        for kind, item in (("milestone", m), ("task", t)):
+            a, b = spans.get((p, kind, item), (low, high))
+            spans[p, kind, item] = min(a, low), max(b, high)
+    assert {(r["project"], r["type"], r["item"]): (r["start"], r["end"]) for r in rows} == spans
+    for p in range(4):
+        order = sorted((r for r in rows if r["project"] == p), key=lambda r: (r["start"], r["item"], r["type"]))
+        assert [r["low"] for r in order] == [k + 0.6 for k in range(len(order))]
+
+
 def test_dimension_fallback(spark):
     df = spark.createDataFrame([("a" * 12,), ("short",), ("p",)], "k string")
     dim = spark.createDataFrame([("p", "Pool")], "address string, poolname string")
