@@ -33,7 +33,8 @@ def _account_rows(spark, sf):
     rows = t.accounts_status(spark, sf).where("status <> 'joined'")
     rows = rows.withColumn("amount", F.col("amount").cast("double"))
     features = models.entity_features(rows, ["address", "status"], ACCOUNT_FEATURES)
-    return features.withColumn("churned", (F.col("status") == "churned").cast("int"))
+    labelled = features.withColumn("churned", (F.col("status") == "churned").cast("int"))
+    return materialise(labelled, "accounts")  # both parts, and every look at them, read these rows again
 
 
 _FITTED: dict[tuple, tuple] = {}

@@ -141,6 +141,14 @@ def test_the_rows_of_the_miners_are_built_once(spark, monkeypatch):
     assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString() and seen[0].count() == 5
 
 
+def test_the_rows_of_the_accounts_are_built_once(spark, monkeypatch):
+    rows = [(i, i % 6, datetime(2024, 1, 1 + i % 20), float(i), "x", '{"k": 3}') for i in range(60)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double, event_type string, props string")
+    monkeypatch.setattr(modeling.t, "table", lambda spark, sf, name: events)
+    built = modeling._account_rows(spark, "none")
+    assert "Join" not in built._jdf.queryExecution().optimizedPlan().toString() and built.count() == 6
+
+
 def test_svm_report(spark, separable):
     train, test = models.split_rows(separable, ["id"], "churned")
     model = svm.fit(train, ["x", "w"], "churned")
