@@ -278,19 +278,24 @@ def running_totals(
 
     ``totals`` also adds ``<out>_total``, the sum over the whole key. Given ``cuts`` or ``slices`` divide every key;
     otherwise the rows are written once, since counts and sums read them again, and only a key of many rows is divided.
+    Rows without an order value count as earlier than the others and are left out, unless no row has one.
     """
     keys = _names(keys)
     extra = [f"{o}_total" for o in values if totals]
     part = Window.partitionBy(*(keys or [F.lit(0)]))
     if keys and not (cuts or slices):
         df = materialise(df, "running")
+        known = F.col(f"`{order}`").isNotNull()
+        placed = known if df.where(known).limit(1).count() else F.lit(True)
         sliced = slice_for_keys(df, order, tiebreak, keys, limit=ROWS_PER_SORT, share=1.0)
         if not sliced.where(F.col(SLICE) > WHOLE).limit(1).count():
             tasks = math.ceil(df.count() / ROWS_PER_SORT)
-            earlier = part.orderBy(*_ordering(order, tiebreak)).rowsBetween(Window.unboundedPreceding, -1)
+            earlier = part.orderBy(F.col(f"`{order}`").isNotNull(), *_ordering(order, tiebreak)).rowsBetween(Window.unboundedPreceding, -1)
             found = {o: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for o, c in values.items()}
             whole = {f"{o}_total": F.sum(c).over(part) for o, c in values.items() if totals}
-            return (df.repartition(tasks, *keys) if tasks > 1 else df).withColumns({**found, **whole}).select(*df.columns, *values, *extra)
+            dealt = df.repartition(tasks, *keys) if tasks > 1 else df
+            return dealt.withColumns({**found, **whole}).where(placed).select(*df.columns, *values, *extra)
+        sliced = sliced.withColumn(SLICE, F.when(placed, F.col(SLICE)))
     else:
         sliced = add_slice(df, order, cuts or find_cuts(df, order, tiebreak, slices), tiebreak)
     before = part.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
