@@ -30,7 +30,7 @@ CONTROL = "\x1c\x1d\x1e\x1f"
 
 
 #: Bytes of words and ids, about, that a Python worker remembers, and texts that are encoded together.
-CACHE_BYTES, TEXTS = 32 << 20, 256
+CACHE_BYTES, TEXTS = 96 << 20, 256
 SEPARATOR = "|"
 
 
