@@ -8,13 +8,17 @@ number with the corpus and not in size; each can cost at most one sequence that
 
 from __future__ import annotations
 
+import json
+import string
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +33,35 @@ BRANCHES = 6
 CONTROL = "\x1c\x1d\x1e\x1f"
 
 
-#: Bytes of words and ids, about, that a Python worker remembers, and texts that are encoded together.
-CACHE_BYTES, TEXTS = 96 << 20, 256
+#: Bytes of words and ids, about, that a Python worker remembers, and bytes of texts that are encoded together.
+CACHE_BYTES, TEXT_BYTES = 96 << 20, 8 << 20
 SEPARATOR = "|"
 
 
+#: The pattern whose tokens are known to end where ASCII marks follow a letter or a digit.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _divides(tokenizer) -> bool:
+    """Whether the tokenizer lowers all letters, cuts by ``SPLIT`` and has no added token without the separator."""
+    made = json.loads(tokenizer.to_str())
+    normal, pre = made["normalizer"] or {}, made["pre_tokenizer"] or {}
+    steps = [normal, *normal.get("normalizers", ())]
+    first = (pre.get("pretokenizers") or [pre])[0]
+    return any(s.get("type") == "Lowercase" for s in steps) and first.get("pattern") == {"Regex": SPLIT} and all(
+        SEPARATOR in t["content"] for t in made["added_tokens"])
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str):
     """A function from texts to their ids, as little-endian unsigned 32-bit integers.
 
     White space ends every token of this kind of vocabulary (words are split there and the space is dropped), so
-    the ids of a text are the ids of its words one after another and words can be remembered. New words are encoded
-    in one call, with a separator that is one token of its own between them; words that hold it, and texts with the
-    separators U+001C to U+001F, which are white space to Python alone, go to the tokenizer by themselves.
+    the ids of a text are the ids of its words one after another and words can be remembered. A word's marks at its
+    end are tokens of their own where they follow a letter or digit, and the case of ASCII letters is dropped, so new
+    words are looked up by their stems first. New stems are encoded in one call, with a separator that is one token
+    of its own between them; those that hold it, and texts with the separators U+001C to U+001F, which are white
+    space to Python alone, go to the tokenizer by themselves.
     """
     from tokenizers import Tokenizer
 
@@ -53,38 +73,66 @@ def encoder(path: str):
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     mark = whole(SEPARATOR)
-
-    def learn(words: list[str]) -> dict[str, bytes]:
+    divides = _divides(tokenizer)
+
+    @lru_cache(maxsize=4096)
+    def ends(char: str) -> bool:
+        """Whether marks after this character are a token of their own; normalising may leave other than a letter."""
+        return whole(char + "!").tobytes() == whole(char).tobytes() + whole("!").tobytes()
+
+    def stem(word: str) -> tuple[str, str]:
+        """A word's stem and the marks after it; words with the separator, like added tokens, stay as they are."""
+        if SEPARATOR in word:
+            return word, ""
+        low = word.lower() if word.isascii() else word
+        core = low.rstrip(string.punctuation)
+        return (core, low[len(core):]) if core and len(core) < len(low) and ends(core[-1]) else (low, "")
+
+    def tokens(words: list[str]) -> dict[str, bytes]:
         plain = [w for w in words if SEPARATOR not in w] if len(mark) == 1 else []
         found = {w: whole(w).tobytes() for w in set(words).difference(plain)}
         if plain:
             ids = whole(f" {SEPARATOR} ".join(plain))
-            cuts = np.flatnonzero(ids == mark[0])
-            data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            start = 0
-            for word, end in zip(plain, ends, strict=True):
-                found[word] = data[start:end]
-                start = end + 4
+            cuts = 4 * np.flatnonzero(ids == mark[0])
+            data = ids.tobytes()
+            found.update(zip(plain, map(data.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])), strict=True))
         return found
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def learn(words: list[str]) -> dict[str, bytes]:
         nonlocal held
-        split, missing = [], set()
-        for text in texts:
-            if any(c in text for c in CONTROL):
-                split.append(([text], [whole(text).tobytes()]))
-                continue
-            words = text.split()
-            parts = list(map(known.get, words))
-            if None in parts:
-                missing.update(w for w, p in zip(words, parts, strict=True) if p is None)
-            split.append((words, parts))
-        new = learn(list(missing))
+        if not divides:
+            found = new = tokens(words)
+        else:
+            stems = list(map(stem, words))
+            found = {s: known.get(s) for s in set(chain.from_iterable(stems))}
+            found[""] = b""
+            new = tokens([s for s, ids in found.items() if ids is None])
+            found.update(new)
+            found = {w: found[core] + found[rest] for w, (core, rest) in zip(words, stems, strict=True)}
         if held < CACHE_BYTES:
-            held += sum(len(w) + len(p) + 180 for w, p in new.items())
+            new = {**new, **found}
+            held += sum(map(len, new)) + sum(map(len, new.values())) + 180 * len(new)
             known.update(new)
-        return [b"".join([new[w] if p is None else p for w, p in zip(words, parts, strict=True)] if None in parts else parts)
-                for words, parts in split]
+        return found
+
+    def encode(texts: pa.Array) -> list[bytes]:
+        lists = pc.utf8_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        ids = list(map(known.get, distinct))
+        new = learn([w for w, p in zip(distinct, ids, strict=True) if p is None])
+        ids = [new[w] if p is None else p for w, p in zip(distinct, ids, strict=True)]
+        # the ids of the distinct words one after another, gathered in the order of the texts
+        flat, lengths = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = words.indices.to_numpy()
+        sizes = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = flat[np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]).tolist()
+        out = [data[start:end] for start, end in pairwise(cuts)]
+        for n in np.flatnonzero(pc.match_substring_regex(texts, f"[{CONTROL}]").to_numpy(zero_copy_only=False)).tolist():
+            out[n] = whole(texts[n].as_py()).tobytes()
+        return out
 
     return encode
 
@@ -105,10 +153,13 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encode = encoder(tokenizer)
         for batch in batches:
             rows: list[list] = [[] for _ in fields]
-            for first in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(first, TEXTS)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc, ids in zip(some.column(0).to_pylist(), encode(texts), strict=True):
+            size_to = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+            first = 0
+            while first < batch.num_rows:
+                before = size_to[first - 1] if first else 0
+                some = batch.slice(first, max(1, int(np.searchsorted(size_to, before + TEXT_BYTES, "right")) - first))
+                first += some.num_rows
+                for doc, ids in zip(some.column(0).to_pylist(), encode(pc.fill_null(some.column(1), "")), strict=True):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[at:at + 4 * size]

@@ -55,6 +55,44 @@ def test_pieces_of_odd_texts(spark):
     assert packing.pack(packing.pieces(frame.limit(0), word_tokenizer())).count() == 0
 
 
+def test_words_with_marks_are_encoded_as_whole_texts(monkeypatch):
+    """Stems and marks give the ids of whole texts; a word in other case or with other marks costs no encoding."""
+    import pyarrow as pa
+    import tokenizers
+
+    path = word_tokenizer()
+    whole = tokenizers.Tokenizer.from_file(path)
+    texts = ["Deep, deep! DEEP", "it's, IT'S! dogs' dogs'. 'tis", "a|b, a| |", "\u0130, \u0130stanbul.", "\u0958, \u0958!", "e\u0301, \u00e9...",
+             "\U0001f600!! \u2014, x_ _x_ 1, 12.5%", "\x1fa, b.", "\x00, \x7f! a\x00,", "<|endoftext|>, a<|endoftext|>. <|ENDOFTEXT|>, ", "!!! , |,", "", " \u3000 "]
+    sent = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(whole)
+
+        def to_str(self):
+            return self.inner.to_str()
+
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    encode = packing.encoder.__wrapped__(path)
+    for _ in range(2):
+        for text, ids in zip(texts, encode(pa.array(texts)), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    encode(pa.array(["deep, tree,"]))
+    sent.clear()
+    encode(pa.array(["Tree, DEEP, TREE tree! deep!?!"]))
+    assert sent == ["!?!"]
+    assert encode(pa.array([], pa.string())) == []
+
+
 @pytest.mark.parametrize("split", ["128m", "2k"])
 def test_archives(spark, tmp_path, split):
     big = "<p>" + "x" * 3000 + "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.0\r\n" + "é" * 700
