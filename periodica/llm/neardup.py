@@ -13,6 +13,10 @@ candidate link between different components is looked at.
 Shingles that only one candidate class holds are in no intersection. Their number bounds the similarity of a pair from
 above, so most unlinked pairs need no sets; and the class with the smallest share of them leads first, since it is the
 one most of its bucket derives from.
+
+That first leader is the pivot of its bucket in later rounds. What two classes share is at most the smaller of their
+shares with the pivot, and what they share outside it. So a later leader meets only classes that hold one of its
+shingles outside the pivot, and those whose shares with the pivot are enough by themselves, which are found by size.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +39,10 @@ from periodica.session import materialise
 ROWS = 5
 #: A pair at the threshold shares no band with at most this probability.
 MISS = 1e-6
-#: Classes that lead a bucket in the second round; each round after it has twice as many.
-LEADERS = 64
+#: Classes that lead a bucket in the second round; each round after it has eight times as many.
+LEADERS = 8
+#: Classes of sizes within about one part in so many are sought together.
+SIZES = 50
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,6 +170,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _similar(most: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles can be linked if they share at most so many."""
+    return 100 * most >= percent * (n + m - most)
+
+
 def _compare(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: leaders and members of a bucket that belong to different components and may be similar.
 
@@ -171,11 +182,57 @@ def _compare(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """
     lead = leaders.select("bucket", F.col("class").alias("c"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("alone").alias("lone"))
     most = F.least(F.col("n") - F.col("alone"), F.col("m") - F.col("lone"))
-    return members.join(lead, "bucket").filter(
-        (F.col("component") != F.col("other")) & (100 * most >= percent * (F.col("n") + F.col("m") - most))).select(
+    return members.join(lead, "bucket").filter((F.col("component") != F.col("other")) & _similar(most, F.col("n"), F.col("m"), percent)).select(
         F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
 
 
+def _around(pivots: DataFrame, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the classes of buckets hold inside and outside of the buckets' pivots.
+
+    (pivot, class, n, inside, outside) and (pivot, class, shingle, place); outside of a pivot only shingles count that
+    two of its classes hold, and a class has them in places from the rarest on.
+    """
+    met = members.join(pivots, "bucket").select("pivot", "class").distinct()
+    split = materialise(met.join(sets.select("class", "shingles"), "class").join(
+        sets.select(F.col("class").alias("pivot"), F.col("shingles").alias("p")), "pivot").select(
+        "pivot", "class", F.size("shingles").cast("long").alias("n"), F.array_except("shingles", "p").alias("rest")), "outside")
+    rest = split.select("pivot", "class", F.explode("rest").alias("shingle"))
+    held = rest.groupBy("pivot", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    order = W.partitionBy("pivot", "class").orderBy("holders", "shingle")
+    shared = materialise(rest.join(held, ["pivot", "shingle"]).select("pivot", "class", "shingle", F.row_number().over(order).alias("place")), "rare")
+    number = shared.groupBy("pivot", "class").agg(F.count("*").alias("outside"))
+    inside = split.select("pivot", "class", "n", (F.col("n") - F.size("rest")).alias("inside")).join(number, ["pivot", "class"], "left")
+    return materialise(inside.withColumn("outside", F.coalesce("outside", F.lit(0))), "inside"), shared
+
+
+def _compare_around(leaders: DataFrame, members: DataFrame, pivots: DataFrame, inside: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, as ``_compare``, of classes that have met the pivots of their buckets.
+
+    A pair shares at most the smaller of both parts inside the pivot. If that is not enough, so many of the shingles
+    outside have to be shared that the rarest of these is not among the last in either class.
+    """
+    now = members.select("class", "component").distinct()
+    all_ = inside.join(now, "class")
+    lead = leaders.join(pivots, "bucket").select("pivot", "class").distinct().join(all_, ["pivot", "class"]).select(
+        "pivot", F.col("class").alias("c"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("inside").alias("within"), F.col("outside").alias("beyond"))
+    apart = F.col("component") != F.col("other")
+    in_both = F.least("inside", "within")
+    scale = lambda size: F.floor(F.log(size.cast("double")) * SIZES)
+    least = F.greatest(F.lit(1), F.floor(F.col("m") * percent / 100))
+    most = F.floor(F.col("within") * (100 + percent) / percent) - F.col("m") + 1
+    sized = lead.filter(most >= least).withColumn("size", F.explode(F.sequence(scale(least), scale(most))))
+    alike = all_.withColumn("size", scale(F.col("n"))).join(sized, ["pivot", "size"]).filter(
+        apart & _similar(in_both, F.col("n"), F.col("m"), percent))
+    missing = lambda least, held: F.greatest(F.lit(1), F.ceil(least - F.lit(1e-6)) - held)
+    rare = shared.select("pivot", "shingle", F.col("class").alias("c"), F.col("place").alias("at")).join(lead, ["pivot", "c"]).filter(
+        F.col("at") + missing(F.col("m") * percent / 100, F.col("within")) <= F.col("beyond") + 1)
+    needed = missing((F.col("n") + F.col("m")) * percent / (100 + percent), in_both)
+    joint = shared.join(all_, ["pivot", "class"]).join(rare, ["pivot", "shingle"]).filter(
+        apart & (F.col("at") + needed <= F.col("beyond") + 1) & (F.col("place") + needed <= F.col("outside") + 1))
+    pair = [F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")]
+    return alike.select(*pair).union(joint.select(*pair)).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
@@ -199,7 +256,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # a class with too many shingles of its own is linked to none
     left = materialise(left.join(_alone(sets), "class").filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "bounded")
     central = F.col("alone") / F.col("n")
-    merged, most = None, LEADERS
+    merged, inside, most = None, None, LEADERS
     while True:
         known = left.join(merged, "class", "left").withColumn("component", F.coalesce("component", "class")) if merged is not None \
             else left.withColumn("component", F.col("class"))
@@ -215,9 +272,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         else:
             place = F.row_number().over(W.partitionBy("bucket").orderBy(central, "class"))
             leaders = known.filter("component <> top").withColumn("place", place).filter(F.col("place") <= most)
-            most *= 2  # so that a bucket of many unlinked classes takes few rounds
+            most *= 8  # so that a bucket of many unlinked classes takes few rounds
         leaders = materialise(leaders.select("bucket", "class", "component", "n", "alone"), "leaders")
-        pairs = materialise(_compare(leaders, known, percent), "pairs")
+        if merged is None:
+            pivots = leaders.select("bucket", F.col("class").alias("pivot"))
+            pairs = _compare(leaders, known, percent)
+        else:
+            if inside is None:
+                inside, shared = _around(pivots, known, sets)
+            pairs = _compare_around(leaders, known, pivots, inside, shared, percent)
+        pairs = materialise(pairs, "pairs")
         confirmed = _confirm(pairs, sets, percent)
         if merged is not None:  # components so far are stars already, and go on from there
             confirmed = confirmed.union(merged.select(F.col("class").alias("a"), F.col("component").alias("b")))

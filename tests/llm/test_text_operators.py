@@ -65,6 +65,31 @@ def test_a_bucket_of_many_mutually_different_documents_is_resolved(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(200, 70), (201, 71)}
 
 
+def hot_documents(size):
+    """Copies of one text with 1 to 7 of its words replaced by some of few others: many are near it, many are not."""
+    rng = random.Random(13)
+    base, others = words(rng, 150).split(), words(rng, 6).split()
+    docs = [(0, " ".join(base))]
+    for n in range(1, size):
+        text = list(base)
+        for at in rng.sample(range(2, 148), 1 + n % 7):
+            text[at] = rng.choice(others)
+        docs.append((n, " ".join(text[n % 13 // 12 * 20:])))
+    return docs
+
+
+def test_a_large_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """The pairs that go on to full sets follow the copies in number, not their square; no link is lost."""
+    size, met = 300, []
+    docs = hot_documents(size)
+    confirm = neardup._confirm
+    monkeypatch.setattr(neardup, "_confirm", lambda pairs, *rest: met.append(pairs.count()) or confirm(pairs, *rest))
+    got = neardup.near_duplicates(spark.createDataFrame(docs, SCHEMA), 3, 85).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=key) == sorted(brute_components(docs, 3, 85), key=key)
+    assert sum(met) <= 25 * size, met  # 103 a copy when each leader met all of its bucket
+
+
 def test_keep_one(spark):
     docs = [(2, "a b c d e f g h"), (2, "a b c d e f g h"), (1, "other words stand in this text here"), (None, "a b c d e f g h"), (4, None), (4, None)]
     got = neardup.keep_one(spark.createDataFrame(docs, SCHEMA).selectExpr("*", "doc_id as kept", "text as key")).collect()
