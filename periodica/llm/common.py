@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable
+from contextlib import suppress
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,8 +73,22 @@ def word_hashes(words: list) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
+#: What forgets the words of an operator whose caches outlive its tasks.
+FORGETTERS: list[Callable[[], object]] = [_HASHES.clear]
+
+
 def forget_words() -> None:
-    _HASHES.clear()
+    """Empty the caches of all operators: a worker goes on to tasks of other stages, and what it holds stands beside their memory."""
+    for forget in FORGETTERS:
+        forget()
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what Arrow and the C library hold free; without glibc, only Arrow's part goes."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

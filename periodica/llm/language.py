@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from periodica.llm.common import forget_words
+
 WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -182,6 +184,7 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", pred:
     names = schema.names
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()  # what earlier stages have left in the worker
         model = held.value
         tables = model.tables() if model else []
         for batch in batches:
@@ -212,6 +215,8 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", pred:
                 found.append(model.languages[best] if best >= 0 else UNKNOWN)
                 sure.append(min(1.0, float(sums[i, best] / counts[i])) if best >= 0 else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=names)
+        batch = tables = None
+        forget_words()
 
     return source.mapInArrow(apply, schema)
 

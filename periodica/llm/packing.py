@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from periodica.llm.common import FORGETTERS, give_back
 from periodica.session import materialise
 
 GROUP = 8_192
@@ -34,7 +35,9 @@ CONTROL = "\x1c\x1d\x1e\x1f"
 
 
 #: Bytes of words and ids, about, that a Python worker remembers, and bytes of texts that are encoded together.
-CACHE_BYTES, TEXT_BYTES = 96 << 20, 8 << 20
+CACHE_BYTES, TEXT_BYTES = 96 << 20, 4 << 20
+#: New words that go to the tokenizer in one call: it holds some hundred bytes for each of their tokens meanwhile.
+NEW_WORDS = 8_192
 SEPARATOR = "|"
 
 
@@ -91,11 +94,12 @@ def encoder(path: str):
     def tokens(words: list[str]) -> dict[str, bytes]:
         plain = [w for w in words if SEPARATOR not in w] if len(mark) == 1 else []
         found = {w: whole(w).tobytes() for w in set(words).difference(plain)}
-        if plain:
-            ids = whole(f" {SEPARATOR} ".join(plain))
+        for first in range(0, len(plain), NEW_WORDS):
+            some = plain[first:first + NEW_WORDS]
+            ids = whole(f" {SEPARATOR} ".join(some))
             cuts = 4 * np.flatnonzero(ids == mark[0])
             data = ids.tobytes()
-            found.update(zip(plain, map(data.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])), strict=True))
+            found.update(zip(some, map(data.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])), strict=True))
         return found
 
     def learn(words: list[str]) -> dict[str, bytes]:
@@ -137,6 +141,10 @@ def encoder(path: str):
     return encode
 
 
+#: An encoder outlives the tasks of its stage, which look up the same words; tasks of other operators end it.
+FORGETTERS.append(encoder.cache_clear)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048,
            end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if asked for, the ids.
@@ -167,6 +175,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         for column, value in zip(rows, values + [np.frombuffer(part, "<u4").astype("i4")] * keep_ids, strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(rows, fields, strict=True)], schema=schema)
+        batch = some = rows = None
+        give_back()
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
     return source.mapInArrow(cut, ddl)

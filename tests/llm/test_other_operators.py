@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_text_operators import brute_components, brute_lines
 
-from periodica.llm import ann, graph, packing, warc
+from periodica.llm import ann, common, graph, packing, warc
 from periodica.llm.queries import word_tokenizer
 
 
@@ -93,6 +93,38 @@ def test_words_with_marks_are_encoded_as_whole_texts(monkeypatch):
     assert encode(pa.array([], pa.string())) == []
 
 
+def test_new_words_go_to_the_tokenizer_in_calls_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+    import tokenizers
+
+    path, sent = word_tokenizer(), []
+    whole = tokenizers.Tokenizer.from_file(path)
+
+    class Counted:
+        to_str = staticmethod(whole.to_str)
+
+        @classmethod
+        def from_file(cls, path):
+            return cls()
+
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(len(t.replace(packing.SEPARATOR, " ").split()) for t in texts)
+            return whole.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    words = [f"{n}x" for n in range(20_000)]
+    ids = packing.encoder.__wrapped__(path)(pa.array([" ".join(words)]))[0]
+    assert np.frombuffer(ids, "<u4").tolist() == whole.encode(" ".join(words), add_special_tokens=False).ids
+    assert max(sent) <= 8_192 and sum(sent) >= 20_000
+
+
+def test_tasks_of_other_operators_end_the_encoder():
+    common.word_hashes(["a word"])
+    packing.encoder(word_tokenizer())
+    common.forget_words()
+    assert packing.encoder.cache_info().currsize == 0 and not common._HASHES
+
+
 @pytest.mark.parametrize("split", ["128m", "2k"])
 def test_archives(spark, tmp_path, split):
     big = "<p>" + "x" * 3000 + "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.0\r\n" + "é" * 700
