@@ -9,7 +9,14 @@ from periodica.session import materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every end of an edge (a, b); the component is its smallest node.
+    """(node, component) for every end of an edge (a, b); the component is its smallest node."""
+    pairs = stars(edges)
+    hubs = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(hubs)
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(a, b), written: for every end a of an edge that is not the smallest node b of its component.
 
     Union-find over a distributed edge list: the large star hangs each node's larger neighbours on its smallest
     one, the small star does so with the smaller neighbours; both keep the components and end in one star for each.
@@ -17,8 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     end and loops are left out.
     """
     ends = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    pairs, before = materialise(ends.distinct(), "edges"), None
-    while True:
+    pairs = materialise(ends.distinct(), "edges")
+    while not _are_stars(pairs):
         both = pairs.union(pairs.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -26,10 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(tops, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             tops.select("a", F.col("m").alias("b"))).distinct()
         pairs = materialise(small, "stars")
-        # the same edges again: compared by their number and a sum of their hashes
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    hubs = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(hubs)
+    return pairs
+
+
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, and is not itself the smaller end of an edge."""
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below")).union(
+        pairs.select("b", F.lit(0), F.lit(1)))
+    met = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return not met.filter("above + below > 1 and above > 0").limit(1).count()

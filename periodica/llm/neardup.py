@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from periodica.llm.common import forget_words, mix, text_key, word_hashes
-from periodica.llm.graph import components
+from periodica.llm.graph import stars
 from periodica.session import materialise
 
 ROWS = 5
 #: A pair at the threshold shares no band with at most this probability.
 MISS = 1e-6
-#: Classes that lead a bucket in the second round; each round after it has eight times as many.
-LEADERS = 8
+#: Classes that lead a bucket in the second round; each round after it has GROWTH times as many.
+LEADERS, GROWTH = 8, 64
 #: Classes of sizes within about one part in so many are sought together.
 SIZES = 50
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -175,62 +175,75 @@ def _similar(most: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * most >= percent * (n + m - most)
 
 
-def _compare(leaders: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: leaders and members of a bucket that belong to different components and may be similar.
+def _pair() -> list[Column]:
+    return [F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")]
+
+
+def _first_leaders(left: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several classes, with the class that leads its bucket first: its pivot.
+
+    The columns m and lone are the pivot's n and alone.
+    """
+    central = (F.col("alone") / F.col("n")).alias("share")
+    first = left.groupBy("bucket").agg(F.min(F.struct(central, "class", "n", "alone")).alias("lead"), F.count("*").alias("parts")).filter("parts > 1")
+    return left.join(first, "bucket").select(
+        "bucket", "class", "n", "alone", F.col("lead.class").alias("pivot"), F.col("lead.n").alias("m"), F.col("lead.alone").alias("lone"))
+
+
+def _compare_pivots(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: classes and pivots of their buckets that may be similar.
 
     An intersection holds none of the shingles that either class has alone.
     """
-    lead = leaders.select("bucket", F.col("class").alias("c"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("alone").alias("lone"))
     most = F.least(F.col("n") - F.col("alone"), F.col("m") - F.col("lone"))
-    return members.join(lead, "bucket").filter((F.col("component") != F.col("other")) & _similar(most, F.col("n"), F.col("m"), percent)).select(
-        F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
+    return members.withColumn("c", F.col("pivot")).filter((F.col("class") != F.col("c")) & _similar(most, F.col("n"), F.col("m"), percent)).select(
+        *_pair()).distinct()
 
 
-def _around(pivots: DataFrame, members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _around(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the classes of buckets hold inside and outside of the buckets' pivots.
 
-    (pivot, class, n, inside, outside) and (pivot, class, shingle, place); outside of a pivot only shingles count that
-    two of its classes hold, and a class has them in places from the rarest on.
+    (pivot, class, n, inside) and (pivot, class, n, inside, shingle, place, outside); outside of a pivot only shingles
+    count that two of its classes hold, and a class has them in places from the rarest on.
     """
-    met = members.join(pivots, "bucket").select("pivot", "class").distinct()
+    met = members.select("pivot", "class").distinct()
+    rest = F.array_except("shingles", "p")
     split = materialise(met.join(sets.select("class", "shingles"), "class").join(
         sets.select(F.col("class").alias("pivot"), F.col("shingles").alias("p")), "pivot").select(
-        "pivot", "class", F.size("shingles").cast("long").alias("n"), F.array_except("shingles", "p").alias("rest")), "outside")
-    rest = split.select("pivot", "class", F.explode("rest").alias("shingle"))
-    held = rest.groupBy("pivot", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
-    order = W.partitionBy("pivot", "class").orderBy("holders", "shingle")
-    shared = materialise(rest.join(held, ["pivot", "shingle"]).select("pivot", "class", "shingle", F.row_number().over(order).alias("place")), "rare")
-    number = shared.groupBy("pivot", "class").agg(F.count("*").alias("outside"))
-    inside = split.select("pivot", "class", "n", (F.col("n") - F.size("rest")).alias("inside")).join(number, ["pivot", "class"], "left")
-    return materialise(inside.withColumn("outside", F.coalesce("outside", F.lit(0))), "inside"), shared
+        "pivot", "class", F.size("shingles").cast("long").alias("n"), rest.alias("rest")).withColumn(
+        "inside", F.col("n") - F.size("rest")), "outside")
+    each = split.select("pivot", "class", "n", "inside", F.explode("rest").alias("shingle"))
+    held = each.groupBy("pivot", "shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    own = W.partitionBy("pivot", "class")
+    shared = each.join(held, ["pivot", "shingle"]).select(
+        "pivot", "class", "n", "inside", "shingle", F.row_number().over(own.orderBy("holders", "shingle")).alias("place"), F.count("*").over(own).alias("outside"))
+    return split.drop("rest"), materialise(shared, "rare")
 
 
-def _compare_around(leaders: DataFrame, members: DataFrame, pivots: DataFrame, inside: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, as ``_compare``, of classes that have met the pivots of their buckets.
+def _compare_around(leaders: DataFrame, members: DataFrame, inside: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: leaders and members of a bucket that belong to different components, have met its pivot and may be similar.
 
     A pair shares at most the smaller of both parts inside the pivot. If that is not enough, so many of the shingles
     outside have to be shared that the rarest of these is not among the last in either class.
     """
     now = members.select("class", "component").distinct()
-    all_ = inside.join(now, "class")
-    lead = leaders.join(pivots, "bucket").select("pivot", "class").distinct().join(all_, ["pivot", "class"]).select(
-        "pivot", F.col("class").alias("c"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("inside").alias("within"), F.col("outside").alias("beyond"))
+    led = leaders.select("pivot", "class", F.col("component").alias("other")).distinct()
+    own = [F.col("class").alias("c"), "other", F.col("n").alias("m"), F.col("inside").alias("within")]
     apart = F.col("component") != F.col("other")
     in_both = F.least("inside", "within")
     scale = lambda size: F.floor(F.log(size.cast("double")) * SIZES)
     least = F.greatest(F.lit(1), F.floor(F.col("m") * percent / 100))
     most = F.floor(F.col("within") * (100 + percent) / percent) - F.col("m") + 1
-    sized = lead.filter(most >= least).withColumn("size", F.explode(F.sequence(scale(least), scale(most))))
-    alike = all_.withColumn("size", scale(F.col("n"))).join(sized, ["pivot", "size"]).filter(
+    sized = inside.join(led, ["pivot", "class"]).select("pivot", *own).filter(most >= least).withColumn("size", F.explode(F.sequence(scale(least), scale(most))))
+    alike = inside.join(now, "class").withColumn("size", scale(F.col("n"))).join(sized, ["pivot", "size"]).filter(
         apart & _similar(in_both, F.col("n"), F.col("m"), percent))
     missing = lambda least, held: F.greatest(F.lit(1), F.ceil(least - F.lit(1e-6)) - held)
-    rare = shared.select("pivot", "shingle", F.col("class").alias("c"), F.col("place").alias("at")).join(lead, ["pivot", "c"]).filter(
+    rare = shared.join(led, ["pivot", "class"]).select("pivot", "shingle", *own, F.col("place").alias("at"), F.col("outside").alias("beyond")).filter(
         F.col("at") + missing(F.col("m") * percent / 100, F.col("within")) <= F.col("beyond") + 1)
     needed = missing((F.col("n") + F.col("m")) * percent / (100 + percent), in_both)
-    joint = shared.join(all_, ["pivot", "class"]).join(rare, ["pivot", "shingle"]).filter(
+    joint = shared.join(now, "class").join(rare, ["pivot", "shingle"]).filter(
         apart & (F.col("at") + needed <= F.col("beyond") + 1) & (F.col("place") + needed <= F.col("outside") + 1))
-    pair = [F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")]
-    return alike.select(*pair).union(joint.select(*pair)).distinct()
+    return alike.select(*_pair()).union(joint.select(*_pair())).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +254,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     document is kept if it has that id, so rows that repeat an id are kept together. Null ids sort after all others
     and their rows are kept only in a component without any id. Null, empty and blank texts are linked to nothing.
     """
-    spark = docs.sparkSession
     bands = bands_for(percent)
     source = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
     sketch = materialise(_sketch(source, k, bands), "sketches")
@@ -255,40 +267,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sets = materialise(_sets(source.join(wanted, "_key", "left_semi").dropDuplicates(["_key"]), k), "shingles")
     # a class with too many shingles of its own is linked to none
     left = materialise(left.join(_alone(sets), "class").filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "bounded")
-    central = F.col("alone") / F.col("n")
-    merged, inside, most = None, None, LEADERS
+    known = materialise(_first_leaders(left), "open")
+    merged = stars(_confirm(_compare_pivots(known, percent), sets, percent)).toDF("class", "component")
+    left = known.filter("class <> pivot").drop("m", "lone")
+    inside, most = None, LEADERS
     while True:
-        known = left.join(merged, "class", "left").withColumn("component", F.coalesce("component", "class")) if merged is not None \
-            else left.withColumn("component", F.col("class"))
-        sizes = known.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min("class").alias("class"))
+        known = left.join(merged, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        sizes = known.groupBy("bucket", "component").agg(F.count("*").alias("size"))
         tops = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"))
         open_ = tops.filter("parts > 1").select("bucket", F.col("top.component").alias("top"))
         known = materialise(known.join(open_, "bucket"), "open")
         if not known.limit(1).count():
             break
-        if merged is None:
-            first = known.groupBy("bucket").agg(F.min(F.struct(central.alias("share"), "class", "n", "component", "alone")).alias("l"))
-            leaders = first.select("bucket", "l.*")
-        else:
-            place = F.row_number().over(W.partitionBy("bucket").orderBy(central, "class"))
-            leaders = known.filter("component <> top").withColumn("place", place).filter(F.col("place") <= most)
-            most *= 8  # so that a bucket of many unlinked classes takes few rounds
-        leaders = materialise(leaders.select("bucket", "class", "component", "n", "alone"), "leaders")
-        if merged is None:
-            pivots = leaders.select("bucket", F.col("class").alias("pivot"))
-            pairs = _compare(leaders, known, percent)
-        else:
-            if inside is None:
-                inside, shared = _around(pivots, known, sets)
-            pairs = _compare_around(leaders, known, pivots, inside, shared, percent)
-        pairs = materialise(pairs, "pairs")
-        confirmed = _confirm(pairs, sets, percent)
-        if merged is not None:  # components so far are stars already, and go on from there
-            confirmed = confirmed.union(merged.select(F.col("class").alias("a"), F.col("component").alias("b")))
-        merged = materialise(components(confirmed).select(F.col("node").alias("class"), "component"), "merged")
-        left = materialise(known.select("bucket", "class", "n", "alone").join(leaders.select("bucket", "class"), ["bucket", "class"], "left_anti"), "buckets")
-    if merged is None:
-        merged = spark.createDataFrame([], "class binary, component binary")
+        place = F.row_number().over(W.partitionBy("bucket").orderBy(F.col("alone") / F.col("n"), "class"))
+        leaders = materialise(known.filter("component <> top").withColumn("place", place).filter(F.col("place") <= most).select(
+            "bucket", "pivot", "class", "component"), "leaders")
+        most *= GROWTH  # so that a bucket of many unlinked classes takes few rounds
+        if inside is None:
+            inside, shared = _around(known, sets)
+        confirmed = _confirm(_compare_around(leaders, known, inside, shared, percent), sets, percent)
+        # components so far are stars already, and go on from there
+        merged = stars(confirmed.union(merged.toDF("a", "b"))).toDF("class", "component")
+        left = known.select("bucket", "pivot", "class", "n", "alone").join(leaders.select("bucket", "class"), ["bucket", "class"], "left_anti")
     named = held.select("class", "first").join(merged, "class", "left").withColumn("component", F.coalesce("component", "class"))
     firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
     label = named.join(firsts, "component").select("class", "component_id")

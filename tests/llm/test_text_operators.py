@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from periodica.llm import chat, decontamination, language, lines, neardup, pii, substrings
+from periodica.llm import chat, decontamination, graph, language, lines, neardup, pii, substrings
 
 SCHEMA = "doc_id long, text string"
 
@@ -90,6 +90,32 @@ def test_a_large_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkey
     assert sum(met) <= 25 * size, met  # 103 a copy when each leader met all of its bucket
 
 
+def count_written(monkeypatch):
+    written = []
+    for module in (graph, neardup):
+        keep = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name, keep=keep: written.append(name) or keep(df, name))
+    return written
+
+
+def test_rounds_write_few_tables(spark, monkeypatch):
+    """Each table is as many tasks as there are partitions, however small it is."""
+    docs, written = hot_documents(300), count_written(monkeypatch)
+    got = neardup.near_duplicates(spark.createDataFrame(docs, SCHEMA), 3, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(docs, 3, 85))
+    assert len(written) <= 24, written
+
+
+def test_edges_that_are_stars_take_no_round(spark, monkeypatch):
+    written = count_written(monkeypatch)
+    star = [(9, 1), (1, 8), (7, 1), (5, 4), (6, 6), (3, None)]
+    got = graph.components(spark.createDataFrame(star, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (4, 4), (5, 4), (7, 1), (8, 1), (9, 1)]
+    assert written == ["edges"]
+    got = graph.components(spark.createDataFrame([*star, (9, 5)], "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(n, 1) for n in (1, 4, 5, 7, 8, 9)]
+
+
 def test_keep_one(spark):
     docs = [(2, "a b c d e f g h"), (2, "a b c d e f g h"), (1, "other words stand in this text here"), (None, "a b c d e f g h"), (4, None), (4, None)]
     got = neardup.keep_one(spark.createDataFrame(docs, SCHEMA).selectExpr("*", "doc_id as kept", "text as key")).collect()
